@@ -32,7 +32,7 @@ def _mentions(payloads: DataFrame, pairs: Column, feed_rank: int) -> DataFrame:
     )
 
 
-def _pairs(items: Column, names: str, title: str = "title", name_of=lambda n: n) -> Column:
+def title_pairs(items: Column, names: str, title: str = "title", name_of=lambda n: n) -> Column:
     return F.flatten(
         F.transform(
             items,
@@ -59,7 +59,7 @@ def feed1_items(body: Column) -> Column:
 
 def decode_feed1(payloads: DataFrame) -> DataFrame:
     staged = payloads.select("request_id", feed1_items(F.col("body")).alias("items"))
-    return _mentions(staged, _pairs(F.col("items"), "tickers"), 1)
+    return _mentions(staged, title_pairs(F.col("items"), "tickers"), 1)
 
 
 def feed2_items(body: Column) -> Column:
@@ -78,7 +78,7 @@ def feed2_items(body: Column) -> Column:
 def decode_feed2(payloads: DataFrame) -> DataFrame:
     staged = payloads.select("request_id", feed2_items(F.col("body")).alias("items"))
     return _mentions(
-        staged, _pairs(F.col("items"), "entities", name_of=lambda e: e["symbol"]), 2
+        staged, title_pairs(F.col("items"), "entities", name_of=lambda e: e["symbol"]), 2
     )
 
 
