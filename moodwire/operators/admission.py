@@ -4,12 +4,15 @@ A bucket starts full with ``n`` tokens, refills ``n`` per minute continuously, a
 one whole token. The outcome of a request depends on all earlier ones of its key, yet one busy key
 must not become one task. Three steps keep every task small:
 
-1. requests are counted by (key, instant) and cut into one-minute chunks; each chunk is reduced to
-   a short description of what it does to *any* state it may start with;
+1. the history of each key is cut into one-minute chunks; each chunk is reduced to a short
+   description of what it does to *any* state it may start with;
 2. per key, those descriptions (one row per minute of history) are chained, which gives the state
    each chunk starts with;
 3. chunks are worked through independently from their known start.
 
+Rows of a chunk are brought together by a hash shuffle and a spilling sort and then streamed, so no
+step ever holds a chunk in memory.
+
 State is the instant ``x`` at which the bucket would be full again, in units that make a token a
 whole number. A chunk without denials maps ``x`` to ``max(x + a, l)``; denials bring ``x`` down by
 whole tokens until it is at most ``h``. One such triple (a, l, h) covers a chunk unless the bucket
@@ -19,10 +22,13 @@ nearly refills in between; then the chunk gets another triple behind the first.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moodwire.operators.tenancy import resolve_tenant
 from moodwire.operators.validation import with_details
@@ -54,25 +60,10 @@ class Bucket:
 
     def describe(self, ticks) -> list[tuple[int, int, int]]:
         """Triples (a, l, h) that equal taking ``n`` at ``t`` for all (t, n) in ``ticks``."""
-        done: list[tuple[int, int, int]] = []
-        a, low, high = 0, _NEVER, _OPEN
+        description = Description(self)
         for t, n in ticks:
-            if t >= high:  # full whatever came before
-                done, a, low, high = [], _NEVER, t, _OPEN
-            elif t > high - self.token:  # full for some starts only
-                done.append((a, low, high))
-                a, low, high = 0, t, _OPEN
-            else:
-                low = max(low, t)
-            step = min(n, self.size) * self.token
-            a, low, high = a + step, low + step, min(high + step, t + self.slack + self.token)
-        done.append((a, low, high))
-        return [self._shrunk(*triple) for triple in done]
-
-    def _shrunk(self, a: int, low: int, high: int) -> tuple[int, int, int]:
-        """Same effect with a small ``a``: shifts far above ``high`` come down by whole tokens."""
-        spare = (a - max(high, low) - 1) // self.token
-        return (a - spare * self.token, low, high) if spare > 0 else (a, low, high)
+            description.add(t, n)
+        return description.triples()
 
     def apply(self, triples, x: int) -> int:
         for a, low, high in triples:
@@ -82,60 +73,129 @@ class Bucket:
         return x
 
 
+class Description:
+    """What the requests added so far do to any starting state."""
+
+    def __init__(self, bucket: Bucket):
+        self.bucket = bucket
+        self.done: list[tuple[int, int, int]] = []
+        self.a, self.low, self.high = 0, _NEVER, _OPEN
+
+    def add(self, t: int, n: int = 1) -> None:
+        token = self.bucket.token
+        if t >= self.high:  # full whatever came before
+            self.done, self.a, self.low, self.high = [], _NEVER, t, _OPEN
+        elif t > self.high - token:  # full for some starts only
+            self.done.append((self.a, self.low, self.high))
+            self.a, self.low, self.high = 0, t, _OPEN
+        else:
+            self.low = max(self.low, t)
+        step = min(n, self.bucket.size) * token
+        self.a += step
+        self.low += step
+        self.high = min(self.high + step, t + self.bucket.slack + token)
+
+    def triples(self) -> list[tuple[int, int, int]]:
+        return [self._small(*t) for t in (*self.done, (self.a, self.low, self.high))]
+
+    def _small(self, a: int, low: int, high: int) -> tuple[int, int, int]:
+        """Same effect with a small ``a``: shifts far above ``high`` come down by whole tokens."""
+        spare = (a - max(high, low) - 1) // self.bucket.token
+        return (a - spare * self.bucket.token, low, high) if spare > 0 else (a, low, high)
+
+
+def _grouped(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a group in one partition, next to each other and in order."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def _chunk_descriptions(ticks: DataFrame, bucket: Bucket, chunk_us: int) -> DataFrame:
-    def one_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        start = int(pdf["chunk"].iloc[0]) * chunk_us
-        rel = ((pdf["t"] - start) * bucket.scale).tolist()
-        triples = bucket.describe(zip(rel, pdf["n"].tolist()))
-        return pd.DataFrame(
-            {
-                "key": [pdf["key"].iloc[0]],
-                "chunk": [pdf["chunk"].iloc[0]],
-                "flat": [[v for triple in triples for v in triple]],
-            }
-        )
-
-    return ticks.groupBy("key", "chunk").applyInPandas(
-        one_chunk, "key string, chunk long, flat array<long>"
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, description = None, None
+        for pdf in batches:
+            rows = []
+            for key, chunk, t in zip(pdf["key"].tolist(), pdf["chunk"].tolist(), pdf["t"].tolist()):
+                if (key, chunk) != now:
+                    if now is not None:
+                        rows.append((*now, [v for x in description.triples() for v in x]))
+                    now, description = (key, chunk), Description(bucket)
+                description.add((t - chunk * chunk_us) * bucket.scale)
+            yield pd.DataFrame(rows, columns=["key", "chunk", "flat"])
+        if now is not None:
+            last = (*now, [v for x in description.triples() for v in x])
+            yield pd.DataFrame([last], columns=["key", "chunk", "flat"])
+
+    return _grouped(ticks, ["key", "chunk"], ["t"]).mapInPandas(
+        scan, "key string, chunk long, flat array<long>"
     )
 
 
 def _chunk_starts(described: DataFrame, bucket: Bucket, chunk_us: int) -> DataFrame:
-    """State at the start of each chunk; one row per minute of a key's history comes together."""
+    """State at the start of each chunk; one row per minute of a key's history passes by."""
     width = chunk_us * bucket.scale
 
-    def one_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        starts, x, before = [], 0, None
-        for chunk, flat in zip(pdf["chunk"].tolist(), pdf["flat"].tolist()):
-            if before is not None:
-                x = max(0, x - (chunk - before) * width)
-            starts.append(x)
-            flat = [int(v) for v in flat]
-            x = bucket.apply(zip(flat[0::3], flat[1::3], flat[2::3]), x)
-            before = chunk
-        return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "x": starts})
-
-    return described.groupBy("key").applyInPandas(one_key, "key string, chunk long, x long")
-
-
-def _granted(ticks: DataFrame, starts: DataFrame, bucket: Bucket, chunk_us: int) -> DataFrame:
-    def one_chunk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("t")
-        x = int(right["x"].iloc[0])
-        start = int(right["chunk"].iloc[0]) * chunk_us
-        granted = []
-        for t, n in zip(left["t"].tolist(), left["n"].tolist()):
-            got, x = bucket.take(x, (t - start) * bucket.scale, n)
-            granted.append(got)
-        return pd.DataFrame({"key": left["key"], "t": left["t"], "granted": granted})
-
-    return (
-        ticks.groupBy("key", "chunk")
-        .cogroup(starts.groupBy("key", "chunk"))
-        .applyInPandas(one_chunk, "key string, t long, granted long")
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, before, x = None, 0, 0
+        for pdf in batches:
+            starts = []
+            for key, chunk, flat in zip(
+                pdf["key"].tolist(), pdf["chunk"].tolist(), pdf["flat"].tolist()
+            ):
+                x = max(0, x - (chunk - before) * width) if key == now else 0
+                starts.append(x)
+                flat = [int(v) for v in flat]
+                x = bucket.apply(zip(flat[0::3], flat[1::3], flat[2::3]), x)
+                now, before = key, chunk
+            yield pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "x": starts})
+
+    return _grouped(described, ["key"], ["chunk"]).mapInPandas(
+        scan, "key string, chunk long, x long"
+    )
+
+
+def _decide(events: DataFrame, starts: DataFrame, bucket: Bucket, chunk_us: int) -> DataFrame:
+    """Walks through each chunk behind its start row; other columns pass through as they are."""
+    rows = events.unionByName(
+        starts.select(
+            F.col("key").alias("_key"),
+            F.col("chunk").alias("_chunk"),
+            F.col("x").alias("_x"),
+            F.lit(0).alias("_kind"),
+        ),
+        allowMissingColumns=True,
     )
+    keep = [f for f in events.schema.fields if f.name not in _WORK_COLUMNS]
+    names = [f.name for f in keep]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = 0
+        for batch in batches:
+            kind, start, t, chunk, counted = (
+                batch.column(c).to_pylist() for c in ("_kind", "_x", "_t", "_chunk", "_counted")
+            )
+            admitted = []
+            for i, is_event in enumerate(kind):
+                if not is_event:
+                    x = start[i]
+                    admitted.append(None)
+                elif counted[i]:
+                    got, x = bucket.take(x, (t[i] - chunk[i] * chunk_us) * bucket.scale, 1)
+                    admitted.append(got == 1)
+                else:
+                    admitted.append(False)
+            whole = pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), pa.array(admitted, pa.bool_())],
+                [*names, "admitted"],
+            )
+            yield whole.filter(pa.array(kind, pa.int32()).cast(pa.bool_()))
+
+    schema = T.StructType([*keep, T.StructField("admitted", T.BooleanType())])
+    return _grouped(rows, ["_key", "_chunk"], ["_kind", "_t", "request_id"]).mapInArrow(
+        scan, schema
+    )
+
+
+_WORK_COLUMNS = ("_key", "_chunk", "_t", "_x", "_kind", "_counted")
 
 
 def token_bucket(
@@ -147,37 +207,25 @@ def token_bucket(
 ) -> DataFrame:
     """Adds ``admitted``. ``events`` needs ``ts`` and ``request_id``, which breaks ties.
 
-    Rows that are not ``eligible`` take no token and are not admitted. Counting by instant bounds
-    a chunk by the microseconds in it, however many requests arrive.
+    Rows that are not ``eligible`` take no token and are not admitted. Keep ``events`` narrow: its
+    rows are shuffled, sorted and handed to Python and back.
     """
     bucket = Bucket(per_minute)
     counted = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
-    keyed = (
-        events.withColumn("_counted", counted)
-        .withColumn("_key", key.cast("string"))
-        .withColumn("_t", F.unix_micros("ts"))
+    at = F.unix_micros("ts")
+    timed = events.withColumns(
+        {"_counted": counted, "_key": key.cast("string"), "_t": at, "_kind": F.lit(1)}
+    ).withColumns(
+        {
+            "_chunk": F.expr(f"(_t - pmod(_t, {chunk_us}L)) div {chunk_us}L"),
+            "_x": F.lit(None).cast("long"),
+        }
     )
-    ticks = (
-        keyed.filter("_counted")
-        .groupBy(F.col("_key").alias("key"), F.col("_t").alias("t"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("chunk", F.expr(f"(t - pmod(t, {chunk_us}L)) div {chunk_us}L"))
+    ticks = timed.filter("_counted").select(
+        F.col("_key").alias("key"), F.col("_chunk").alias("chunk"), F.col("_t").alias("t")
     )
     starts = _chunk_starts(_chunk_descriptions(ticks, bucket, chunk_us), bucket, chunk_us)
-    granted = _granted(ticks, starts, bucket, chunk_us).select(
-        F.col("key").alias("_key"), F.col("t").alias("_t"), "granted"
-    )
-    place = F.row_number().over(
-        Window.partitionBy("_key", "_t").orderBy(F.col("_counted").desc(), "request_id")
-    )
-    return (
-        keyed.join(granted, ["_key", "_t"], "left")
-        .withColumn("_place", place)
-        .withColumn(
-            "admitted", F.col("_counted") & F.coalesce(F.col("_place") <= F.col("granted"), F.lit(False))
-        )
-        .drop("_key", "_t", "_counted", "_place", "granted")
-    )
+    return _decide(timed, starts, bucket, chunk_us)
 
 
 def global_limit(events: DataFrame, per_minute: int, eligible: Column | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ block", blocks are merged level by level, and the known starts are handed back d
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -113,90 +115,163 @@ def _through(entry: np.ndarray, last_miss: np.ndarray, e: np.ndarray, ttl: int)
     return np.where(at < len(entry), last_miss[np.minimum(at, len(entry) - 1)] + ttl, e)
 
 
-def _children(pdf: pd.DataFrame):
-    pdf = pdf.sort_values(["block", "entry"])
-    for block, part in pdf.groupby("block", sort=True):
-        yield int(block), part["entry"].to_numpy(), part["last_miss"].to_numpy()
+def _runs(
+    batches: Iterator[pd.DataFrame], keys: list[str]
+) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """Consecutive rows with equal ``keys``, also across batch borders, as arrays."""
+    held: list[pd.DataFrame] = []
+    now: tuple | None = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        changes = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        changes[0] = True
+        cuts = [*np.flatnonzero(changes), len(pdf)]
+        names = list(zip(*(pdf[k].iloc[cuts[:-1]].tolist() for k in keys)))
+        for name, start, end in zip(names, cuts[:-1], cuts[1:]):
+            if name != now and now is not None:
+                yield now, _arrays(held)
+                held = []
+            now = name
+            held.append(pdf.iloc[start:end])
+    if now is not None:
+        yield now, _arrays(held)
+
+
+def _arrays(parts: list[pd.DataFrame]) -> dict[str, np.ndarray]:
+    whole = parts[0] if len(parts) == 1 else pd.concat(parts)
+    return {c: whole[c].to_numpy() for c in whole.columns}
+
+
+def _per_run(df: DataFrame, keys: list[str], order: list[str], work, schema: str) -> DataFrame:
+    """``work(key values, arrays)`` for each group, many groups per Python batch.
+
+    Groups are formed by one hash shuffle and a spilling sort; ``work`` gives the output columns
+    as a dict of equal-length lists or arrays.
+    """
+    columns = [part.split()[0] for part in schema.split(", ")]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready, size = [], 0
+        for name, arrays in _runs(batches, keys):
+            out = work(name, arrays)
+            ready.append(out)
+            size += len(out[columns[-1]])
+            if size >= 10_000:
+                yield _stacked(ready, columns)
+                ready, size = [], 0
+        if ready:
+            yield _stacked(ready, columns)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
+
+
+def _stacked(parts: list[dict], columns: list[str]) -> pd.DataFrame:
+    def whole(column: str):
+        pieces = []
+        for part in parts:
+            value, rows = part[column], len(part[columns[-1]])
+            pieces.append(np.full(rows, value) if np.isscalar(value) else np.asarray(value))
+        return np.concatenate(pieces)
+
+    return pd.DataFrame({c: whole(c) for c in columns})
+
+
+def _children(arrays: dict[str, np.ndarray]):
+    """(block, entries, last misses) of each block in a run sorted by block and entry."""
+    block = arrays["block"]
+    cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        yield int(block[start]), arrays["entry"][start:end], arrays["last_miss"][start:end]
 
 
 _STEPS = "key string, block long, entry long, last_miss long"
+_STARTS = "key string, block long, e long"
 
 
 def _describe_blocks(ticks: DataFrame, ttl: int) -> DataFrame:
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["block"].iloc[0])
-        entry, last_miss = _block_steps(
-            np.sort(pdf["t"].to_numpy()), block * ttl * BLOCK_TTLS, ttl
-        )
-        return pd.DataFrame(
-            {"key": pdf["key"].iloc[0], "block": block, "entry": entry, "last_miss": last_miss}
-        )
+    def one_block(name, arrays):
+        key, block = name
+        entry, last_miss = _block_steps(arrays["t"], int(block) * ttl * BLOCK_TTLS, ttl)
+        return {"key": key, "block": block, "entry": entry, "last_miss": last_miss}
+
+    return _per_run(ticks, ["key", "block"], ["t"], one_block, _STEPS)
 
-    return ticks.groupBy("key", "block").applyInPandas(one_block, _STEPS)
+
+def _merge_children(children, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """Step function of neighbouring blocks taken together."""
+    entry = e = None
+    extended = False
+    for _, child_entry, child_miss in children:
+        if entry is None:
+            entry, e = child_entry, child_miss + ttl
+            continue
+        e = _through(child_entry, child_miss, e, ttl)
+        if not extended:  # a window that outlasts the first block's entries
+            entry, e = np.append(entry, child_entry[:1]), np.append(e, child_miss[:1] + ttl)
+            extended = True
+    return _compact(entry, e - ttl)
 
 
 def _merge_blocks(steps: DataFrame, ttl: int) -> DataFrame:
     """Step functions of ``FAN_OUT`` neighbouring blocks at a time."""
 
-    def one_parent(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent = int(pdf["block"].iloc[0]) // FAN_OUT
-        entry = e = None
-        for _, child_entry, child_miss in _children(pdf):
-            if entry is None:
-                entry, e = child_entry, child_miss + ttl
-                beyond = None
-            else:
-                e = _through(child_entry, child_miss, e, ttl)
-                if beyond is None:  # a window that outlasts the first block's entries
-                    beyond = child_entry[:1]
-                    entry = np.append(entry, beyond)
-                    e = np.append(e, child_miss[:1] + ttl)
-        entry, last_miss = _compact(entry, e - ttl)
-        return pd.DataFrame(
-            {"key": pdf["key"].iloc[0], "block": parent, "entry": entry, "last_miss": last_miss}
-        )
-
-    return steps.groupBy("key", F.expr(f"block div {FAN_OUT}")).applyInPandas(one_parent, _STEPS)
+    def one_parent(name, arrays):
+        entry, last_miss = _merge_children(_children(arrays), ttl)
+        return {"key": name[0], "block": name[1], "entry": entry, "last_miss": last_miss}
+
+    return _per_run(_with_parent(steps), ["key", "parent"], ["block", "entry"], one_parent, _STEPS)
+
+
+def _with_parent(df: DataFrame) -> DataFrame:
+    return df.withColumn("parent", F.expr(f"block div {FAN_OUT}"))
+
+
+def _walk(children, e: int, ttl: int) -> tuple[list[int], list[int]]:
+    """Blocks and the window end each of them starts with."""
+    blocks, starts, now = [], [], np.array([e], dtype="int64")
+    for block, entry, last_miss in children:
+        blocks.append(block)
+        starts.append(int(now[0]))
+        now = _through(entry, last_miss, now, ttl)
+    return blocks, starts
 
 
 def _hand_down(steps: DataFrame, starts: DataFrame | None, ttl: int) -> DataFrame:
     """(key, block, e) of the blocks in ``steps`` from the starts of their parents."""
-    out = "key string, block long, e long"
+    if starts is None:
 
-    def walk(pdf: pd.DataFrame, e: int) -> pd.DataFrame:
-        rows, now = [], np.array([e], dtype="int64")
-        for block, entry, last_miss in _children(pdf):
-            rows.append((pdf["key"].iloc[0], block, int(now[0])))
-            now = _through(entry, last_miss, now, ttl)
-        return pd.DataFrame(rows, columns=["key", "block", "e"])
+        def from_the_first(name, arrays):
+            blocks, e = _walk(_children(arrays), _CLOSED, ttl)
+            return {"key": name[0], "block": blocks, "e": e}
 
-    if starts is None:
-        return steps.groupBy("key").applyInPandas(lambda pdf: walk(pdf, _CLOSED), out)
+        return _per_run(steps, ["key"], ["block", "entry"], from_the_first, _STARTS)
 
-    def one_parent(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return walk(left, int(right["e"].iloc[0]))
+    def below_parent(name, arrays):
+        blocks, e = _walk(_children(arrays), int(arrays["e"][0]), ttl)
+        return {"key": name[0], "block": blocks, "e": e}
 
-    parent = F.expr(f"block div {FAN_OUT}")
-    return (
-        steps.groupBy("key", parent).cogroup(starts.groupBy("key", "block")).applyInPandas(
-            one_parent, out
-        )
+    parents = starts.withColumnRenamed("block", "parent")
+    return _per_run(
+        _with_parent(steps).join(parents, ["key", "parent"]),
+        ["key", "parent"],
+        ["block", "entry"],
+        below_parent,
+        _STARTS,
     )
 
 
 def _misses(ticks: DataFrame, starts: DataFrame, ttl: int) -> DataFrame:
-    def one_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        t, e, found = np.sort(left["t"].to_numpy()), int(right["e"].iloc[0]), []
+    def one_block(name, arrays):
+        t, e, found = arrays["t"], int(arrays["e"][0]), []
         at = int(np.searchsorted(t, e))
         while at < len(t):
             found.append(int(t[at]))
             at = int(np.searchsorted(t, found[-1] + ttl))
-        return pd.DataFrame({"key": left["key"].iloc[0], "t": found}).astype({"t": "int64"})
+        return {"key": name[0], "t": np.array(found, dtype="int64")}
 
-    return (
-        ticks.groupBy("key", "block")
-        .cogroup(starts.groupBy("key", "block"))
-        .applyInPandas(one_block, "key string, t long")
+    return _per_run(
+        ticks.join(starts, ["key", "block"]), ["key", "block"], ["t"], one_block, "key string, t long"
     )
 
 
