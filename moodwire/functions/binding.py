@@ -1,10 +1,10 @@
-"""Evaluate a column once and use it many times inside one expression."""
+"""Keep costly expressions from being computed more than once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     variable is not.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unrolled(
+    df: DataFrame, keep: list, items: Column, pos: str = "pos", item: str = "item"
+) -> DataFrame:
+    """One row per list element, with its position; null and empty lists give none.
+
+    A plain ``explode`` makes the optimizer infer a filter on the list, which computes the list
+    expression again below; an outer one with the filter on top computes it once.
+    """
+    opened = df.select(*keep, F.posexplode_outer(items).alias(pos, item))
+    return opened.filter(F.col(pos).isNotNull())

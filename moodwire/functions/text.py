@@ -9,9 +9,16 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+# The characters with the Unicode White_Space property.
+WHITE_SPACE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def utrim(c: Column) -> Column:
-    """Trim every Unicode white-space character; ``trim`` itself only strips U+0020."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    """Trim every Unicode white-space character; ``trim`` alone only strips U+0020."""
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moodwire.functions import strict_json as J
+from moodwire.functions.binding import unrolled
 from moodwire.functions.calls import is_success
 from moodwire.functions.labels import answer_label
 from moodwire.functions.text import preview
@@ -159,7 +160,7 @@ def first_success(decoded: DataFrame, order: DataFrame) -> tuple[DataFrame, Data
 
 def answer_results(ok: DataFrame) -> DataFrame:
     """One result row per answer item, in answer order."""
-    return ok.select("request_id", "chunk", F.posexplode("items").alias("item_pos", "i")).select(
+    return unrolled(ok, ["request_id", "chunk"], F.col("items"), "item_pos", "i").select(
         "request_id",
         "chunk",
         "item_pos",

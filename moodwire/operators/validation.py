@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodwire import schemas
-from moodwire.functions.binding import let
+from moodwire.functions.binding import let, unrolled
 from moodwire.functions.text import byte_len, uni_upper, utrim
 from moodwire.params import (
     MAX_ARTICLES,
@@ -185,6 +185,6 @@ def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 def request_symbols(valid: DataFrame) -> DataFrame:
     """One row per asked symbol, at most ``MAX_SYMBOLS`` per request after validation."""
     keep = [c for c in valid.columns if c != "symbols"]
-    return valid.select(*keep, F.posexplode("symbols").alias("idx", "s")).select(
+    return unrolled(valid, keep, F.col("symbols"), "idx", "s").select(
         *keep, "idx", F.col("s.ticker").alias("ticker"), F.col("s.name").alias("name")
     )

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodwire.functions import strict_json as J
+from moodwire.functions.binding import unrolled
 from moodwire.functions.text import ascii_upper
 from moodwire.params import Params
 from moodwire.sources import feeds
 from moodwire.sources.payloads import successful
 
 
-def _mention_pairs(read: DataFrame) -> Column:
+def _mention_pairs() -> Column:
     """(title, ticker) pairs of a payload of any feed; only the feed's own branch is evaluated."""
     body = F.col("body")
     feed3 = F.when(~F.col("notice"), feeds.feed3_pairs(F.col("root")))
@@ -54,11 +55,10 @@ def mentions(payloads: DataFrame) -> DataFrame:
             F.coalesce(feeds.payload_notice(F.col("root"), F.col("typed")), F.lit(False)),
         ),
     )
-    return read.select(
-        "request_id",
-        F.col("feed").alias("feed_rank"),
-        F.posexplode(_mention_pairs(read)).alias("pos", "m"),
-    ).select("request_id", "feed_rank", "pos", "m.ticker", "m.title")
+    keep = ["request_id", F.col("feed").alias("feed_rank")]
+    return unrolled(read, keep, _mention_pairs(), "pos", "m").select(
+        "request_id", "feed_rank", "pos", "m.ticker", "m.title"
+    )
 
 
 def _listed(feed: int) -> Column:

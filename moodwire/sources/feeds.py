@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodwire.functions import strict_json as J
+from moodwire.functions.binding import unrolled
 from moodwire.functions.text import utrim
 
 # Wire names in the feed bodies.
@@ -23,7 +24,7 @@ NOTICE_KEYS = ["Note", "Information", "Error Message"]
 
 def _mentions(payloads: DataFrame, pairs: Column, feed_rank: int) -> DataFrame:
     """One row per (title, ticker) pair; a null list gives no row."""
-    return payloads.select("request_id", F.posexplode(pairs).alias("pos", "m")).select(
+    return unrolled(payloads, ["request_id"], pairs, "pos", "m").select(
         "request_id",
         F.lit(feed_rank).alias("feed_rank"),
         "pos",
@@ -168,21 +169,21 @@ def feed3_pairs(root: Column) -> Column:
 
 def decode_feed3(payloads: DataFrame, tolerant: bool = True) -> DataFrame:
     """Feed 3 mentions; ``tolerant=False`` keeps only bodies of the declared shape."""
-    read = read_feed3(payloads).filter(~F.col("notice"))
-    if not tolerant:
-        read = read.filter("typed")
-    return _mentions(read, feed3_pairs(F.col("root")), 3)
+    wanted = ~F.col("notice") if tolerant else ~F.col("notice") & F.col("typed")
+    return _mentions(read_feed3(payloads), F.when(wanted, feed3_pairs(F.col("root"))), 3)
 
 
 def decode_feed3_tolerant(payloads: DataFrame) -> DataFrame:
     """Only the bodies that the typed decode refuses."""
-    read = read_feed3(payloads).filter(~F.col("notice") & ~F.col("typed"))
-    return _mentions(read, feed3_pairs(F.col("root")), 3)
+    wanted = ~F.col("notice") & ~F.col("typed")
+    return _mentions(read_feed3(payloads), F.when(wanted, feed3_pairs(F.col("root"))), 3)
 
 
 def feed3_notices(payloads: DataFrame) -> DataFrame:
     """Bodies that carry a notice; each counts as a ``2xx_payload_error`` of its feed."""
-    return read_feed3(payloads).filter("notice").drop("root", "body")
+    kept = [c for c in payloads.columns if c != "body"]
+    marked = F.when(F.col("notice"), F.array(F.lit(True)))
+    return unrolled(read_feed3(payloads), [*kept, "typed"], marked).drop("pos", "item")
 
 
 def feed4_items(body: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import duckdb
 
@@ -11,6 +12,9 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+# Seconds of the last comparison, by side.
+TIMES: dict[str, float] = {}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -36,10 +40,13 @@ def _rows(columns: list[str], rows) -> list[tuple[str, ...]]:
 
 def difference(df, con, sql: str) -> str | None:
     """None when equal, else a short account of what differs."""
+    began = time.time()
     got = [tuple(r) for r in df.collect()]
+    TIMES["spark"], began = time.time() - began, time.time()
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     want = result.fetchall()
+    TIMES["sql"] = time.time() - began
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     a, b = _rows(df.columns, got), _rows(names, want)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodwire.functions.binding import let
+from moodwire.functions.binding import let, unrolled
 from moodwire.operators.validation import split_valid
 from moodwire.params import ANSWER_PROVIDERS, MAX_SYMBOLS, Params
 from workload.registry import Tables
@@ -267,7 +267,7 @@ def news_payloads(requests: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return requests.select("request_id", F.explode(F.concat(batched, single)).alias("p")).select(
+    return unrolled(requests, ["request_id"], F.concat(batched, single), "_at", "p").select(
         "request_id", "p.*"
     )
 
@@ -383,7 +383,7 @@ def answer_bodies(chunks: DataFrame) -> DataFrame:
             for p, (s, b) in answers.items()
         ]
     )
-    return base.select("request_id", "chunk", F.explode(rows).alias("a")).select(
+    return unrolled(base, ["request_id", "chunk"], rows, "_at", "a").select(
         "request_id", "chunk", "a.*"
     )
 
@@ -606,7 +606,7 @@ def call_log(t: Tables) -> DataFrame:
     status = F.lit(None).cast("int")
     for i, value in enumerate(STATUSES):
         status = F.when(code == i, F.lit(value)).otherwise(status)
-    return t.lineitem.select("*", F.explode(attempts).alias("attempt")).select(
+    return unrolled(t.lineitem, ["*"], attempts, "_at", "attempt").select(
         call_id.alias("call_id"),
         F.concat(F.lit("p"), (F.col("l_suppkey") % 7).cast("string")).alias("provider"),
         "attempt",
