@@ -9,17 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from moodwire.functions.binding import let
+
 
 def parse_typed(body: Column, ddl: str) -> Column:
     """The one value in ``body`` as ``ddl``, else null."""
-    wrapped = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{ddl}>")
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    return _only(F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{ddl}>"))
 
 
 def parse_variant(body: Column) -> Column:
     """The one value in ``body`` as a variant, else null."""
-    wrapped = as_array(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))))
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    return _only(as_array(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))))
+
+
+def _only(values: Column) -> Column:
+    return let(values, lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
 
 
 def as_array(v: Column, path: str = "$") -> Column:
@@ -40,10 +44,7 @@ def is_string(v: Column) -> Column:
 
 
 def is_number(v: Column) -> Column:
-    kind = type_of(v)
-    return F.coalesce(
-        kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False)
-    )
+    return F.coalesce(F.rlike(type_of(v), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")), F.lit(False))
 
 
 def is_object(v: Column) -> Column:
@@ -51,7 +52,11 @@ def is_object(v: Column) -> Column:
 
 
 def absent_or_null(v: Column) -> Column:
-    return v.isNull() | F.coalesce(type_of(v) == "VOID", F.lit(False))
+    return F.coalesce(type_of(v), F.lit("VOID")) == "VOID"
+
+
+def optional_string(v: Column) -> Column:
+    return F.coalesce(type_of(v), F.lit("VOID")).isin("VOID", "STRING")
 
 
 def text_of(v: Column) -> Column:

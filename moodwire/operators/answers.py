@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moodwire.functions import strict_json as J
-from moodwire.functions.binding import unrolled
+from moodwire.functions.binding import let, unrolled
 from moodwire.functions.calls import is_success
 from moodwire.functions.labels import answer_label
 from moodwire.functions.text import preview
@@ -74,8 +74,10 @@ def answer_items(content: Column) -> Column:
 
     Null when the answer has neither or when any item lacks a field or has one of a wrong type.
     """
-    root = J.parse_variant(content)
-    listed = F.coalesce(J.as_array(root), J.as_array(root, "$.results"))
+    listed = let(
+        J.parse_variant(content),
+        lambda root: F.coalesce(J.as_array(root), J.as_array(root, "$.results")),
+    )
 
     def good(item: Column) -> Column:
         checks = [J.is_string(J.at(item, f"$.{f}")) for f in TEXT_FIELDS]
@@ -85,23 +87,24 @@ def answer_items(content: Column) -> Column:
             all_good = all_good & check
         return all_good
 
-    typed = F.transform(
-        listed,
-        lambda item: F.struct(
+    def typed(item: Column) -> Column:
+        return F.struct(
             J.text_of(J.at(item, "$.symbol")).alias("symbol"),
             J.number_of(J.at(item, "$.sentiment_score")).alias("sentiment_score"),
             J.text_of(J.at(item, "$.label")).alias("label"),
             J.number_of(J.at(item, "$.confidence")).alias("confidence"),
             J.text_of(J.at(item, "$.reasoning")).alias("reasoning"),
-        ),
-    )
-    return F.when(F.forall(listed, good), typed)
+        )
+
+    return let(listed, lambda items: F.when(F.forall(items, good), F.transform(items, typed)))
 
 
 def message_content(body: Column) -> Column:
     """Message text inside a chat-completion body; null when the body has no such text."""
-    content = J.at(J.parse_variant(body), "$.choices[0].message.content")
-    return F.when(J.is_string(content), J.text_of(content))
+    return let(
+        J.at(J.parse_variant(body), "$.choices[0].message.content"),
+        lambda content: F.when(J.is_string(content), J.text_of(content)),
+    )
 
 
 def decode_answers(answers: DataFrame) -> DataFrame:

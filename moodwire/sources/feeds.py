@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodwire.functions import strict_json as J
-from moodwire.functions.binding import unrolled
+from moodwire.functions.binding import let, unrolled
 from moodwire.functions.text import utrim
 
 # Wire names in the feed bodies.
@@ -49,13 +49,18 @@ def title_pairs(items: Column, names: str, title: str = "title", name_of=lambda
 
 def feed1_items(body: Column) -> Column:
     """Items of a well-formed feed 1 body, else null."""
-    items = J.parse_typed(body, FEED1)
-    good = F.forall(
-        items,
-        lambda item: J.is_string(item["title"])
-        & F.coalesce(F.forall(item["tickers"], J.is_string), F.lit(False)),
-    )
-    return F.when(good, items)
+
+    def good(item: Column) -> Column:
+        return J.is_string(item["title"]) & F.coalesce(
+            F.forall(item["tickers"], J.is_string), F.lit(False)
+        )
+
+    return _whole(J.parse_typed(body, FEED1), good)
+
+
+def _whole(items: Column, good) -> Column:
+    """The list when all items are good, else null."""
+    return let(items, lambda listed: F.when(F.forall(listed, good), listed))
 
 
 def decode_feed1(payloads: DataFrame) -> DataFrame:
@@ -65,15 +70,13 @@ def decode_feed1(payloads: DataFrame) -> DataFrame:
 
 def feed2_items(body: Column) -> Column:
     """Items of a well-formed feed 2 body, else null."""
-    items = J.parse_typed(body, FEED2)["data"]
-    good = F.forall(
-        items,
-        lambda item: J.is_string(item["title"])
-        & F.coalesce(
+
+    def good(item: Column) -> Column:
+        return J.is_string(item["title"]) & F.coalesce(
             F.forall(item["entities"], lambda e: J.is_string(e["symbol"])), F.lit(False)
-        ),
-    )
-    return F.when(good, items)
+        )
+
+    return _whole(J.parse_typed(body, FEED2)["data"], good)
 
 
 def decode_feed2(payloads: DataFrame) -> DataFrame:
@@ -83,33 +86,26 @@ def decode_feed2(payloads: DataFrame) -> DataFrame:
     )
 
 
-def _optional_string(v: Column) -> Column:
-    return J.absent_or_null(v) | J.is_string(v)
-
-
 def feed3_typed(root: Column) -> Column:
     """Whether a parsed feed 3 body has the declared shape throughout."""
-    feed = J.as_array(root, "$.feed")
+
+    def list_or_absent(value: Column, good) -> Column:
+        every = F.coalesce(F.forall(J.as_array(value), good), F.lit(False))
+        return value.isNull() | every
 
     def item_good(item: Column) -> Column:
-        names = J.at(item, "$.ticker_sentiment")
-        return (
-            J.is_object(item)
-            & _optional_string(J.at(item, "$.title"))
-            & (
-                names.isNull()
-                | F.coalesce(
-                    F.forall(J.as_array(names), lambda n: J.is_string(J.at(n, "$.ticker"))),
-                    F.lit(False),
-                )
-            )
+        names = let(
+            J.at(item, "$.ticker_sentiment"),
+            lambda v: list_or_absent(v, lambda n: J.is_string(J.at(n, "$.ticker"))),
         )
+        return J.is_object(item) & J.optional_string(J.at(item, "$.title")) & names
 
-    feed_good = J.at(root, "$.feed").isNull() | F.coalesce(F.forall(feed, item_good), F.lit(False))
-    notices_good = F.lit(True)
+    good = J.is_object(root) & let(
+        J.at(root, "$.feed"), lambda v: list_or_absent(v, item_good)
+    )
     for key in NOTICE_KEYS:
-        notices_good = notices_good & _optional_string(J.at(root, f'$["{key}"]'))
-    return J.is_object(root) & feed_good & notices_good
+        good = good & J.optional_string(J.at(root, f'$["{key}"]'))
+    return good
 
 
 def payload_notice(root: Column, typed: Column) -> Column:
@@ -117,13 +113,15 @@ def payload_notice(root: Column, typed: Column) -> Column:
 
     On the typed path a null notice is no notice; on the tolerant path the key alone counts.
     """
-    present = F.lit(False)
-    filled = F.lit(False)
-    for key in NOTICE_KEYS:
-        value = J.at(root, f'$["{key}"]')
-        present = present | value.isNotNull()
-        filled = filled | ~J.absent_or_null(value)
-    return F.when(typed, filled).otherwise(present)
+
+    def kind(key: str) -> Column:
+        return F.coalesce(J.type_of(J.at(root, f'$["{key}"]')), F.lit("absent"))
+
+    kinds = F.array(*[kind(key) for key in NOTICE_KEYS])
+    harmless = F.when(typed, F.array(F.lit("absent"), F.lit("VOID"))).otherwise(
+        F.array(F.lit("absent"))
+    )
+    return F.size(F.array_except(kinds, harmless)) > 0
 
 
 def read_feed3(payloads: DataFrame) -> DataFrame:
@@ -145,8 +143,8 @@ def feed3_pairs(root: Column) -> Column:
     items = F.transform(
         J.as_array(root, "$.feed"),
         lambda item: F.struct(
-            F.when(
-                J.is_string(J.at(item, "$.title")), utrim(J.text_of(J.at(item, "$.title")))
+            let(
+                J.at(item, "$.title"), lambda v: F.when(J.is_string(v), utrim(J.text_of(v)))
             ).alias("title"),
             J.as_array(item, "$.ticker_sentiment").alias("names"),
         ),
@@ -188,8 +186,7 @@ def feed3_notices(payloads: DataFrame) -> DataFrame:
 
 def feed4_items(body: Column) -> Column:
     """Items of a well-formed feed 4 body, else null."""
-    items = J.parse_typed(body, FEED4)
-    return F.when(F.forall(items, lambda item: J.is_string(item["headline"])), items)
+    return _whole(J.parse_typed(body, FEED4), lambda item: J.is_string(item["headline"]))
 
 
 def decode_feed4(payloads: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from moodwire.functions.binding import let, unrolled
 from moodwire.operators.validation import split_valid
-from moodwire.params import ANSWER_PROVIDERS, MAX_SYMBOLS, Params
+from moodwire.params import ANSWER_CHUNK, ANSWER_PROVIDERS, MAX_SYMBOLS, Params
 from workload.registry import Tables
 
 EPOCH_2024_US = 1_704_067_200_000_000
@@ -276,8 +276,7 @@ NEWS_BUDGET = 4
 NEWS_PARAMS = Params(call_budget=NEWS_BUDGET, answer_keys=frozenset(ANSWER_PROVIDERS))
 
 # Per symbol: titles each feed would give (n1..n4), then the steps of one request after another.
-NEWS = f"""
-{ORDER_SYMBOLS},
+STEPS = f"""
 offered as (
   select *,
     case when okey % 7 = 0 or okey % 11 = 0 or okey % 13 = 0 then 0
@@ -319,16 +318,21 @@ titled as (
       case when served4 and n4 >= 3 then name || ' h2' end) as text
   from news)
 """
+NEWS = f"{ORDER_SYMBOLS}, {STEPS}"
 
 # ---------------------------------------------------------------------------------------------
 # Answers for the chunks that are asked: three providers with rule-made failures.
 
 
-def answer_bodies(chunks: DataFrame) -> DataFrame:
-    """Chat-completion bodies of all providers for each chunk (at most 15 symbols)."""
-    listed = chunks.groupBy("request_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "ticker"))).alias("asked")
+def answer_bodies(requests: DataFrame) -> DataFrame:
+    """Chat-completion bodies of all providers for every chunk a request may ask.
+
+    Each answer names all symbols of the request, so it also holds some that were not asked.
+    """
+    chunks = F.sequence(
+        F.lit(0), F.floor((F.size("symbols") - 1) / F.lit(ANSWER_CHUNK)).cast("int")
     )
+    listed = unrolled(requests, ["request_id", F.col("symbols").alias("asked")], chunks, "_at", "chunk")
     okey = order_of(F.col("request_id"))
 
     def item(symbol: Column, score: Column, pk: Column) -> Column:
@@ -388,8 +392,7 @@ def answer_bodies(chunks: DataFrame) -> DataFrame:
     )
 
 
-ANSWERS = f"""
-{NEWS},
+ANSWER_STEPS = """
 pending as (
   select *, ((row_number() over (partition by okey order by idx) - 1) // 15)::int as chunk
   from titled where article_count = 0),
@@ -407,6 +410,7 @@ answered as (
   where c.provider is not null and pk % 5 <> 0),
 failed as (select * from chunks where provider is null)
 """
+ANSWERS = f"{NEWS}, {ANSWER_STEPS}"
 
 # ---------------------------------------------------------------------------------------------
 # Feed bodies from the lines of whole documents, for the decoders.

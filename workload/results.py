@@ -461,8 +461,16 @@ def answer_decode(t: Tables):
     )
 
 
+def answer_bodies(t: Tables):
+    """Answers to the chunks that are really asked."""
+    asked = pending_chunks(t).select("request_id", "chunk").distinct()
+    return D.answer_bodies(D.valid_order_requests(t)).join(
+        asked, ["request_id", "chunk"], "left_semi"
+    )
+
+
 def answer_calls(t: Tables):
-    return A.decode_answers(D.answer_bodies(pending_chunks(t)))
+    return A.decode_answers(answer_bodies(t))
 
 
 def answer_order(t: Tables):
@@ -496,7 +504,7 @@ from failed""",
 )
 def failure_lists(t: Tables):
     blank = F.when(F.col("http_status") == 200, F.col("body")).otherwise(F.lit(""))
-    calls_made = D.answer_bodies(pending_chunks(t)).withColumn("body", blank)
+    calls_made = answer_bodies(t).withColumn("body", blank)
     _, failed = A.first_success(A.decode_answers(calls_made), answer_order(t))
     return failed
 
@@ -534,7 +542,7 @@ def resolved(t: Tables):
     return P.resolve_misses(
         symbols,
         D.news_payloads(requests),
-        D.answer_bodies(pending_chunks(t)),
+        D.answer_bodies(requests),
         D.NEWS_PARAMS,
     )
 
@@ -618,49 +626,135 @@ def transition_steps(t: Tables):
 
 # ------------------------------------------------------------------------------ whole job
 
+REUSE_DAYS = 30
 ANALYZE_PARAMS = Params(
     call_budget=D.NEWS_BUDGET,
     answer_keys=frozenset(ANSWER_PROVIDERS),
     auth_mode="jwt",
-    tenant_per_minute=100,
-    global_per_minute=1000,
+    ttl_seconds=REUSE_DAYS * 86400,
 )
 
 
+def prior_results(t: Tables):
+    """Every line shipped stands for a result of its part, computed on the ship date."""
+    symbol = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    values = {
+        "symbol": symbol,
+        "sentiment_score": F.lit(0.5),
+        "label": F.lit("bullish"),
+        "confidence": F.lit(0.5),
+        "source_tier": F.lit("tier_1_local_onnx"),
+        "news_provider": F.lit("batch_news"),
+        "article_count": F.lit(1),
+        "reasoning": F.lit(None).cast("string"),
+    }
+    return t.lineitem.select(
+        symbol.alias("cache_key"),
+        F.col("l_shipdate").alias("computed_at"),
+        F.struct(*[values[c].alias(c) for c in RESULT_COLUMNS]).alias("result"),
+    )
+
+
 def analysis(t: Tables) -> P.Analysis:
-    """All order requests through the whole job; orders of the same customer reuse results."""
+    """All order requests, good and bad, through the whole job."""
     requests = D.order_requests(t, wide_bounds=True)
-    empty_result = F.struct(
-        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"),
-        F.lit(0.5).alias("sentiment_score"),
-        F.lit("bullish").alias("label"),
-        F.lit(0.5).alias("confidence"),
-        F.lit("tier_1_local_onnx").alias("source_tier"),
-        F.lit("batch_news").alias("news_provider"),
-        F.lit(1).alias("article_count"),
-        F.lit(None).cast("string").alias("reasoning"),
-    )
-    prior = t.part.select(
-        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("cache_key"),
-        F.expr("timestamp'1998-01-01 00:00:00'").alias("computed_at"),
-        empty_result.alias("result"),
-    )
     return P.analyze(
         requests,
         D.news_payloads(requests),
-        D.answer_bodies(pending_chunks(t)),
-        prior,
+        D.answer_bodies(requests),
+        prior_results(t),
         ANALYZE_PARAMS,
     )
 
 
-@query("analyze_sentiment")
+ANALYZED = f"""
+{D.ORDER_SYMBOLS},
+requests as (
+  select distinct s.okey, s.request_id, o_custkey,
+    epoch_us(o_orderdate) + okey % 86400 * 1000000 as t,
+    case when okey in (select okey from repeated) or 1 + okey % 200 > 168 or 1 + okey % 25 > 20
+           then 'INVALID_REQUEST'
+         when okey % 3 = 0 or (okey % 3 = 1 and okey % 5 = 0) then 'UNAUTHORIZED' end as stopped
+  from all_symbols s join orders on okey = o_orderkey),
+lookups as (
+  select s.okey, s.idx, upper(s.ticker) as cache_key, r.t
+  from all_symbols s join requests r using (okey) where r.stopped is null),
+prior as (select distinct 'P' || l_partkey as cache_key, epoch_us(l_shipdate) as t from lineitem),
+looked_up as (
+  select l.okey, l.idx, coalesce(p.t > l.t - {REUSE_DAYS * 86400 * 1_000_000}, false) as hit
+  from lookups l asof left join prior p on l.cache_key = p.cache_key and l.t >= p.t),
+missed as (
+  select s.* replace (1 + s.okey % 25 as max_articles)
+  from all_symbols s join looked_up u using (okey, idx) where not u.hit),
+{D.STEPS.replace("from symbols)", "from missed)")},
+{D.ANSWER_STEPS},
+dry as (select distinct okey from failed)
+"""
+
+
+@query(
+    "analyze_sentiment",
+    f"""
+with {ANALYZED},
+sent as (
+  select okey, idx, 'P' || pk as symbol, 0.5::double as score, 'bullish' as label, 1 as n, '' as why
+  from all_symbols join looked_up using (okey, idx) where hit
+  union all
+  select okey, idx, ticker, case when contains(text, 'Bear') then -0.5::double else 0.0::double end,
+    case when contains(text, 'Bear') then 'bearish' else 'neutral' end, article_count, ''
+  from titled where article_count > 0
+  union all
+  select okey, idx, ticker, score, label, 0, 'because ' || pk from answered)
+select 'r' || okey as request_id, idx::int as idx, symbol, round(score, 6) + 0.0 as sentiment_score,
+  label, n::int as article_count, why as reasoning
+from sent where okey not in (select okey from dry)""",
+)
 def analyze_sentiment(t: Tables):
-    return analysis(t).sentiment.select("request_id", "idx", *RESULT_COLUMNS)
+    return analysis(t).sentiment.select(
+        "request_id",
+        "idx",
+        "symbol",
+        (F.round("sentiment_score", 6) + F.lit(0.0)).alias("sentiment_score"),
+        "label",
+        "article_count",
+        F.coalesce("reasoning", F.lit("")).alias("reasoning"),
+    )
 
 
-@query("analyze_rejects")
+@query(
+    "analyze_rejects",
+    f"""
+with {ANALYZED}
+select request_id, case stopped when 'INVALID_REQUEST' then 400 else 401 end as http_status,
+  stopped as code, '' as retry from requests where stopped is not null
+union all
+select 'r' || okey, 503, 'INTELLIGENCE_EXHAUSTION', '300' from dry""",
+)
 def analyze_rejects(t: Tables):
-    return analysis(t).rejects.select("request_id", "http_status", "outcome_code")
+    return analysis(t).rejects.select(
+        "request_id",
+        "http_status",
+        "envelope.code",
+        F.coalesce(F.col("envelope.retry_after_seconds").cast("string"), F.lit("")).alias("retry"),
+    )
 
 
+@query(
+    "c2_stored_after_analysis",
+    f"""
+with {ANALYZED},
+fresh as (
+  select upper(ticker) as cache_key, okey, idx, 'tier_1_local_onnx' as tier from titled
+  where article_count > 0
+  union all
+  select upper(ticker), okey, idx, 'tier_3_llm' from answered),
+timed as (select f.*, r.t, r.request_id from fresh f join requests r using (okey))
+select cache_key, max(t) as computed_us, arg_max(tier, row(t, request_id, idx)) as source_tier
+from timed group by cache_key""",
+)
+def stored_after_analysis(t: Tables):
+    return analysis(t).storable.select(
+        "cache_key",
+        F.unix_micros("computed_at").alias("computed_us"),
+        F.col("result.source_tier").alias("source_tier"),
+    )
