@@ -17,6 +17,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later filters read instead of computing it again.
+
+    The optimizer moves a filter below the projection it reads from and copies the expression into
+    it; it does not move a filter below the ``explode`` of a list of one.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def unrolled(
     df: DataFrame, keep: list, items: Column, pos: str = "pos", item: str = "item"
 ) -> DataFrame:

@@ -26,12 +26,16 @@ def is_blank(c: Column) -> Column:
 
 
 def ascii_upper(c: Column) -> Column:
-    """Upper-case a-z only; ``upper`` would turn ß into SS."""
-    return F.translate(c, _LOWER, _UPPER)
+    """Upper-case a-z only; ``upper`` would turn ß into SS. Pure ASCII takes the fast way."""
+    return F.when(_is_ascii(c), F.upper(c)).otherwise(F.translate(c, _LOWER, _UPPER))
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, _UPPER, _LOWER)
+    return F.when(_is_ascii(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _LOWER))
+
+
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
 
 
 def uni_upper(c: Column) -> Column:

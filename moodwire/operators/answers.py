@@ -37,7 +37,7 @@ def symbols_description(chunks: DataFrame) -> DataFrame:
     """``name (ticker), name (ticker)`` per chunk, in request order."""
     named = F.concat(F.col("name"), F.lit(" ("), F.col("ticker"), F.lit(")"))
     listed = chunks.groupBy("request_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("idx", named.alias("named")))).alias("listed"),
+        F.sort_array(F.collect_list(F.struct("idx", named.alias("named")))).alias("listed"),
         F.count("*").alias("n_symbols"),
     )
     return listed.select(
@@ -145,7 +145,7 @@ def first_success(decoded: DataFrame, order: DataFrame) -> tuple[DataFrame, Data
         F.min_by(
             F.when(usable, F.struct("provider", "items")), F.when(usable, F.col("ord"))
         ).alias("best"),
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.when(F.col("failure").isNotNull(), F.struct("ord", "failure")))
         ).alias("failures"),
     )

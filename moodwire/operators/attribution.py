@@ -61,7 +61,7 @@ def article_text(articles: DataFrame) -> DataFrame:
     larger than a few landed bodies.
     """
     listed = articles.groupBy("request_id", "ticker").agg(
-        F.array_sort(F.collect_list(F.struct("feed_rank", "pos", "title"))).alias("found")
+        F.sort_array(F.collect_list(F.struct("feed_rank", "pos", "title"))).alias("found")
     )
     titles = F.col("found.title")
     return listed.select(

@@ -34,7 +34,7 @@ def duration_quantiles(log: DataFrame, by: list[str] | None = None) -> DataFrame
     A group holds at most ``DURATION_SAMPLES`` values, so it can be sorted as one array.
     """
     samples = last_samples(log, by=by)
-    sorted_ms = F.array_sort(F.collect_list("duration_ms"))
+    sorted_ms = F.sort_array(F.collect_list("duration_ms"))
     listed = samples.groupBy(*(by or [])).agg(sorted_ms.alias("_ms"))
     n = F.size("_ms")
     picks = [

@@ -22,6 +22,7 @@ from moodwire.session import cut_lineage
 
 BLOCK_TTLS = 4
 FAN_OUT = 16
+SLICE_US = 300_000_000
 _CLOSED = -(2**62)
 
 
@@ -29,43 +30,50 @@ def reuse(request_symbols: DataFrame, prior: DataFrame, ttl_s: int) -> DataFrame
     """Adds ``hit`` and ``reused``: the newest result of the key not older than the TTL.
 
     ``request_symbols`` has cache_key and ts; ``prior`` has cache_key, computed_at and a struct
-    ``result``. Both are cut into buckets of one TTL, in which a result is offered to its own
-    bucket and the next, so that a busy key is spread over time instead of sorted in one task.
+    ``result``. A key's rows are spread over slices of time. Inside a slice a window finds the
+    newest result so far; the newest result of all slices before comes from one row per slice, so
+    a busy key is never sorted in one task.
     """
-    ttl_us = ttl_s * 1_000_000
     at = F.unix_micros("ts")
-    asks = request_symbols.select(
-        "*",
-        at.alias("_at"),
-        F.expr(f"unix_micros(ts) div {ttl_us}L").alias("_bucket"),
-        F.lit(1).alias("_side"),
-    )
+    asks = request_symbols.withColumns({"_at": at, "_side": F.lit(1)})
     offers = prior.select(
-        F.col("cache_key"),
+        "cache_key",
         F.unix_micros("computed_at").alias("_at"),
-        F.explode(
-            F.expr(
-                f"array(unix_micros(computed_at) div {ttl_us}L,"
-                f" unix_micros(computed_at) div {ttl_us}L + 1)"
-            )
-        ).alias("_bucket"),
         F.lit(0).alias("_side"),
         F.struct(F.unix_micros("computed_at").alias("at"), F.col("result")).alias("_offer"),
     )
-    both = asks.unionByName(offers, allowMissingColumns=True)
+    both = asks.unionByName(offers, allowMissingColumns=True).withColumn(
+        "_slice", F.expr(f"_at div {SLICE_US}L")
+    )
+    before = Window.partitionBy("cache_key").orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    carried = (
+        both.groupBy("cache_key", "_slice")
+        .agg(F.max_by("_offer", F.col("_offer.at")).alias("_newest"))
+        .select(
+            "cache_key",
+            "_slice",
+            F.last("_newest", ignorenulls=True).over(before).alias("_carried"),
+        )
+    )
     so_far = (
-        Window.partitionBy("cache_key", "_bucket")
+        Window.partitionBy("cache_key", "_slice")
         .orderBy("_at", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    seen = both.withColumn("_seen", F.last("_offer", ignorenulls=True).over(so_far)).filter(
-        F.col("_side") == 1
+    seen = (
+        both.withColumn("_here", F.last("_offer", ignorenulls=True).over(so_far))
+        .filter(F.col("_side") == 1)
+        .join(carried, ["cache_key", "_slice"])
+        .withColumn("_seen", F.coalesce("_here", "_carried"))
     )
-    hit = F.coalesce(F.col("_seen.at") > F.col("_at") - F.lit(ttl_us), F.lit(False))
+    oldest = F.col("_at") - F.lit(ttl_s * 1_000_000)
+    hit = F.coalesce(F.col("_seen.at") > oldest, F.lit(False))
     return (
         seen.withColumn("hit", hit)
         .withColumn("reused", F.when(hit, F.col("_seen.result")))
-        .drop("_at", "_bucket", "_side", "_offer", "_seen")
+        .select(*request_symbols.columns, "hit", "reused")
     )
 
 

@@ -79,8 +79,8 @@ def onnx_logits(model_file: str, tokenizer_file: str, threads: int = 2):
 def model_scorer(load: Callable, labels: list[str], batch: int = BATCH_TEXTS) -> Scorer:
     """Classifier scorer. ``load()`` gives texts → logits and is called once per task.
 
-    The score is a pure function of the text, so each distinct text is classified once and joined
-    back.
+    The score is a pure function of the text, so each distinct text is classified once. Rows and
+    scores meet on the text's SHA-256, so the text itself is shuffled a single time.
     """
 
     def logits_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,13 +88,15 @@ def model_scorer(load: Callable, labels: list[str], batch: int = BATCH_TEXTS) ->
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
-                yield pd.DataFrame({"text": part["text"], "logits": run(part["text"].tolist())})
+                logits = run(part["text"].tolist())
+                yield pd.DataFrame({"_digest": part["_digest"], "logits": logits})
 
     def score(rows: DataFrame) -> DataFrame:
-        texts = rows.select("text").distinct()
-        logits = texts.mapInPandas(logits_of, "text string, logits array<double>")
+        keyed = rows.withColumn("_digest", F.sha2("text", 256))
+        texts = keyed.groupBy("_digest").agg(F.any_value("text").alias("text"))
+        logits = texts.mapInPandas(logits_of, "_digest string, logits array<double>")
         scored = logits_scorer(labels)(logits).drop("logits")
-        return rows.join(scored, "text").select(
+        return keyed.join(scored, "_digest").select(
             *rows.columns, "sentiment_score", "label", "confidence"
         )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodwire import schemas
-from moodwire.functions.binding import let, unrolled
+from moodwire.functions.binding import computed_once, let, unrolled
 from moodwire.functions.text import byte_len, uni_upper, utrim
 from moodwire.params import (
     MAX_ARTICLES,
@@ -67,7 +67,7 @@ def _repeated(symbols: Column) -> Column:
     Sorting the keys puts repeats next to each other, which keeps long requests off a quadratic
     search.
     """
-    keys = F.array_sort(
+    keys = F.sort_array(
         F.transform(
             symbols,
             lambda s, i: F.struct(uni_upper(utrim(s["ticker"])).alias("key"), i.alias("at")),
@@ -85,7 +85,7 @@ def _repeated(symbols: Column) -> Column:
             ),
         ),
     )
-    return F.transform(F.array_sort(marked), lambda m: m["repeated"])
+    return F.transform(F.sort_array(marked), lambda m: m["repeated"])
 
 
 def _symbol_rule(symbols: Column, bad, code: str, part: str) -> Column:
@@ -161,15 +161,13 @@ def symbol_details(symbols: Column) -> Column:
 
 def with_details(requests: DataFrame) -> DataFrame:
     """All findings of a request, none cut short: count, symbols, lookback, articles."""
-    return requests.withColumn(
-        "details",
-        F.concat(
-            rule_symbol_count(F.col("symbols")),
-            F.coalesce(symbol_details(F.col("symbols")), _none()),
-            rule_lookback(F.col("lookback_hours")),
-            rule_articles(F.col("max_articles")),
-        ),
+    details = F.concat(
+        rule_symbol_count(F.col("symbols")),
+        F.coalesce(symbol_details(F.col("symbols")), _none()),
+        rule_lookback(F.col("lookback_hours")),
+        rule_articles(F.col("max_articles")),
     )
+    return computed_once(requests, "details", details)
 
 
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -54,12 +54,13 @@ def resolve_misses(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(routed symbols, local results, answered results, failed chunks). Runs a job.
 
-    The routed symbols feed five consumers and are therefore cut once.
+    The routed symbols and the local results have several consumers each and are cut once, so
+    that neither the feeds are decoded nor the texts are scored again.
     """
     states = waterfall(misses, payloads, params)
     news = states.withColumn("scored", F.col("article_count") > 0).drop("titles")
     routed = cut_lineage(R.route(news, params))
-    local = R.local_results(scorer(routed.filter("scored")))
+    local = cut_lineage(R.local_results(scorer(routed.filter("scored"))))
     chunks = A.chunk(routed.filter(F.col("route") == "answer"))
     order = A.order_table(misses.sparkSession, params)
     asked = chunks.select("request_id", "chunk").distinct()
@@ -85,9 +86,8 @@ def analyze(
 
     ``prior`` has cache_key, computed_at and a struct ``result`` with the result columns.
     """
-    decided = requests.join(
-        admit(requests, params, keys).select("request_id", "tenant", "outcome_code"), "request_id"
-    )
+    outcomes = cut_lineage(admit(requests, params, keys))
+    decided = requests.join(outcomes.select("request_id", "tenant", "outcome_code"), "request_id")
     admitted = decided.filter(F.col("outcome_code").isNull())
     symbols = with_cache_key(request_symbols(admitted), params.news_only)
     asked = symbols.select(

@@ -87,7 +87,7 @@ def waterfall(symbols: DataFrame, payloads: DataFrame, params: Params) -> DataFr
         asked.join(said, ["request_id", "folded"], "left")
         .groupBy("request_id", "folded", "wanted", "idx", "name", "max_articles")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.when(matches, F.struct("feed_rank", "pos", "title")))
             ).alias("found")
         )

@@ -95,7 +95,7 @@ def order_requests(t: Tables, wide_bounds: bool = False) -> DataFrame:
         t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")
     )
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "p_name")
-    listed = named.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    listed = named.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     symbols = F.transform(
         "lines",
         lambda x: F.struct(

@@ -12,6 +12,7 @@ from moodwire.operators.validation import request_symbols
 from moodwire.params import ANSWER_PROVIDERS, Params, failover_order
 from moodwire.plans import analyze as P
 from moodwire.schemas import RESULT_COLUMNS
+from moodwire.session import cut_lineage
 from moodwire.sources import sinks
 from workload import adapters as D
 from workload import news as N
@@ -335,7 +336,8 @@ def unavailable_fill(t: Tables):
 
 
 def pending_chunks(t: Tables):
-    return A.chunk(routed(t, "answers").filter(F.col("route") == "answer"))
+    """Chunks that are asked; cut, because answers and their symbols both start from them."""
+    return cut_lineage(A.chunk(routed(t, "answers").filter(F.col("route") == "answer")))
 
 
 @query(
@@ -461,16 +463,16 @@ def answer_decode(t: Tables):
     )
 
 
-def answer_bodies(t: Tables):
+def answer_bodies(t: Tables, chunks):
     """Answers to the chunks that are really asked."""
-    asked = pending_chunks(t).select("request_id", "chunk").distinct()
+    asked = chunks.select("request_id", "chunk").distinct()
     return D.answer_bodies(D.valid_order_requests(t)).join(
         asked, ["request_id", "chunk"], "left_semi"
     )
 
 
-def answer_calls(t: Tables):
-    return A.decode_answers(answer_bodies(t))
+def answer_calls(t: Tables, chunks):
+    return A.decode_answers(answer_bodies(t, chunks))
 
 
 def answer_order(t: Tables):
@@ -484,7 +486,7 @@ with {D.ANSWERS}
 select request_id, chunk, coalesce(provider, 'none') as provider from chunks""",
 )
 def first_success(t: Tables):
-    ok, failed = A.first_success(answer_calls(t), answer_order(t))
+    ok, failed = A.first_success(answer_calls(t, pending_chunks(t)), answer_order(t))
     return ok.select("request_id", "chunk", "provider").unionByName(
         failed.select("request_id", "chunk", F.lit("none").alias("provider"))
     )
@@ -504,7 +506,7 @@ from failed""",
 )
 def failure_lists(t: Tables):
     blank = F.when(F.col("http_status") == 200, F.col("body")).otherwise(F.lit(""))
-    calls_made = answer_bodies(t).withColumn("body", blank)
+    calls_made = answer_bodies(t, pending_chunks(t)).withColumn("body", blank)
     _, failed = A.first_success(A.decode_answers(calls_made), answer_order(t))
     return failed
 
@@ -519,8 +521,9 @@ select request_id, idx::int as idx, ticker as symbol, round(score, 6) + 0.0 as s
 from answered""",
 )
 def attached_answers(t: Tables):
-    ok, _ = A.first_success(answer_calls(t), answer_order(t))
-    attached = A.attach_answers(A.answer_results(ok), pending_chunks(t))
+    chunks = pending_chunks(t)
+    ok, _ = A.first_success(answer_calls(t, chunks), answer_order(t))
+    attached = A.attach_answers(A.answer_results(ok), chunks)
     return attached.select(
         "request_id",
         "idx",
@@ -536,8 +539,8 @@ def attached_answers(t: Tables):
 
 
 def resolved(t: Tables):
-    """(routed, local, answered, failed) of all valid order requests."""
-    requests = D.valid_order_requests(t)
+    """(routed, local, answered, failed) of all valid order requests, landed once beforehand."""
+    requests = cut_lineage(D.valid_order_requests(t))
     symbols = request_symbols(requests)
     return P.resolve_misses(
         symbols,
@@ -656,8 +659,8 @@ def prior_results(t: Tables):
 
 
 def analysis(t: Tables) -> P.Analysis:
-    """All order requests, good and bad, through the whole job."""
-    requests = D.order_requests(t, wide_bounds=True)
+    """All order requests, good and bad, through the whole job, landed once beforehand."""
+    requests = cut_lineage(D.order_requests(t, wide_bounds=True))
     return P.analyze(
         requests,
         D.news_payloads(requests),
