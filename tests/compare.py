@@ -15,6 +15,14 @@ TABLES = (
 # Seconds of the last comparison, by side.
 TIMES: dict[str, float] = {}
 
+KINDS = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "BOOLEAN": "boolean",
+}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -49,6 +57,9 @@ def difference(df, con, sql: str) -> str | None:
     TIMES["sql"] = time.time() - began
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    kinds = {r[0]: KINDS.get(r[1], r[1]) for r in con.execute(f"describe {sql}").fetchall()}
+    if kinds != dict(df.dtypes):
+        return f"types {sorted(df.dtypes)} != {sorted(kinds.items())}"
     a, b = _rows(df.columns, got), _rows(names, want)
     if a == b:
         return None if a else "no rows"

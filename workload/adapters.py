@@ -285,17 +285,17 @@ offered as (
     case when okey % 10 = 0 then 0 when pk % 4 = 2 then least(3, max_articles) else 0 end as n3,
     case when pk % 4 = 3 and pk % 8 <> 7 then least(3, max_articles) else 0 end as n4
   from symbols),
-after1 as (select *, count_if(n1 = 0) over (partition by okey) as m1 from offered),
+after1 as (select *, count(*) filter (where n1 = 0) over (partition by okey) as m1 from offered),
 after2 as (
   select *, n1 + case when m1 > 0 then n2 else 0 end as got2,
     case when m1 > 0 then 2 else 1 end as used2 from after1),
-after2m as (select *, count_if(got2 = 0) over (partition by okey) as m2 from after2),
+after2m as (select *, count(*) filter (where got2 = 0) over (partition by okey) as m2 from after2),
 after3 as (
   select *, got2 + case when m2 > 0 then n3 else 0 end as got3,
     used2 + case when m2 > 0 then 1 else 0 end as used3 from after2m),
 after3m as (
-  select *, count_if(got3 = 0) over (partition by okey) as m3,
-    count_if(got3 = 0) over (partition by okey order by idx) as place from after3),
+  select *, count(*) filter (where got3 = 0) over (partition by okey) as m3,
+    count(*) filter (where got3 = 0) over (partition by okey order by idx) as place from after3),
 news as (
   select *, {NEWS_BUDGET} - used3 as budget_left,
     m1 > 0 and got3 = 0 and place <= {NEWS_BUDGET} - used3 as served4,

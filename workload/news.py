@@ -48,7 +48,7 @@ def payload_scan(t: Tables):
 @query(
     "s1_status_counts",
     """
-select (1 + page_id % 3)::int as feed, count(*) as calls, count_if(page_id % 4 < 2) as usable
+select (1 + page_id % 3)::int as feed, count(*) as calls, count(*) filter (where page_id % 4 < 2) as usable
 from pages group by 1""",
 )
 def status_counts(t: Tables):
@@ -196,7 +196,7 @@ def merged_articles(t: Tables):
     "u1_merge_articles",
     f"""
 with {MERGED}
-select doc_id::varchar as request_id, count_if(feed = 1) as feed1, count_if(feed = 2) as feed2
+select doc_id::varchar as request_id, count(*) filter (where feed = 1) as feed1, count(*) filter (where feed = 2) as feed2
 from merged group by doc_id""",
 )
 def merge_articles(t: Tables):
@@ -385,7 +385,7 @@ def news_waterfall(t: Tables):
 with {D.NEWS}
 select request_id, bool_and(all_attempted) as all_attempted,
   bool_or(budget_exhausted) as budget_exhausted, max(feed_calls)::int as feed_calls,
-  count_if(article_count > 0) as resolved, count_if(article_count = 0) as missing
+  count(*) filter (where article_count > 0) as resolved, count(*) filter (where article_count = 0) as missing
 from titled group by request_id""",
 )
 def request_flags(t: Tables):
@@ -396,8 +396,8 @@ def request_flags(t: Tables):
     "a4_resolved_counts",
     f"""
 with {D.NEWS}
-select okey % 7 as weekday, count_if(article_count > 0) as resolved,
-  count_if(article_count = 0) as missing from titled group by 1""",
+select okey % 7 as weekday, count(*) filter (where article_count > 0) as resolved,
+  count(*) filter (where article_count = 0) as missing from titled group by 1""",
 )
 def resolved_counts(t: Tables):
     flags = W.request_flags(order_news(t))
@@ -453,7 +453,7 @@ list3 as (
   from own3 join docs using (doc_id) where place <= max_articles group by doc_id),
 lists as (
   select doc_id, count(*) as n, string_agg(line, ' ' order by i) as titles,
-    count_if(i < 1 + doc_id % 20) as n4,
+    count(*) filter (where i < 1 + doc_id % 20) as n4,
     string_agg(line, ' ' order by i) filter (where i < 1 + doc_id % 20) as titles4
   from doc_lines group by doc_id),
 chosen as (

@@ -100,7 +100,7 @@ def redacted_documents(t: Tables):
     f"""
 with {D.LOG_LINES}
 select source, count(*) as lines,
-  count_if(list_bool_or(list_transform({D.SECRETS!r}, lambda s: contains(line, s)))) as before,
+  count(*) filter (where list_bool_or(list_transform({D.SECRETS!r}, lambda s: contains(line, s)))) as before,
   0::bigint as after
 from log_lines group by source""",
 )
@@ -242,7 +242,7 @@ def quantiles_by_type(t: Tables):
 TOTALS = """
 totals as (
   select sum(duration_ms)::bigint as duration_sum_ms, count(*) as requests,
-    count_if(exhausted) as exhausted_requests, avg(exhausted::int) as exhaustion_rate
+    count(*) filter (where exhausted) as exhausted_requests, avg(exhausted::int) as exhaustion_rate
   from request_log)
 """
 
@@ -272,9 +272,9 @@ def lookups(t: Tables):
 
 LOOKUPS = """
 lookups as (
-  select count_if(event_type = 'click') as memory_hits, count_if(event_type = 'view') as shared_hits,
-    count_if(event_type not in ('click', 'view')) as misses,
-    count_if(event_type in ('click', 'view')) / count(*) as hit_ratio from events)
+  select count(*) filter (where event_type = 'click') as memory_hits, count(*) filter (where event_type = 'view') as shared_hits,
+    count(*) filter (where event_type not in ('click', 'view')) as misses,
+    count(*) filter (where event_type in ('click', 'view')) / count(*) as hit_ratio from events)
 """
 
 
@@ -374,9 +374,9 @@ def final_attempts(t: Tables):
     "m7_call_outcomes",
     f"""
 with {D.CALL_LOG}, {OUTCOMES}
-select provider, attempts, count(*) as calls, count_if(final_status = 200) as succeeded,
-  count_if(final_status = 200 and attempts > 1) as saved_by_retry,
-  count_if(attempts = 3 and (final_status >= 500 or final_status = -1)) as gave_up
+select provider, attempts, count(*) as calls, count(*) filter (where final_status = 200) as succeeded,
+  count(*) filter (where final_status = 200 and attempts > 1) as saved_by_retry,
+  count(*) filter (where attempts = 3 and (final_status >= 500 or final_status = -1)) as gave_up
 from outcomes group by all""",
 )
 def call_outcomes(t: Tables):
@@ -542,7 +542,7 @@ def stream_reuse(t: Tables):
 with {D.REQUEST_LOG},
 windows as (
   select epoch_us(ts) // 3600000000 * 3600000000 as window_us, count(*) as requests,
-    sum(duration_ms)::bigint as duration_sum_ms, count_if(exhausted) as exhausted_requests
+    sum(duration_ms)::bigint as duration_sum_ms, count(*) filter (where exhausted) as exhausted_requests
   from request_log group by 1)
 select * from windows
 where window_us + 3600000000 <= (select max(epoch_us(ts)) - 60000000 from events)""",

@@ -299,8 +299,8 @@ def escalation(t: Tables):
     "a5_request_rollup",
     f"""
 with {D.NEWS}
-select request_id, count(*) as symbols, count_if(article_count > 0) as resolved,
-  count_if(article_count = 0) as missing, count_if(article_count = 0) > 0 as exhausted
+select request_id, count(*) as symbols, count(*) filter (where article_count > 0) as resolved,
+  count(*) filter (where article_count = 0) as missing, count(*) filter (where article_count = 0) > 0 as exhausted
 from titled group by request_id""",
 )
 def request_rollup(t: Tables):
@@ -404,7 +404,6 @@ def failover_orders(t: Tables):
     wide = t.labels.join(F.broadcast(both), "toxic").groupBy("doc_id").agg(
         *[
             F.coalesce(F.max(F.when(F.col("provider") == p, F.col("ord"))), F.lit(-1))
-            .cast("bigint")
             .alias(p)
             for p in ANSWER_PROVIDERS
         ]

@@ -42,7 +42,7 @@ def reuse_as_of(t: Tables):
     "c1_reuse_lookup",
     f"""
 with found as ({REUSE})
-select 'U' || user_id as cache_key, count(*) as lookups, count_if(hit) as hits
+select 'U' || user_id as cache_key, count(*) as lookups, count(*) filter (where hit) as hits
 from found join events using (event_id) group by 1""",
 )
 def reuse_lookup(t: Tables):
