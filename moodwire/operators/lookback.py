@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moodwire.session import cut_lineage
+
 HOUR_US = 3_600_000_000
 # Rows asked of feed 3 per missing symbol and its hard limit.
 FEED3_OVERFETCH = 3
@@ -29,7 +31,7 @@ def feed_limit(feed: int, max_articles: Column, n_missing: Column) -> Column:
     return max_articles * n_missing
 
 
-def _ranked(articles: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _ranked(articles: DataFrame, points: DataFrame) -> DataFrame:
     """Articles with their rank in their ticker, points with the number of articles up to them.
 
     Ranks are counted inside (ticker, hour) and shifted by the running total of the hours before,
@@ -65,16 +67,12 @@ def _ranked(articles: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFram
         .orderBy("_at", "_side", "article_id")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = (
+    return (
         both.withColumn("_in_hour", F.sum("_is").over(inside))
         .join(per_hour, ["ticker", "_hour"])
         .withColumn("rank", F.col("_before") + F.col("_in_hour"))
+        .drop("_hour", "_in_hour", "_before", "_at", "_side", "inclusive")
     )
-    as_articles = ranked.filter(F.col("_is") == 1).select(*articles.columns, "rank")
-    as_points = ranked.filter(F.col("_is") == 0).select(
-        *[c for c in points.columns if c not in ("at", "inclusive")], "rank"
-    )
-    return as_articles, as_points
 
 
 def _request_points(requests: DataFrame, feed: int) -> DataFrame:
@@ -100,8 +98,8 @@ def _request_points(requests: DataFrame, feed: int) -> DataFrame:
     ).select("ticker", "request_id", "p.*")
 
 
-def _rank_bounds(points: DataFrame) -> DataFrame:
-    return points.groupBy("ticker", "request_id").agg(
+def _rank_bounds(ranked: DataFrame) -> DataFrame:
+    return ranked.filter(F.col("_is") == 0).groupBy("ticker", "request_id").agg(
         F.max(F.when(F.col("which") == "low", F.col("rank"))).alias("low_rank"),
         F.max(F.when(F.col("which") == "high", F.col("rank"))).alias("high_rank"),
     )
@@ -113,10 +111,10 @@ def in_lookback(articles: DataFrame, requests: DataFrame, feed: int) -> DataFram
     ``articles`` has article_id, ticker, published; ``requests`` has request_id, ticker, ts,
     lookback_hours.
     """
-    _, points = _ranked(
+    ranked = _ranked(
         articles.select("article_id", "ticker", "published"), _request_points(requests, feed)
     )
-    return _rank_bounds(points).select(
+    return _rank_bounds(ranked).select(
         "request_id", "ticker", (F.col("high_rank") - F.col("low_rank")).alias("n_articles")
     )
 
@@ -125,12 +123,14 @@ def batch_limit(articles: DataFrame, requests: DataFrame, feed: int) -> DataFram
     """The newest articles inside each request's lookback, at most its ``row_limit``.
 
     The ranks a request may take are known before the join, so only rows of the result are ever
-    produced, however many articles and requests share a ticker.
+    produced, however many articles and requests share a ticker. Runs a job: the ranking is cut,
+    because bounds and articles both come from it.
     """
-    ranked, points = _ranked(articles, _request_points(requests, feed))
+    ranked = cut_lineage(_ranked(articles, _request_points(requests, feed)))
+    placed = ranked.filter(F.col("_is") == 1).select(*articles.columns, "rank")
     limits = requests.select("request_id", "ticker", "row_limit")
     wanted = (
-        _rank_bounds(points)
+        _rank_bounds(ranked)
         .join(limits, ["request_id", "ticker"])
         .withColumn(
             "_from",
@@ -145,7 +145,7 @@ def batch_limit(articles: DataFrame, requests: DataFrame, feed: int) -> DataFram
         )
     )
     return (
-        wanted.join(ranked, ["ticker", "rank"])
+        wanted.join(placed, ["ticker", "rank"])
         .withColumn("pos", F.col("high_rank") - F.col("rank"))
         .drop("rank", "high_rank")
     )

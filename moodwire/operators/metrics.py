@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from moodwire.functions.calls import backoff_ms, is_success, rank_index, retryable, status_class
 from moodwire.params import DURATION_SAMPLES, MAX_ATTEMPTS
 
+SALTS = 64
+
 # Quantiles that are published.
 QUANTILES = [("0.50", 0.50), ("0.95", 0.95), ("0.99", 0.99)]
 
@@ -19,13 +21,18 @@ def last_samples(
 ) -> DataFrame:
     """The newest ``n`` rows of the log, or of each group of it.
 
-    The limit reaches both plans before their shuffle (top-n per partition, window group limit).
+    Without groups this is a top-n per partition and a merge. A group is cut into salted parts
+    first, each of which keeps its newest ``n``, so that a group holding much of the log is sorted
+    by many tasks and the last step sees at most ``SALTS`` × ``n`` of its rows.
     """
     newest = [F.col("ts").desc(), F.col("request_id").desc()]
     if not by:
         return log.orderBy(*newest).limit(n)
-    order = Window.partitionBy(*by).orderBy(*newest)
-    return log.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n).drop("_rn")
+    salted = log.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(SALTS)))
+    for keys in ([*by, "_salt"], by):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))
+        salted = salted.withColumn("_rn", place).filter(F.col("_rn") <= n)
+    return salted.drop("_salt", "_rn")
 
 
 def duration_quantiles(log: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from moodwire.operators import lookback as L
 from moodwire.operators.answers import chunk
 from moodwire.operators.validation import request_symbols
 from moodwire.plans import waterfall as W
+from moodwire.session import cut_lineage
 from moodwire.sources import feeds, payloads
 from workload import adapters as D
 from workload.registry import Tables, query
@@ -360,9 +361,14 @@ def newest_first_feed3(t: Tables):
     return _limited(t, 3)
 
 
+def landed_requests(t: Tables):
+    """All valid order requests, written once as a service would have landed them."""
+    return cut_lineage(D.valid_order_requests(t))
+
+
 def order_news(t: Tables):
     """Waterfall over all valid order requests."""
-    requests = D.valid_order_requests(t)
+    requests = landed_requests(t)
     return W.waterfall(request_symbols(requests), D.news_payloads(requests), D.NEWS_PARAMS)
 
 

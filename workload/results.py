@@ -185,7 +185,7 @@ def drift(t: Tables):
 
 
 def local_sentiment(t: Tables):
-    requests = D.valid_order_requests(t)
+    requests = N.landed_requests(t)
     return P.local_sentiment(request_symbols(requests), D.news_payloads(requests), D.NEWS_PARAMS)
 
 
@@ -538,8 +538,8 @@ def attached_answers(t: Tables):
 
 
 def resolved(t: Tables):
-    """(routed, local, answered, failed) of all valid order requests, landed once beforehand."""
-    requests = cut_lineage(D.valid_order_requests(t))
+    """(routed, local, answered, failed) of all valid order requests."""
+    requests = N.landed_requests(t)
     symbols = request_symbols(requests)
     return P.resolve_misses(
         symbols,
