@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from moodwire.functions.calls import is_success, status_class
 from moodwire.operators.admission import Bucket
+from moodwire.operators.metrics import duration_quantiles
 from moodwire.operators.security import redact, secrets_column
 from moodwire.session import ROCKSDB
 
@@ -162,6 +163,12 @@ def stream_call_metrics(
     )
 
 
+def window_quantiles(request_log: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Duration quantiles per window: a batch step for ``stream_pipeline``."""
+    started = F.window("ts", width)["start"]
+    return duration_quantiles(request_log.withColumn("window_start", started), ["window_start"])
+
+
 def stream_redact(lines: DataFrame, secrets: Iterable[str]) -> DataFrame:
     """Stateless: the batch rule on every line."""
     return lines.withColumn("line", redact(F.col("line"), secrets_column(secrets)))

@@ -255,24 +255,19 @@ def unresolved(t: Tables):
 
 @query(
     "w2_chunks",
-    """
-with placed as (
-  select l_suppkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey,
-    l_suppkey, l_extendedprice) as rn, l_orderkey, l_partkey, l_linenumber, l_extendedprice
-  from lineitem)
-select l_orderkey, ((rn - 1) // 4)::int as chunk, count(*) as n_symbols,
-  sum(l_partkey)::bigint as part_sum
-from placed group by all""",
+    f"""
+with {D.ORDER_SYMBOLS}
+select request_id, (idx // 4)::int as chunk, count(*) as n_symbols, sum(pk)::bigint as part_sum
+from symbols group by all""",
 )
 def chunks(t: Tables):
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    symbols = t.lineitem.select(
-        F.col("l_orderkey").alias("request_id"), order.alias("idx"), "l_partkey"
-    )
+    symbols = request_symbols(D.valid_order_requests(t))
     return (
         chunk(symbols, 4)
-        .groupBy(F.col("request_id").alias("l_orderkey"), "chunk")
-        .agg(F.count("*").alias("n_symbols"), F.sum("l_partkey").alias("part_sum"))
+        .groupBy("request_id", "chunk")
+        .agg(
+            F.count("*").alias("n_symbols"), F.sum(D.part_of(F.col("ticker"))).alias("part_sum")
+        )
     )
 
 
@@ -417,19 +412,18 @@ def resolved_counts(t: Tables):
     f"""
 with {D.ORDER_SYMBOLS},
 missing as (select *, row_number() over (partition by okey order by idx) as call_no
-            from symbols where pk % 2 = 0)
+            from symbols)
 select request_id, idx::int as idx, call_no::int as call_no from missing
 where call_no <= okey % 4""",
 )
 def within_budget(t: Tables):
-    symbols = request_symbols(D.valid_order_requests(t))
-    missing = symbols.filter(D.part_of(F.col("ticker")) % 2 == 0)
+    missing = request_symbols(D.valid_order_requests(t))
     remaining = F.pmod(D.order_of(F.col("request_id")), F.lit(4))
     return W.within_budget(missing, remaining).select("request_id", "idx", "call_no")
 
 
 def single_payloads(t: Tables):
-    """Every document's first symbol has its own call of each feed."""
+    """Every document's first symbol has its own call of each feed; the others have none."""
     first = F.concat(F.lit("P"), F.pmod(F.col("request_id").cast("bigint"), F.lit(7)).cast("string"))
     calls = [D.line_payloads(t, feed) for feed in (1, 2, 3, 4)]
     merged = calls[0]
@@ -469,17 +463,19 @@ chosen as (
          when up and first_feed <= 3 and digit not in (0, 4, 6) and t.n > 0 then 3
          when up and digit not in (0, 1) then 4 else 0 end as feed
   from docs d join lists l using (doc_id) left join list3 t using (doc_id))
-select doc_id::varchar as request_id, feed::int as feed_rank,
+select doc_id::varchar as request_id, 'P' || (doc_id % 7) as ticker, feed::int as feed_rank,
   (case feed when 1 then n + case when digit = 3 then 1 else 0 end when 2 then n when 3 then n3
     when 4 then n4 else 0 end)::int as titles,
   md5(case feed when 1 then titles || case when digit = 3 then ' x' else '' end when 2 then titles
     when 3 then titles3 when 4 then titles4 else '' end) as text
-from chosen""",
+from chosen
+union all
+select doc_id::varchar, ticker, 0, 0, md5('') from wanted where ticker <> 'P' || (doc_id % 7)""",
 )
 def waterfall_single(t: Tables):
-    symbols = D.line_symbols(t).filter(F.col("idx") == 0)
-    return W.waterfall_single(symbols, single_payloads(t)).select(
+    return W.waterfall_single(D.line_symbols(t), single_payloads(t)).select(
         "request_id",
+        "ticker",
         F.coalesce("feed_rank", F.lit(0)).alias("feed_rank"),
         F.size("titles").alias("titles"),
         F.md5(F.array_join("titles", " ")).alias("text"),

@@ -247,6 +247,20 @@ totals as (
 """
 
 
+@query(
+    "m1_window_quantiles",
+    f"""
+with request_log as (
+  select epoch_us(ts) // 86400000000 * 86400000000 as window_us, ts,
+    lpad(event_id::varchar, 12, '0') as request_id, floor(value * 10)::bigint as duration_ms
+  from events), {_quantiles_sql('window_us')}
+select * from quantiles""",
+)
+def window_quantiles(t: Tables):
+    daily = jobs.window_quantiles(D.request_log(t), "1 day")
+    return daily.withColumn("window_us", F.unix_micros("window_start")).drop("window_start")
+
+
 @query(
     "m2_m6_request_totals",
     f"""
@@ -559,14 +573,14 @@ def stream_metrics(t: Tables):
 
 
 @query(
-    "st4_stream_pipeline",
+    "st4_stream_scoring",
     """
 with noted as (select doc_id, case when doc_id % 7 = 0 then 'Bear note ' else '' end || text as text
                from documents)
 select doc_id as key, case when contains(lower(text), 'bear') then 'bearish' else 'neutral' end
   as label from noted""",
 )
-def stream_pipeline(t: Tables):
+def stream_scoring(t: Tables):
     out = new_scratch_path(t.spark, "scored")
     query_run = jobs.stream_pipeline(
         noted_documents(streams(t)),
