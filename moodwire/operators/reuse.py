@@ -127,28 +127,32 @@ def _runs(
     batches: Iterator[pd.DataFrame], keys: list[str]
 ) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
     """Consecutive rows with equal ``keys``, also across batch borders, as arrays."""
-    held: list[pd.DataFrame] = []
+    held: list[dict[str, np.ndarray]] = []
     now: tuple | None = None
     for pdf in batches:
         if pdf.empty:
             continue
-        changes = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        changes = np.zeros(len(pdf), dtype=bool)
         changes[0] = True
+        for k in keys:
+            changes[1:] |= columns[k][1:] != columns[k][:-1]
         cuts = [*np.flatnonzero(changes), len(pdf)]
-        names = list(zip(*(pdf[k].iloc[cuts[:-1]].tolist() for k in keys)))
-        for name, start, end in zip(names, cuts[:-1], cuts[1:]):
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            name = tuple(columns[k][start] for k in keys)
             if name != now and now is not None:
-                yield now, _arrays(held)
+                yield now, _joined(held)
                 held = []
             now = name
-            held.append(pdf.iloc[start:end])
+            held.append({c: v[start:end] for c, v in columns.items()})
     if now is not None:
-        yield now, _arrays(held)
+        yield now, _joined(held)
 
 
-def _arrays(parts: list[pd.DataFrame]) -> dict[str, np.ndarray]:
-    whole = parts[0] if len(parts) == 1 else pd.concat(parts)
-    return {c: whole[c].to_numpy() for c in whole.columns}
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
 def _per_run(df: DataFrame, keys: list[str], order: list[str], work, schema: str) -> DataFrame:
@@ -175,12 +179,15 @@ def _per_run(df: DataFrame, keys: list[str], order: list[str], work, schema: str
 
 
 def _stacked(parts: list[dict], columns: list[str]) -> pd.DataFrame:
-    def whole(column: str):
-        pieces = []
-        for part in parts:
-            value, rows = part[column], len(part[columns[-1]])
-            pieces.append(np.full(rows, value) if np.isscalar(value) else np.asarray(value))
-        return np.concatenate(pieces)
+    """Outputs of many groups as one frame; a single value stands for all rows of its group."""
+    rows = [len(part[columns[-1]]) for part in parts]
+
+    def whole(column: str) -> np.ndarray:
+        values = [part[column] for part in parts]
+        if isinstance(values[0], (list, np.ndarray)):
+            return np.concatenate([np.asarray(v, dtype="int64") for v in values])
+        kind = object if isinstance(values[0], str) else "int64"
+        return np.repeat(np.array(values, dtype=kind), rows)
 
     return pd.DataFrame({c: whole(c) for c in columns})
 
