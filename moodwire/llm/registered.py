@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .decontaminate import benchmark_overlap
 from .near_dups import near_duplicates
 from .queries import ORACLES, QUERIES, register  # noqa: F401
 
@@ -33,3 +36,40 @@ from sets left join least on x = doc_id
 @register("op8_near_duplicates", NEAR_DUPS_SQL)
 def op8(spark, table):
     return near_duplicates(table("documents"))
+
+
+OVERLAP_SQL = rf"""
+with doc_words as (
+  select doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+item_words as (
+  select item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+windows as (
+  select distinct item_id, least(10, len(w)) n, array_to_string(w[i:i+9], ' ') g
+  from (select item_id, w, unnest(range(1, greatest(2, len(w) - 8))) i from item_words where len(w) > 0)),
+lengths as (select distinct n from windows),
+grams as (
+  select doc_id, n, i, array_to_string(w[i:i+n-1], ' ') g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from doc_words, lengths where len(w) >= n)),
+hits as (select doc_id, i, grams.n, item_id from grams join windows on grams.n = windows.n and grams.g = windows.g),
+hit_words as (select distinct doc_id, unnest(range(i, i + n)) k from hits),
+hit_counts as (select doc_id, count(*) n_hit from hit_words group by 1),
+found as (
+  select doc_id, count(*) n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) ids
+  from (select distinct doc_id, item_id from hits) group by 1)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from doc_words d left join hit_counts h on h.doc_id = d.doc_id left join found f on f.doc_id = d.doc_id
+"""
+
+
+@register("op4_benchmark_overlap", OVERLAP_SQL)
+def op4(spark, table):
+    found = benchmark_overlap(table("documents").select("doc_id", "text"), table("benchmark"))
+    return found.select(
+        "doc_id",
+        "overlap.n_words",
+        "overlap.n_hit",
+        F.size("overlap.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "overlap.items"), 256).alias("items_sha256"),
+        (F.col("overlap.n_hit") > 0).alias("contaminated"),
+    )
