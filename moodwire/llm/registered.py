@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from .byte_bpe import ByteBPE
 from .decontaminate import benchmark_overlap
 from .near_dups import near_duplicates
 from .queries import ORACLES, QUERIES, register  # noqa: F401
@@ -73,3 +75,16 @@ def op4(spark, table):
         F.sha2(F.concat_ws(",", "overlap.items"), 256).alias("items_sha256"),
         (F.col("overlap.n_hit") > 0).alias("contaminated"),
     )
+
+
+@register("op7_byte_bpe")
+def op7(spark, table):
+    coder = ByteBPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = table("documents").select("doc_id", F.col("text").alias("value"))
+    coded = coder.encode(texts, "value", "ids").select("doc_id", "ids")
+    return coder.decode(coded, "ids", "decoded").select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
