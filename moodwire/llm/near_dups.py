@@ -78,11 +78,15 @@ class Shingles:
         sums = np.cumsum(self.value[joined] * self.up[:n])
         return mixed((sums[ends] - sums[starts - 1]) * self.down[starts]), starts
 
-    def _chunk(self, texts: list[bytes]) -> list[np.ndarray]:
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Word hashes of all texts one after the other, and where each text's words begin."""
         joined = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
         begins = np.cumsum([1] + [len(t) + 1 for t in texts])
         words, at = self._words(joined)
-        first = np.searchsorted(at, begins)
+        return words, np.searchsorted(at, begins)
+
+    def _chunk(self, texts: list[bytes]) -> list[np.ndarray]:
+        words, first = self.words(texts)
         n = max(0, len(words) - self.width + 1)
         total = np.zeros(n, np.uint64)
         for k, w in enumerate(self.shift):

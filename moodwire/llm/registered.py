@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .byte_bpe import ByteBPE
 from .decontaminate import benchmark_overlap
 from .near_dups import near_duplicates
+from .quality import fit, held_out, score
 from .queries import ORACLES, QUERIES, register  # noqa: F401
+from .secret_scan import BASE, KINDS, base_of, scan, spelled
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -88,3 +90,59 @@ def op7(spark, table):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register("op6_quality")
+def op6(spark, table):
+    docs = table("documents").select("doc_id", "text")
+    model = fit(docs, table("labels"), label="quality")
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+SECRETS_SQL = r"""
+with docs as (select doc_id, source, lang, coalesce(text, '') t from documents),
+assign as (
+  select doc_id, source, 0 rank, 'assign' kind, string_split_regex(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') p,
+    regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) m,
+    regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) v,
+    8 least from docs
+  union all select doc_id, source, 1, 'access', string_split_regex(t, 'AKIA[A-Z0-9]+'),
+    regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), 16 from docs
+  union all select doc_id, source, 2, 'hex', string_split_regex(t, '[0-9a-f]{32,}'),
+    regexp_extract_all(t, '[0-9a-f]{32,}'), regexp_extract_all(t, '[0-9a-f]{32,}'), 32 from docs
+  union all select doc_id, source, 3, 'token', string_split_regex(t, '[A-Za-z0-9_-]{24,}'),
+    regexp_extract_all(t, '[A-Za-z0-9_-]{24,}'), regexp_extract_all(t, '[A-Za-z0-9_-]{24,}'), 24 from docs),
+spans as (
+  select doc_id, source, rank, kind, v[i] v, least,
+    (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::bigint a,
+    length(m[i]) n
+  from (select *, unnest(range(1, len(m) + 1)) i from assign where len(m) > 0)),
+good as (select doc_id, source, rank, kind, v, a, a + n b from spans where length(v) >= least),
+found as (
+  select * from good g where rank < 3 or (
+    regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '([0-9][^0-9]*){4}')
+    and not exists (select 1 from good o where o.doc_id = g.doc_id and o.rank < 3 and o.a < g.b and o.b > g.a))),
+spread as (select v, count(distinct coalesce(source, '')) n from found group by 1),
+judged as (
+  select f.*, kind || ':' || a || ':' || b s from found f join spread using (v) where rank < 3 or n <= 1),
+per as (
+  select doc_id, count(*) filter (rank = 0) n_assign, count(*) filter (rank = 1) n_access, count(*) filter (rank = 2) n_hex,
+    string_agg(s, ',' order by a, rank) filter (rank < 3) base, string_agg(s, ',' order by a, rank) spans
+  from judged group by 1)
+select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex,
+  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from docs left join per using (doc_id)
+"""
+
+
+@register("op10_secrets", SECRETS_SQL)
+def op10(spark, table):
+    found = scan(table("documents"))
+    found = found.select("doc_id", "secrets", base_of(F.col("secrets")).alias("base"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k, *_ in KINDS[:BASE]],
+        F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
+        spelled(F.col("secrets")).alias("spans"),
+    )
