@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE
+from .common import shared_path
 from .decontaminate import benchmark_overlap
 from .near_dups import near_duplicates
 from .quality import fit, held_out, score
 from .queries import ORACLES, QUERIES, register  # noqa: F401
 from .secret_scan import BASE, KINDS, base_of, scan, spelled
+from .warc import page_of, read_records, write_archives
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -146,3 +148,28 @@ def op10(spark, table):
         F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
         spelled(F.col("secrets")).alias("spans"),
     )
+
+
+WARC_SQL = """
+with own as (
+  select page_id, coalesce(html, '') html, octet_length(encode(coalesce(html, ''))) n, sha256(coalesce(html, '')) digest
+  from pages),
+firsts as (select digest, min(page_id) first from own where n >= 100 group by 1)
+select page_id, n::bigint payload_bytes, own.digest payload_digest,
+  case when n < 100 or page_id = first then 'response' else 'revisit' end record_type,
+  case when n >= 100 and page_id <> first then first end refers_to
+from own left join firsts on own.digest = firsts.digest
+"""
+
+
+@register("op5_warc", WARC_SQL)
+def op5(spark, table):
+    path = shared_path(spark, "archives")
+    write_archives(table("pages"), path)
+    return read_records(spark, path).select(
+        page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page_of(F.col("refers_to")).alias("refers_to"),
+    )
