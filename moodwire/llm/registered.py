@@ -12,6 +12,7 @@ from .near_dups import near_duplicates
 from .quality import fit, held_out, score
 from .queries import ORACLES, QUERIES, register  # noqa: F401
 from .secret_scan import BASE, KINDS, base_of, scan, spelled
+from .top_k import top_k
 from .warc import page_of, read_records, write_archives
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -173,3 +174,22 @@ def op5(spark, table):
         "record_type",
         page_of(F.col("refers_to")).alias("refers_to"),
     )
+
+
+TOP_K_SQL = """
+with own as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scored as (
+  select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint score
+  from own q join own c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::integer rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+@register("op3_top_k", TOP_K_SQL)
+def op3(spark, table):
+    return top_k(table("embeddings"), F.col("vec_id") % 50 == 0)
