@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE
+from .chat import formatted, linear, parsed, under_mask
 from .common import shared_path
 from .decontaminate import benchmark_overlap
 from .near_dups import near_duplicates
@@ -193,3 +194,38 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 @register("op3_top_k", TOP_K_SQL)
 def op3(spark, table):
     return top_k(table("embeddings"), F.col("vec_id") % 50 == 0)
+
+
+CHAT_SQL = r"""
+with own as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*)::bigint n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  sum(10 + length(url_encode(role))
+    + length(regexp_replace(text, '(\\*)(</?s>|\[/?INST\]|<</?SYS>>)', '\1\\\2', 'g')))::bigint formatted_chars
+from own group by conv_id
+"""
+
+
+@register("op2_chat", CHAT_SQL)
+def op2(spark, table):
+    text = F.lit("</s>[INST] ok [/INST]").alias("text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, text)
+    rows = table("conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    done = formatted(linear(rows))
+    turns, loss = parsed(F.col("formatted")), under_mask(F.col("formatted"), F.col("loss"))
+    read = done.select("tree", turns.alias("turns"), loss.alias("learned"), "formatted")
+    spoken = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        F.when(F.col("tree") != "null", F.substring("tree", 2, 30).cast("long")).alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(spoken, ""), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
