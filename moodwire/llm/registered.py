@@ -9,6 +9,7 @@ from .byte_bpe import ByteBPE
 from .chat import formatted, linear, parsed, under_mask
 from .common import shared_path
 from .decontaminate import benchmark_overlap
+from .html_text import extract
 from .near_dups import near_duplicates
 from .quality import fit, held_out, score
 from .queries import ORACLES, QUERIES, register  # noqa: F401
@@ -229,3 +230,9 @@ def op2(spark, table):
         F.sha2("learned", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@register("op1_html_text")
+def op1(spark, table):
+    found = extract(table("pages").select("page_id", "html"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
