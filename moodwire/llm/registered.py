@@ -10,6 +10,8 @@ from .chat import formatted, linear, parsed, under_mask
 from .common import shared_path
 from .decontaminate import benchmark_overlap
 from .html_text import extract
+from .license_scan import TEMPLATES, templates
+from .license_scan import scan as scan_licenses
 from .near_dups import near_duplicates
 from .quality import fit, held_out, score
 from .queries import ORACLES, QUERIES, register  # noqa: F401
@@ -236,3 +238,35 @@ def op2(spark, table):
 def op1(spark, table):
     found = extract(table("pages").select("page_id", "html"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+LICENSE_WORDS = f"regexp_extract_all({LOWER}, '[a-z0-9]+')"
+LICENSES_SQL = f"""
+with templates(license, text) as (values {", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)}),
+known as (
+  select license, number, len(s) n, list_distinct(s) wanted, (2 ** ceil(log2(len(s))))::bigint c
+  from (select license, row_number() over () number,
+          list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) s
+        from (select license, {LICENSE_WORDS} w from templates))),
+places as (
+  select doc_id, i - 1 pos, array_to_string(w[i:i+4], ' ') g
+  from (select doc_id, w, unnest(range(1, len(w) - 3)) i from (select doc_id, {LICENSE_WORDS} w from documents))),
+wanted as (select license, number, c, len(wanted) n, unnest(wanted) g from known),
+hits as (select doc_id, pos, license, number, c, n, g from places join wanted using (g)),
+shares as (
+  select doc_id, license, number, w, count(distinct g) / n share
+  from (select *, unnest([pos // c * c, pos // c * c - c]) w from hits) where w >= 0
+  group by doc_id, license, number, n, w),
+found as (
+  select doc_id, license from shares group by 1, 2 having max(share) >= 0.8)
+select d.doc_id, count(license)::bigint n_licenses, coalesce(string_agg(license, ',' order by license), '') licenses
+from documents d left join found f on f.doc_id = d.doc_id group by d.doc_id
+"""
+
+
+@register("op9_licenses", LICENSES_SQL)
+def op9(spark, table):
+    found = scan_licenses(table("documents").select("doc_id", "text"), templates(spark))
+    names = F.transform("licenses", lambda x: x["license"])
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", names).alias("licenses")
+    )
