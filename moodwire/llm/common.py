@@ -88,7 +88,7 @@ def _stars(edges: DataFrame) -> DataFrame:
     large = (
         both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     )  # every larger neighbour points to the smallest node around
-    large = large.where("a <> b").distinct()
+    large = large.where("a <> b")
     small = large.groupBy("a").agg(F.min("b").alias("m"))
     joined = large.join(small, "a")
     moved = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

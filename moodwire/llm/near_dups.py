@@ -209,7 +209,7 @@ def linked(sets: list[np.ndarray], block: np.ndarray, across: bool, percent: int
 
 def _forest(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cluster")
+        table = table.sort_by([("cluster", "ascending"), ("node", "ascending")])
         names = table.column("node").to_pylist()
         cluster = table.column("cluster").to_pylist()
         block = table.column("block").to_numpy()
@@ -227,7 +227,8 @@ def _forest(percent: int):
                         a.append(names[begin + k])
                         b.append(names[begin + root])
             begin = end
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        whole = pa.array([table.column("whole")[0].as_py()] * len(a), pa.bool_())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "whole": whole})
 
     return run
 
@@ -290,13 +291,19 @@ def near_duplicates(
         F.when(F.col("m") == 1, F.pmod(F.xxhash64("cluster"), F.lit(4096)).cast("string"))
         .otherwise(F.hex("cluster"))
         .alias("pack"),
+        (F.col("m") == 1).alias("whole"),
     )
-    forest = (
+    forest = landed(
         loads.join(sets, "node")
         .groupBy("pack", "low", "high")
-        .applyInArrow(_forest(percent), "a binary, b binary")
+        .applyInArrow(_forest(percent), "a binary, b binary, whole boolean"),
+        "forest",
     )
-    found = components(forest)
+    # Trees inside a whole cluster already end in their smallest node; others meet across blocks.
+    found = forest.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    parts = forest.where("not whole")
+    if not parts.isEmpty():
+        found = found.unionByName(components(parts))
     classes = (
         nodes.join(found, "node", "left")
         .select("node", F.coalesce("root", "node").alias("root"), F.col("at.doc_id").alias("least"))
