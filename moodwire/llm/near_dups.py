@@ -263,8 +263,9 @@ def near_duplicates(
     clusters = components(near.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     clusters = clusters.withColumnRenamed("root", "cluster")
 
+    no_id = F.col("doc_id").isNull().alias("no_id")  # a null id would come first
     nodes = keyed.groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("at"), F.min("n_shingles").alias("weight")
+        F.min(F.struct(no_id, "doc_id", "text_key")).alias("at"), F.min("n_shingles").alias("weight")
     )
     members = nodes.join(clusters, "node")
     total = members.groupBy("cluster").agg(F.sum("weight").alias("total"))
@@ -272,8 +273,10 @@ def near_duplicates(
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "m"))
     pairs = placed.select("node", "at", "cluster", "m", "block")
     texts = (
-        own.withColumn("at", F.struct("doc_id", "text_key"))
-        .join(pairs, "at")
+        own.join(
+            pairs.select("node", F.col("at.doc_id").alias("at_id"), F.col("at.text_key").alias("at_key")),
+            (F.col("text_key") == F.col("at_key")) & F.col("doc_id").eqNullSafe(F.col("at_id")),
+        )
         .groupBy("node")
         .agg(F.first("text").alias("text"))
     )
