@@ -11,7 +11,7 @@ Reading: a member or plain record counts only if its checksum, length, closing l
 hold. After a failed check the reader searches for the next member magic or version line from which a
 valid record can be read, goes on there, and logs the bytes between as a quarantined gap.
 
-Defined cases: a null payload is empty. A null id is written without id and read back as null; it is
+Defined cases: a null payload is empty. A null id is written as ``none`` and read back as null; it is
 never the smallest unless all are null, and then all are responses. Repeated rows (same id and payload)
 are each a response. Other columns are ignored; an empty table gives archives without records. A cut
 archive yields the records before the cut and one gap; bytes that are no archive yield one gap.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 URN = "urn:page:"
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 #: Bytes fed to a decompressor at once.
 FEED = 1 << 16
 RECORD = (
@@ -54,14 +55,13 @@ def record(
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
+        f"WARC-Record-ID: <{URN}{'none' if page_id is None else page_id}>",
         f"WARC-Date: {date}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
-    if page_id is not None:
-        lines.append(f"WARC-Record-ID: <{URN}{page_id}>")
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\r\n]", " ", url))
     if first is not None:
@@ -148,11 +148,19 @@ def _parsed(data, at: int) -> tuple[tuple, int]:
             raise _Bad("head is cut off")
         size *= 4
     fields = {}
-    for line in head[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    try:
+        version, *lines = head[:end].decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise _Bad("head is not text") from e
+    if not re.fullmatch(r"WARC/1\.[0-9]", version):
+        raise _Bad("no version line")
+    for line in lines:
         name, colon, value = line.partition(":")
-        if not colon:
+        if not colon or not re.fullmatch(r"[A-Za-z0-9-]+", name):
             raise _Bad("malformed field")
-        fields[name.strip().lower()] = value.strip()
+        fields[name.lower()] = value.strip()
+    if not MANDATORY <= fields.keys():
+        raise _Bad("a mandatory field is missing")
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise _Bad("no content length")
