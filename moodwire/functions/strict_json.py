@@ -1,7 +1,9 @@
 """Strict JSON decoding: a payload either has the expected shape throughout or counts as bad.
 
 Leaves are decoded as variants, so that a number never silently becomes a string, and the body is
-parsed inside brackets, so that trailing text after the first value makes it bad as well.
+parsed inside brackets, so that trailing text after the first value makes it bad as well. Single
+quotes, bare NaN and repeated keys are bad too: a variant refuses them anywhere in the body, also in
+fields that nothing reads. For feed 3 that means a body with a repeated key counts as unreadable.
 """
 
 from __future__ import annotations
@@ -12,9 +14,14 @@ from pyspark.sql import functions as F
 from moodwire.functions.binding import let
 
 
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def parse_typed(body: Column, ddl: str) -> Column:
     """The one value in ``body`` as ``ddl``, else null."""
-    return _only(F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{ddl}>"))
+    whole = F.concat(F.lit("["), body, F.lit("]"))
+    typed = F.from_json(whole, f"array<{ddl}>", _STRICT)
+    return F.when(F.try_parse_json(whole).isNotNull(), _only(typed))
 
 
 def parse_variant(body: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from moodwire.session import cut_lineage
 
 HOUR_US = 3_600_000_000
+# Where a feed has no lower bound: before every time-stamp (µs).
+ALWAYS = -(2**62)
 # Rows asked of feed 3 per missing symbol and its hard limit.
 FEED3_OVERFETCH = 3
 FEED3_LIMIT = 1000
@@ -85,7 +87,7 @@ def _request_points(requests: DataFrame, feed: int) -> DataFrame:
             F.array(
                 F.struct(
                     F.lit("low").alias("which"),
-                    F.coalesce(F.unix_micros(low), F.lit(0)).alias("at"),
+                    F.coalesce(F.unix_micros(low), F.lit(ALWAYS)).alias("at"),
                     F.lit(False).alias("inclusive"),
                 ),
                 F.struct(

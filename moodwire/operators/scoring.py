@@ -47,35 +47,6 @@ def logits_scorer(labels: list[str]) -> Scorer:
     return score
 
 
-def onnx_logits(model_file: str, tokenizer_file: str, threads: int = 2):
-    """Loader of a classifier shipped with ``SparkContext.addFile``; runs once per Python worker."""
-
-    def load() -> Callable[[list[str]], list[list[float]]]:
-        import numpy as np
-        import onnxruntime
-        from pyspark import SparkFiles
-        from tokenizers import Tokenizer
-
-        options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads = threads
-        session = onnxruntime.InferenceSession(SparkFiles.get(model_file), options)
-        tokenizer = Tokenizer.from_file(SparkFiles.get(tokenizer_file))
-        tokenizer.enable_padding()
-
-        def run(texts: list[str]) -> list[list[float]]:
-            encoded = tokenizer.encode_batch(texts, add_special_tokens=True)
-            feeds = {
-                "input_ids": np.array([e.ids for e in encoded], dtype="int64"),
-                "attention_mask": np.array([e.attention_mask for e in encoded], dtype="int64"),
-                "token_type_ids": np.array([e.type_ids for e in encoded], dtype="int64"),
-            }
-            return session.run(["logits"], feeds)[0].tolist()
-
-        return run
-
-    return load
-
-
 def model_scorer(load: Callable, labels: list[str], batch: int = BATCH_TEXTS) -> Scorer:
     """Classifier scorer. ``load()`` gives texts → logits and is called once per task.
 

@@ -7,7 +7,7 @@ details, empty when the rule holds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodwire import schemas
@@ -170,6 +170,40 @@ def with_details(requests: DataFrame) -> DataFrame:
     return computed_once(requests, "details", details)
 
 
+def symbol_findings(symbols: DataFrame) -> DataFrame:
+    """The count, ticker, name and duplicate findings of symbols in long form, one row per finding.
+
+    ``symbols`` has request_id, idx, ticker, name. No list of a request's symbols is built: repeats
+    are numbered inside (request, folded ticker), so a request of any size is many small groups.
+    """
+    key = uni_upper(utrim(F.col("ticker")))
+    nth = F.row_number().over(Window.partitionBy("request_id", key).orderBy("idx"))
+    marked = symbols.withColumns({"_nth": nth, "_key": key})
+    place = F.concat(F.lit("symbols["), F.col("idx").cast("string"), F.lit("]."))
+    found = F.array_compact(
+        F.array(
+            F.when(
+                _bad_length(F.col("ticker"), MAX_TICKER_BYTES),
+                _detail("INVALID_TICKER", F.concat(place, F.lit("ticker"))),
+            ),
+            F.when(
+                _bad_length(F.col("name"), MAX_NAME_BYTES),
+                _detail("INVALID_SYMBOL_NAME", F.concat(place, F.lit("name"))),
+            ),
+            F.when(
+                (F.col("_key") != "") & (F.col("_nth") > 1),
+                _detail("DUPLICATE_SYMBOL", F.concat(place, F.lit("ticker"))),
+            ),
+        )
+    )
+    each = marked.select("request_id", "idx", F.explode(found).alias("d"))
+    counts = symbols.groupBy("request_id").agg(F.count("*").alias("n"))
+    sized = counts.filter(~F.col("n").between(1, MAX_SYMBOLS)).select(
+        "request_id", F.lit(-1).alias("idx"), _detail("INVALID_SYMBOL_COUNT", F.lit("symbols")).alias("d")
+    )
+    return each.unionByName(sized).select("request_id", "idx", "d.*")
+
+
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected). Tickers are trimmed for the test only; the raw ticker flows on."""
     checked = with_details(requests)

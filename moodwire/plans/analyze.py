@@ -95,7 +95,9 @@ def analyze(
     )
     looked_up = cut_lineage(reuse(asked, prior, params.ttl_seconds))
     misses = looked_up.filter(~F.col("hit"))
-    routed, local, answered, failed = resolve_misses(misses, payloads, answers, params, scorer)
+    # Bodies of requests that are rejected, limited or served from reuse are never parsed.
+    wanted = payloads.join(misses.select("request_id").distinct(), "request_id", "left_semi")
+    routed, local, answered, failed = resolve_misses(misses, wanted, answers, params, scorer)
 
     merged = R.merge_results(
         reused_results(looked_up), local, answered, R.unavailable_results(routed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from moodwire.functions import text as X
@@ -175,6 +176,63 @@ def split_orders(t: Tables):
     )
 
 
+@query(
+    "v1_v7_customer_requests",
+    """
+with s as (
+  select o_custkey as c, row_number() over (partition by o_custkey order by l_orderkey, l_linenumber,
+           l_partkey, l_suppkey, l_extendedprice) - 1 as idx,
+         'p' || l_partkey as ticker, p_name as name
+  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+k as (select *, row_number() over (partition by c, upper(ticker) order by idx) as nth from s),
+f as (
+  select c, 'INVALID_TICKER' as code, 'symbols[' || idx || '].ticker' as field from k
+  where strlen(trim(ticker)) not between 1 and 16
+  union all
+  select c, 'INVALID_SYMBOL_NAME', 'symbols[' || idx || '].name' from k
+  where strlen(trim(name)) not between 1 and 120
+  union all
+  select c, 'DUPLICATE_SYMBOL', 'symbols[' || idx || '].ticker' from k where nth > 1
+  union all
+  select c, 'INVALID_SYMBOL_COUNT', 'symbols' from s group by c having count(*) > 50)
+select 'c' || r.c as request_id, r.n::bigint as n_symbols, count(f.code) as n_findings,
+  count(f.code) = 0 as valid,
+  count(*) filter (f.code = 'INVALID_SYMBOL_COUNT')::bigint as n_oversized,
+  coalesce(min(field) filter (f.code = 'DUPLICATE_SYMBOL'), '') as first_repeat
+from (select c, count(*) as n from s group by c) r left join f on r.c = f.c group by r.c, r.n""",
+)
+def customer_requests(t: Tables):
+    """One request per customer with all lines of all orders: many have more than 50 symbols."""
+    order = Window.partitionBy("o_custkey").orderBy(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
+    )
+    symbols = (
+        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("request_id"),
+            (F.row_number().over(order) - 1).alias("idx"),
+            F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("ticker"),
+            F.col("p_name").alias("name"),
+        )
+    )
+    per = validation.symbol_findings(symbols).groupBy("request_id").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("code") == "INVALID_SYMBOL_COUNT").alias("over"),
+        F.min(F.when(F.col("code") == "DUPLICATE_SYMBOL", F.col("field"))).alias("repeat"),
+    )
+    sizes = symbols.groupBy("request_id").agg(F.count("*").alias("n_symbols"))
+    zero = F.lit(0).cast("long")
+    return sizes.join(per, "request_id", "left").select(
+        "request_id",
+        "n_symbols",
+        F.coalesce("n", zero).alias("n_findings"),
+        F.col("n").isNull().alias("valid"),
+        F.coalesce("over", zero).alias("n_oversized"),
+        F.coalesce("repeat", F.lit("")).alias("first_repeat"),
+    )
+
+
 CODES = [
     "INVALID_REQUEST",
     "UNAUTHORIZED",
