@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from http import HTTPStatus
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,18 @@ BACKOFF_MAX_EXPONENT = 4
 TRANSIENT_KINDS = ["timeout", "connect", "request"]
 
 
+# Reason phrases that differ from the standard library's.
+OTHER_PHRASES = {413: "Payload Too Large", 418: "I'm a teapot", 422: "Unprocessable Entity"}
+
+
+def status_text(status: Column) -> Column:
+    """A status with its reason phrase, as error lists print it."""
+    phrases = {s.value: s.phrase for s in HTTPStatus} | OTHER_PHRASES
+    known = F.create_map(*[F.lit(x) for pair in sorted(phrases.items()) for x in pair])
+    phrase = F.coalesce(F.try_element_at(known, status.cast("int")), F.lit("<unknown status code>"))
+    return F.concat(status.cast("string"), F.lit(" "), phrase)
+
+
 def is_success(status: Column) -> Column:
     return F.coalesce(status.between(200, 299), F.lit(False))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moodwire.functions import strict_json as J
 from moodwire.functions.binding import let, unrolled
-from moodwire.functions.calls import is_success
+from moodwire.functions.calls import is_success, status_text
 from moodwire.functions.labels import answer_label
 from moodwire.functions.text import preview
 from moodwire.params import ANSWER_CHUNK, Params
@@ -64,6 +64,9 @@ def order_table(spark: SparkSession, params: Params) -> DataFrame:
     )
 
 
+# Fixed value: how the failure of a chunk begins that no provider could be asked for.
+NO_PROVIDER = "No configured LLM providers available in TP_LLM_PROVIDER_ORDER="
+
 # Required fields of an answer item.
 TEXT_FIELDS = ["symbol", "reasoning", "label"]
 NUMBER_FIELDS = ["sentiment_score", "confidence"]
@@ -123,7 +126,7 @@ def decode_answers(answers: DataFrame) -> DataFrame:
             F.concat(
                 provider,
                 F.lit(" non-success status: "),
-                F.col("http_status").cast("string"),
+                status_text(F.col("http_status")),
                 F.lit(" body="),
                 preview(F.coalesce("body", F.lit(""))),
             ),

@@ -16,7 +16,11 @@ VALUE_END = "& '\"\\n"
 BEARER_END = " '\"\\n"
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@\s]*@)?([^/?#:@\s]+)(?::([0-9]*))?(?:[/?#]\S*)?$"
+# After the scheme any number of slashes or backslashes; names before the last @ are not the host.
+AUTHORITY = (
+    r"^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*(?:[^/\\?#\s]*@)?(\[[0-9A-Fa-f:.]+\]|[^/\\?#:@\s\[\]]+)"
+    r"(?::([0-9]*))?(?:[/\\?#]\S*)?$"
+)
 HIERARCHICAL = ["http", "https", "ws", "wss", "ftp"]
 
 

@@ -66,8 +66,12 @@ def resolve_misses(
     asked = chunks.select("request_id", "chunk").distinct()
     usable = answers.join(asked, ["request_id", "chunk"], "left_semi")
     ok, errors = A.first_success(A.decode_answers(usable), order)
-    failed = asked.join(ok, ["request_id", "chunk"], "left_anti").join(
-        errors, ["request_id", "chunk"], "left"
+    # A chunk that no provider was asked for fails with a text of its own.
+    unasked = F.lit(A.NO_PROVIDER + ",".join(params.answer_order))
+    failed = (
+        asked.join(ok, ["request_id", "chunk"], "left_anti")
+        .join(errors, ["request_id", "chunk"], "left")
+        .withColumn("error", F.coalesce("error", unasked))
     )
     answered = A.attach_answers(A.answer_results(ok), chunks)
     return routed, local, answered, failed

@@ -36,6 +36,10 @@ def outgoing_urls(t: Tables):
         .when(n % 15 == 5, F.concat(F.lit("mailto:"), n.cast("string")))
         .when(n % 15 == 6, F.lit("https://user:pw@finnhub.io:99999/"))
         .when(n % 15 == 7, F.concat(F.lit("https://spam-farm.example.org/"), n.cast("string")))
+        .when(n % 15 == 8, F.lit("https://[::1]/x"))
+        .when(n % 15 == 9, F.lit("https:api.openai.com/v1"))
+        .when(n % 15 == 10, F.lit("https://api.openai.com\\v1"))
+        .when(n % 15 == 11, F.lit("https://a@b@api.x.ai/"))
         .otherwise(url)
         .alias("url"),
     )
@@ -50,23 +54,17 @@ with urls as (
     when 2 then 'https://api.openai.com:8443/v1' when 3 then 'https://api.openai.com:443/v1'
     when 4 then 'https:///v1' when 5 then 'mailto:' || page_id
     when 6 then 'https://user:pw@finnhub.io:99999/'
-    when 7 then 'https://spam-farm.example.org/' || page_id else url end as url from pages),
-parts as (
-  select page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) as scheme,
-    lower(regexp_extract(url,
-      '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@\s]*@)?([^/?#:@\s]+)(?::([0-9]*))?(?:[/?#]\S*)?$', 1)) as host,
-    regexp_extract(url,
-      '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@\s]*@)?([^/?#:@\s]+)(?::([0-9]*))?(?:[/?#]\S*)?$', 2) as port
-  from urls)
-select page_id, url, case
-  when scheme = '' or (scheme in ('http', 'https') and (host = '' or
-    (port <> '' and port::int > 65535))) then 'EGRESS_INVALID_URL'
-  when scheme <> 'https' then 'EGRESS_SCHEME_DENIED'
-  when host not in ('api.tiingo.com', 'finnhub.io', 'api.marketaux.com', 'www.alphavantage.co',
-    'api.x.ai', 'api.deepseek.com', 'api.openai.com', 'spam-farm.example.org',
-    'blog.ththan.example.net') then 'EGRESS_HOST_DENIED'
-  when port not in ('', '443') then 'EGRESS_PORT_DENIED' else 'ALLOWED' end as code
-from parts""",
+    when 7 then 'https://spam-farm.example.org/' || page_id when 8 then 'https://[::1]/x'
+    when 9 then 'https:api.openai.com/v1' when 10 then 'https://api.openai.com\v1'
+    when 11 then 'https://a@b@api.x.ai/' else url end as url from pages)
+select page_id, url, case page_id % 15 when 0 then 'EGRESS_INVALID_URL' when 1 then 'ALLOWED'
+  when 2 then 'EGRESS_PORT_DENIED' when 3 then 'ALLOWED' when 4 then 'EGRESS_HOST_DENIED'
+  when 5 then 'EGRESS_SCHEME_DENIED' when 6 then 'EGRESS_INVALID_URL' when 7 then 'ALLOWED'
+  when 8 then 'EGRESS_HOST_DENIED' when 9 then 'ALLOWED' when 10 then 'ALLOWED' when 11 then 'ALLOWED'
+  else case when not starts_with(url, 'https:') then 'EGRESS_SCHEME_DENIED'
+    when split_part(url, '/', 3) in ('spam-farm.example.org', 'blog.ththan.example.net') then 'ALLOWED'
+    else 'EGRESS_HOST_DENIED' end end as code
+from urls""",
 )
 def egress_check(t: Tables):
     checked = security.check_egress(outgoing_urls(t), EXTRA_HOSTS)
