@@ -32,7 +32,8 @@ def reuse(request_symbols: DataFrame, prior: DataFrame, ttl_s: int) -> DataFrame
     ``request_symbols`` has cache_key and ts; ``prior`` has cache_key, computed_at and a struct
     ``result``. A key's rows are spread over slices of time. Inside a slice a window finds the
     newest result so far; the newest result of all slices before comes from one row per slice, so
-    a busy key is never sorted in one task.
+    a busy key is never sorted in one task. Of results of one instant the one with the largest hash
+    counts, inside a slice and across slices alike.
     """
     at = F.unix_micros("ts")
     asks = request_symbols.withColumns({"_at": at, "_side": F.lit(1)})
@@ -40,6 +41,7 @@ def reuse(request_symbols: DataFrame, prior: DataFrame, ttl_s: int) -> DataFrame
         "cache_key",
         F.unix_micros("computed_at").alias("_at"),
         F.lit(0).alias("_side"),
+        F.xxhash64("result").alias("_tie"),
         F.struct(F.unix_micros("computed_at").alias("at"), F.col("result")).alias("_offer"),
     )
     both = asks.unionByName(offers, allowMissingColumns=True).withColumn(
@@ -50,7 +52,7 @@ def reuse(request_symbols: DataFrame, prior: DataFrame, ttl_s: int) -> DataFrame
     )
     carried = (
         both.groupBy("cache_key", "_slice")
-        .agg(F.max_by("_offer", F.col("_offer.at")).alias("_newest"))
+        .agg(F.max_by("_offer", F.when(F.col("_side") == 0, F.struct("_at", "_tie"))).alias("_newest"))
         .select(
             "cache_key",
             "_slice",
@@ -59,7 +61,7 @@ def reuse(request_symbols: DataFrame, prior: DataFrame, ttl_s: int) -> DataFrame
     )
     so_far = (
         Window.partitionBy("cache_key", "_slice")
-        .orderBy("_at", "_side")
+        .orderBy("_at", "_side", "_tie")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     seen = (
@@ -94,8 +96,12 @@ def newest_per_key(results: DataFrame) -> DataFrame:
 
 
 def store(results: DataFrame, path: str) -> None:
-    """Append this run's storable results; readers take the newest per key. Runs a job."""
-    newest_per_key(results).write.mode("append").parquet(path)
+    """Append this run's storable results, by day; readers take the newest per key. Runs a job.
+
+    A reader that asks for ``day`` from the oldest useful result on skips the folders before.
+    """
+    newest = newest_per_key(results).withColumn("day", F.to_date("computed_at"))
+    newest.write.mode("append").partitionBy("day").parquet(path)
 
 
 def _block_steps(t: np.ndarray, block_start: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:

@@ -465,9 +465,10 @@ def readiness(t: Tables):
         F.get(F.array(F.lit(200), F.lit(429), F.lit(500)), (key % 3).cast("int")).alias("status"),
         F.timestamp_seconds(key).alias("ts"),
     )
-    configured = t.supplier.filter("s_acctbal > 3000").select(
+    listed = F.get(names, (F.col("s_suppkey") % 7).cast("int"))
+    configured = t.supplier.select(
         F.col("s_nationkey").alias("deployment"),
-        F.get(names, (F.col("s_suppkey") % 7).cast("int")).alias("provider"),
+        F.when(F.col("s_acctbal") > 3000, listed).otherwise(F.lit("unlisted")).alias("provider"),
     )
     ready = health.readiness(probes, configured, ["deployment"])
     return ready.withColumns(
