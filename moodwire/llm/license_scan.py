@@ -8,9 +8,10 @@ least * s / (2c + (1 - least) * s) > 0.19 for the default 0.8, and each of the `
 collides with that probability: 64 bands miss with (1 - 0.19)^64 < 2e-6, and a verbatim template (similarity over
 1/4) with 1e-8. Candidates are confirmed by the exact share of the template's shingles in the window.
 
-Windows are made only for documents that can hold a template at all: per template the scan takes words which
-together stand in more than 1 - ``least`` of its shingles, so a document without any of them
-cannot reach ``least``. This test loses nothing and is one pattern over the text.
+Windows are banded only where they can hold a template at all: per template the scan takes words which
+together stand in more than 1 - ``least`` of its shingles, so a window none of whose shingles has
+such a word cannot reach ``least``. The same words, looked for as substrings, pick the documents first. Neither
+test can lose a match.
 
 Everything is column expressions and joins. Texts do not shuffle; rows that pass the test are landed, and
 band rows meet the templates in a join (broadcast while there are at most ``broadcast_rows`` band rows).
@@ -24,6 +25,8 @@ one named like ``into`` is replaced. Empty tables: no rows, or no licenses.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,11 +90,28 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def _shingled(words: Column, make) -> Column:
+    """``make`` of the words of each shingle; none for fewer than ``WIDTH`` words.
+
+    The lambda sees only its own words: what it names besides would be computed at every place.
+    """
+    names = [f"w{k}" for k in range(WIDTH)]
+    shifted = [F.slice(words, F.lit(k + 1), F.size(words) - (WIDTH - 1)).alias(n) for k, n in enumerate(names)]
+    each = F.transform(F.arrays_zip(*shifted), lambda s: make([s[n] for n in names]))
+    return F.when(F.size(words) >= WIDTH, each)
+
+
 def shingles_of(words: Column) -> Column:
-    """One hash per place; none for fewer than ``WIDTH`` words."""
-    places = F.sequence(F.lit(1), F.size(words) - (WIDTH - 1))
-    each = F.transform(places, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(WIDTH)]))
-    return F.when(F.size(words) >= WIDTH, each).otherwise(F.array().cast("array<bigint>"))
+    """One hash per place."""
+    return F.coalesce(_shingled(words, lambda own: F.xxhash64(*own)), F.array().cast("array<bigint>"))
+
+
+def marked_shingles_of(words: Column, needed: list[str]) -> Column:
+    """Hash per place, and whether a needed word is in it."""
+    one = lambda own: F.struct(
+        F.xxhash64(*own).alias("hash"), reduce(or_, [w.isin(needed) for w in own]).alias("mark")
+    )
+    return F.coalesce(_shingled(words, one), F.array().cast("array<struct<hash: bigint, mark: boolean>>"))
 
 
 def bands_of(shingles: Column, bands: int) -> Column:
@@ -100,20 +120,27 @@ def bands_of(shingles: Column, bands: int) -> Column:
     return F.transform(numbers, lambda k: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, k))))
 
 
+def _windows(shingles: Column, width: Column) -> Column:
+    """Windows of 2 * width shingles at every multiple of width that have a marked shingle."""
+    starts = F.sequence(F.lit(0), F.size(shingles) - 1, width)
+    every = F.transform(
+        starts, lambda k: F.struct(k.alias("window"), F.slice(shingles, k + 1, 2 * width).alias("own"))
+    )
+    return F.filter(every, lambda w: F.exists(w["own"], lambda s: s["mark"]))
+
+
 def _needed(texts: list[str], least: float) -> list[str]:
-    """Words of which a document with ``least`` of a template's shingles has at least one."""
+    """Words of which every window with ``least`` of a template's shingles has at least one."""
     needed: set[str] = set()
     for text in texts:
         words = re.findall("[a-z0-9]+", text.lower())
-        places = max(0, len(words) - WIDTH + 1)
-        covered: set[int] = set()
+        shingles = {tuple(words[k : k + WIDTH]) for k in range(len(words) - WIDTH + 1)}
+        left = len(shingles)
         for word in sorted(set(words), key=lambda w: (-len(w), w)):
-            if len(covered) > (1 - least) * places + 1e-9 or not places:
+            if len(shingles) - left > (1 - least) * len(shingles) + 1e-9 or not shingles:
                 break
             needed.add(word)
-            for k, w in enumerate(words):
-                if w == word:
-                    covered |= set(range(max(0, k - WIDTH + 1), min(places, k + 1)))
+            left = sum(needed.isdisjoint(s) for s in shingles)
     return sorted(needed)
 
 
@@ -153,23 +180,24 @@ def scan(
         return docs.select(*[F.col(f"`{c}`") for c in kept], none.alias(into))
 
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    may = value.rlike("(?i)" + "|".join(needed))
-    some = landed(
-        docs.where(may).select(row.alias("row"), shingles_of(words_of(F.col(f"`{text}`"))).alias("all")),
-        "licenses",
-    ).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("number"))
+    lowered = F.lower(value)
+    # Looked for as parts of the text, a word that holds another needed word adds nothing.
+    parts = [w for w in needed if not any(o in w for o in needed if o != w)]
+    may = reduce(or_, [F.contains(lowered, F.lit(w)) for w in parts])
+    marked = marked_shingles_of(words_of(F.col(f"`{text}`")), needed)
+    some = landed(docs.where(may).select(row.alias("row"), marked.alias("all")), "licenses")
+    some = some.select(
+        "*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("number")
+    )
 
     ks = F.explode(F.array(*[F.lit(c) for c in classes])).alias("class")
     windows = (
         some.where(F.size("all") > 0)
         .select("file", "number", "all", ks)
-        .select(
-            "file", "number", "all", "class",
-            F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.col("class"))).alias("window"),
-        )
-        .withColumn("own", F.slice("all", F.col("window") + 1, 2 * F.col("class")))
+        .select("file", "number", "class", F.explode(_windows(F.col("all"), F.col("class"))).alias("w"))
+        .select("file", "number", "class", "w.window", F.transform("w.own", lambda s: s["hash"]).alias("own"))
         .select("file", "number", "class", "window", "own", F.explode(bands_of(F.col("own"), bands)).alias("band"))
-    )
+    )
     index = known.select("license", "class", "wanted", F.explode("bands").alias("band"))
     if index.limit(broadcast_rows + 1).count() <= broadcast_rows:
         index = F.broadcast(index)
