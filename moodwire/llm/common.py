@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodwire.session import ship_package
+
 #: Rows of one Arrow batch: with texts of a megabyte a batch stays in the hundreds of megabytes.
 ARROW_ROWS = 500
 
-_SHIPPED: set[str] = set()
-
 
 def prepare(spark: SparkSession) -> None:
     """Batches of bounded size, and this package on the Python workers of every executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{os.path.basename(package)}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, names in os.walk(package):
-            for name in sorted(n for n in names if n.endswith(".py")):
-                full = os.path.join(folder, name)
-                out.write(full, os.path.relpath(full, os.path.dirname(package)))
-    context.addPyFile(target)
-    _SHIPPED.add(context.applicationId)
+    ship_package(spark)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
