@@ -18,6 +18,8 @@ results are replaced.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,8 +103,11 @@ class Neighbours:
         self.weight[-LAGS:] *= REPEATED
         terms = self._terms(counts)
         self.mean = terms.mean(0) if len(terms) else np.zeros(TERMS, np.float32)
-        centred = terms - self.mean
-        values, vectors = np.linalg.eigh(centred.T.astype(np.float64) @ centred)
+        spread = np.zeros((TERMS, TERMS))
+        for k in range(0, len(terms), 512):
+            centred = (terms[k : k + 512] - self.mean).astype(np.float64)
+            spread += centred.T @ centred
+        values, vectors = np.linalg.eigh(spread)
         self.axes = vectors[:, np.argsort(values)[::-1][:rank]].astype(np.float32)
         self.vectors = self._latent(terms)
 
@@ -149,7 +154,7 @@ def fit(
                 [
                     batch.column("doc_id"),
                     batch.column("mark"),
-                    pa.array([r.astype(np.float32).tobytes() for r in rows[: batch.num_rows]], pa.binary()),
+                    pa.array([zlib.compress(r.tobytes(), 1) for r in rows[: batch.num_rows]], pa.binary()),
                 ],
                 names=["doc_id", "mark", "terms"],
             )
@@ -157,7 +162,7 @@ def fit(
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = texts.mapInArrow(run, f"doc_id {kind}, mark double, terms binary")
     found = found.orderBy(F.xxhash64("doc_id", "terms")).limit(4 * per_class).collect()
-    rows = np.array([np.frombuffer(r["terms"], np.float32) for r in found], np.float32)
+    rows = np.array([np.frombuffer(zlib.decompress(r["terms"]), np.float32) for r in found], np.float32)
     marks = np.array([r["mark"] for r in found])
     return Neighbours(rows.reshape(-1, TERMS), marks, rank, k)
 
