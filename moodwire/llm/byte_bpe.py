@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pre-tokens whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Characters of text that are cut into pre-tokens at once.
-TOGETHER = 500_000
+TOGETHER = 200_000
 
 _LETTERS = {k: chr(256 + k) for k in range(256)}
 
@@ -81,12 +82,23 @@ class Coder:
     """Encodes texts to ids and ids to bytes."""
 
     def __init__(self, tokens: list[bytes], model: bytes, pattern: str):
-        self.tokens = tokens
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.split = regex.compile(pattern).findall
-        self.whole = {t: struct.pack("<i", k) for k, t in enumerate(tokens)}
+        self.tokens, self.serialised, self.pattern = tokens, model, pattern
         self.known: dict[str, bytes] = {}
 
+    # What only encoding needs is built when it is first used.
+
+    @cached_property
+    def model(self) -> sentencepiece.SentencePieceProcessor:
+        return sentencepiece.SentencePieceProcessor(model_proto=self.serialised)
+
+    @cached_property
+    def split(self):
+        return regex.compile(self.pattern).findall
+
+    @cached_property
+    def whole(self) -> dict[bytes, bytes]:
+        return {t: struct.pack("<i", k) for k, t in enumerate(self.tokens)}
+
     def _learn(self, parts: list[str]) -> None:
         """Pack the ids of pre-tokens that are not known yet."""
         rest, mapped = [], []
@@ -158,6 +170,7 @@ class ByteBPE:
                     pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32))
                 )
                 yield pa.RecordBatch.from_arrays([batch.column("row"), ids], names=["row", into])
+            coder.known.clear()  # the worker lives on, with other work to do
 
         value = F.col(f"`{text}`").cast("string")
         return _mapped(df, value, into, T.ArrayType(T.IntegerType()), run)

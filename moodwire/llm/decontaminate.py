@@ -212,7 +212,7 @@ def benchmark_overlap(
     *,
     text: str = "text",
     window: int = 10,
-    shard_words: int = 1_000_000,
+    shard_words: int = 500_000,
     every: int = 8,
     block_bytes: int = 32 << 20,
     into: str = "overlap",

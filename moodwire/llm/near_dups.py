@@ -240,7 +240,7 @@ def near_duplicates(
     percent: int = 85,
     permutations: int = 96,
     bands: int = 32,
-    unit: int = 500_000,
+    unit: int = 250_000,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
