@@ -67,8 +67,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coder = ByteBPE(spark, path, public_tokenizers.PATTERN)
-    coded = coder.encode(docs.select("doc_id", "text")).select("doc_id", "ids")
-    return coder.decode(coded).select(
+    return coder.encode(docs.select("doc_id", "text"), back="decoded").select(
         "doc_id",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),

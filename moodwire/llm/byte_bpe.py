@@ -157,8 +157,14 @@ class ByteBPE:
         key = hash((tuple(tokens), pattern))
         self.sent = spark.sparkContext.broadcast((key, tokens, model_of(tokens), pattern))
 
-    def encode(self, df: DataFrame, text: str = "text", into: str = "ids") -> DataFrame:
-        """``df`` with the ids of ``text`` as array<int> in ``into``."""
+    def encode(
+        self, df: DataFrame, text: str = "text", into: str = "ids", back: str | None = None
+    ) -> DataFrame:
+        """``df`` with the ids of ``text`` as array<int> in ``into``.
+
+        With ``back`` the ids are decoded again in the same pass, into bytes of that name, so that a
+        check of the round trip needs no second Python worker beside the first.
+        """
         sent = self.sent
 
         def run(batches):
@@ -169,11 +175,16 @@ class ByteBPE:
                 ids = pa.ListArray.from_arrays(
                     pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32))
                 )
-                yield pa.RecordBatch.from_arrays([batch.column("row"), ids], names=["row", into])
+                columns = [batch.column("row"), ids]
+                if back:
+                    read = [coder.decode(np.frombuffer(c, "<i4")) for c in coded]
+                    columns.append(pa.array(read, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["row", into, back][: len(columns)])
             coder.known.clear()  # the worker lives on, with other work to do
 
         value = F.col(f"`{text}`").cast("string")
-        return _mapped(df, value, into, T.ArrayType(T.IntegerType()), run)
+        made = [(into, T.ArrayType(T.IntegerType()))] + ([(back, T.BinaryType())] if back else [])
+        return _mapped(df, value, made, run)
 
     def decode(self, df: DataFrame, ids: str = "ids", into: str = "decoded") -> DataFrame:
         """``df`` with the bytes of ``ids`` in ``into``."""
@@ -194,13 +205,14 @@ class ByteBPE:
                     [batch.column("row"), pa.array(texts, pa.binary())], names=["row", into]
                 )
 
-        return _mapped(df, F.col(f"`{ids}`"), into, T.BinaryType(), run)
+        return _mapped(df, F.col(f"`{ids}`"), [(into, T.BinaryType())], run)
 
 
-def _mapped(df: DataFrame, value, into: str, kind: T.DataType, run) -> DataFrame:
-    kept = [f for f in df.schema.fields if f.name != into]
+def _mapped(df: DataFrame, value, made: list[tuple[str, T.DataType]], run) -> DataFrame:
+    names = [name for name, _ in made]
+    kept = [f for f in df.schema.fields if f.name not in names]
     if not kept:
         raise ValueError("the table needs a column besides the result")
     row = F.struct(*[F.col(f"`{f.name}`") for f in kept])
-    out = T.StructType([T.StructField("row", T.StructType(kept)), T.StructField(into, kind)])
-    return df.select(row.alias("row"), value.alias("value")).mapInArrow(run, out).select("row.*", into)
+    out = T.StructType([T.StructField("row", T.StructType(kept)), *[T.StructField(*m) for m in made]])
+    return df.select(row.alias("row"), value.alias("value")).mapInArrow(run, out).select("row.*", *names)

@@ -90,8 +90,7 @@ def op4(spark, table):
 def op7(spark, table):
     coder = ByteBPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     texts = table("documents").select("doc_id", F.col("text").alias("value"))
-    coded = coder.encode(texts, "value", "ids").select("doc_id", "ids")
-    return coder.decode(coded, "ids", "decoded").select(
+    return coder.encode(texts, "value", "ids", back="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
