@@ -101,12 +101,14 @@ def paths(nodes: DataFrame, *, branches: int = 1, by: str = "mean") -> DataFrame
         .where(F.col("rank") <= branches)
         .select("tree", F.col("node").alias("leaf"), "rank", "score", F.col("depth").alias("at"), "node")
     )
+    chosen = landed(chosen, "paths")
     for k, jump in enumerate(rounds[:-1]):
         step = jump.where("up is not null").select(*key, "up")
         higher = chosen.join(step, key).select(
             "tree", "leaf", "rank", "score", (F.col("at") - 2**k).alias("at"), F.col("up").alias("node")
         )
-        chosen = chosen.unionByName(higher)
+        # Both sides are read again by the next round: unless landed, plans would double each time.
+        chosen = landed(chosen.unionByName(higher), "paths")
     return chosen
 
 
