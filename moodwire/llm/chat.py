@@ -83,13 +83,14 @@ def paths(nodes: DataFrame, *, branches: int = 1, by: str = "mean") -> DataFrame
             "tree", F.col("node").alias("up"), F.col("up").alias("far"),
             F.col("total").alias("more"), F.col("depth").alias("deep"),
         )
-        joined = now.join(far, ["tree", "up"], "left").select(
+        # Nodes that know their root are done.
+        joined = now.where("up is not null").join(far, ["tree", "up"], "left").select(
             *key,
             F.col("far").alias("up"),
             (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
             (F.col("depth") + F.coalesce("deep", F.lit(0))).alias("depth"),
         )
-        rounds.append(landed(joined, "reach"))
+        rounds.append(landed(joined.unionByName(now.where("up is null")), "reach"))
     whole = rounds[-1].where("up is null").select(*key, "total", "depth")
     parents = rounds[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = whole.join(parents, key, "left_anti")
