@@ -7,6 +7,10 @@ paragraphs, headings, lists and tables apart by a blank line; items are marked a
 their nesting; table cells are padded to the width of their column (cells over ``WIDE`` characters do not
 widen it). Not visible are scripts, styles, templates, titles, comments, elements with ``hidden``,
 ``display: none`` or ``visibility: hidden``, hidden inputs, and fallback content such as ``noscript``.
+A head ends at its end tag or at the first tag or text that may not stand in it. In ``svg`` and ``math``
+``/>`` ends an element and a tag of HTML ends the drawing or formula. Shown are all text of formulas save
+annotations and phantoms, and of drawings ``text`` and ``foreignObject``, not what is only defined there
+(``defs``, ``symbol``; a ``use`` of it is not followed) and of a ``switch`` the first child without conditions.
 Pages are independent of each other: no shuffle, and a page's tree is as large as the page.
 
 Defined cases: a null or empty page has the empty text. Unclosed comments, tags, quotes and raw elements
@@ -33,7 +37,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style title textarea xmp iframe noembed noframes".split())
 UNSEEN = set(
     "script style title template noscript iframe noembed noframes object audio video canvas "
-    "datalist head svg math".split()
+    "datalist head".split()
 )
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
@@ -56,11 +60,31 @@ ENDS = {
     **{t: ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
 }
 CELLS = {"td", "th"}
+#: Tags that leave a head open.
+IN_HEAD = set(
+    "head html base basefont bgsound link meta title noscript noframes style script template".split()
+)
+#: Tags of HTML that end open drawings and formulas.
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+    "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements of drawings and formulas that hold HTML.
+POINTS = {"svg": {"foreignobject", "desc", "title"}, "math": {"mi", "mo", "mn", "ms", "mtext"}}
+FOREIGN_UNSEEN = {
+    "svg": set(
+        "title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter "
+        "style script".split()
+    ),
+    "math": {"annotation", "annotation-xml", "mphantom", "style", "script"},
+}
+#: Children of these stand apart.
+SPACED = {"mfrac", "mroot", "mtable", "mtr"}
 #: No end tag or implied end reaches beyond these, save their own.
 WALLS = {"td", "th", "caption", "table", "template", "html"}
 
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"""|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(?P<odd>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>"
@@ -68,16 +92,26 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: A last slash that belongs to a value without quotes.
+_VALUE_SLASH = re.compile(r"""=\s*[^\s"']*/\Z""")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """``space``: svg, math or, for HTML, empty; ``shows``: text right inside can be seen."""
+
+    __slots__ = ("tag", "attrs", "children", "space", "shows")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], space: str = "", shows: bool = True):
+        self.tag, self.attrs, self.children, self.space, self.shows = tag, attrs, [], space, shows
+
+    def holds_html(self) -> bool:
+        if not self.space or self.tag in POINTS[self.space]:
+            return True
+        kind = self.attrs.get("encoding", "").lower() if self.tag == "annotation-xml" else ""
+        return kind in ("text/html", "application/xhtml+xml")
 
 
 class Builder:
@@ -98,6 +132,8 @@ class Builder:
         found = 0
         if any(self.count[t] for t in tags):
             for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k].space:
+                    break
                 if self.open[k].tag in tags:
                     found = k
                 elif self.open[k].tag in stop:
@@ -112,7 +148,51 @@ class Builder:
             self.count[tag] += 1
         return node
 
-    def start(self, tag: str, attrs: dict[str, str]) -> None:
+    def _foreign(self, tag: str, attrs: dict[str, str], space: str, closed: bool) -> None:
+        """An element of a drawing or formula."""
+        up = self.open[-1]
+        shows = space == "math" or tag in ("text", "foreignobject")
+        if up.space == space == "svg" and up.tag != "foreignobject":
+            shows |= up.shows
+        if up.space and up.tag in SPACED and up.children:
+            up.children.append(" ")
+        node = Node(tag, attrs, space, shows)
+        up.children.append(node)
+        if not closed:
+            self.open.append(node)
+            self.count[tag] += 1
+
+    def _break_out(self) -> None:
+        """End open drawings and formulas up to an element that holds HTML."""
+        k = len(self.open)
+        while not self.open[k - 1].holds_html():
+            k -= 1
+        self._pop(k)
+
+    def _in_head(self) -> bool:
+        return self.open[-1].tag == "head" and not self.open[-1].space
+
+    def start(self, tag: str, attrs: dict[str, str], closed: bool = False) -> bool:
+        """Whether an element of HTML begins; ``closed``: the tag ends in a slash."""
+        top = self.open[-1]
+        if top.space and not (
+            top.holds_html() and tag not in ("mglyph", "malignmark") or top.tag == "annotation-xml" and tag == "svg"
+        ):
+            if tag not in BREAKOUT and not (tag == "font" and attrs.keys() & {"color", "face", "size"}):
+                self._foreign(tag, attrs, top.space, closed)
+                return False
+            self._break_out()
+        if self._in_head() and tag not in IN_HEAD:
+            self._pop(len(self.open) - 1)
+        if tag in ("svg", "math"):
+            self._foreign(tag, attrs, tag, closed)
+            return False
+        if tag == "html" and (self.count["html"] or self._in_head()):
+            whole = next((n for n in self.open if n.tag == "html"), self.root)
+            whole.attrs = attrs | whole.attrs
+            return False
+        if tag == "head" and any(n.tag not in ("#page", "html") for n in self.open):
+            return False
         if tag in CLOSES_P and (k := self._depth({"p"}, WALLS)):
             self._pop(k)
         if tag in ENDS and (k := self._depth(*ENDS[tag])):
@@ -120,8 +200,22 @@ class Builder:
         if tag in CELLS and self.open[-1].tag != "tr":
             self._push("tr", {})
         self._push(tag, attrs)
+        return True
+
+    def text(self, text: str) -> None:
+        if self._in_head() and text.strip(" \t\n\r\f"):
+            self._pop(len(self.open) - 1)
+        if self.open[-1].shows:
+            self.open[-1].children.append(text)
 
     def end(self, tag: str) -> None:
+        if tag in ("p", "br"):
+            self._break_out()
+        if self._in_head():
+            if tag in ("body", "html", "br"):
+                self._pop(len(self.open) - 1)
+            elif tag != "head":
+                return None
         if tag == "br" or tag == "p" and not self.count["p"]:
             self._push(tag, {})
             self.open[-1].tag == "p" and self._pop(len(self.open) - 1)
@@ -129,7 +223,10 @@ class Builder:
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].tag == tag:
                     return self._pop(k)
-                if self.open[k].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
+                if self.open[k].space:
+                    if self.open[k].holds_html():
+                        return None
+                elif self.open[k].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
                     return None
         return None
 
@@ -140,13 +237,15 @@ class Builder:
             at = m.end()
             kind = m.lastgroup
             if kind == "text":
-                self.open[-1].children.append(html.unescape(m[0]))
+                self.text(html.unescape(m[0]))
+            elif kind == "cdata":
+                self.open[-1].space and self.text(m["cdata"])
             elif kind == "end":
                 self.end(m["end"].lower())
             elif kind in ("attrs", "rest"):
-                tag, raw = (m["start"] or m["odd"]).lower(), m["attrs"] or m["rest"]
-                self.start(tag, _attrs(raw) if raw and not raw.isspace() else {})
-                if tag in RAW:
+                tag, raw = (m["start"] or m["odd"]).lower(), m["attrs"] or m["rest"] or ""
+                closed = raw.endswith("/") and not _VALUE_SLASH.search(raw)
+                if self.start(tag, _attrs(raw) if raw and not raw.isspace() else {}, closed) and tag in RAW:
                     close = _RAW_END[tag].search(page, at)
                     inside = page[at : close.start() if close else n]
                     if tag not in UNSEEN:
@@ -166,7 +265,11 @@ def _attrs(raw: str) -> dict[str, str]:
 
 
 def visible(node: Node) -> bool:
-    if node.tag in UNSEEN or "hidden" in node.attrs:
+    if node.tag in (FOREIGN_UNSEEN[node.space] if node.space else UNSEEN) or "hidden" in node.attrs:
+        return False
+    if node.space == "svg" and (
+        node.attrs.get("display") == "none" or node.attrs.get("visibility") in ("hidden", "collapse")
+    ):
         return False
     if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
         return False
@@ -227,12 +330,14 @@ def rendered(page: str | None) -> str:
         if isinstance(node, str):
             flow.verbatim(node) if pre else flow.inline(node)
             continue
-        tag = node.tag
+        tag = "" if node.space else node.tag
         if not leaving:
             if not visible(node):
                 continue
             stack.append((node, True))
-            stack.extend((child, False) for child in reversed(node.children))
+            stack.extend((child, False) for child in reversed(_shown(node)))
+        if node.space == "svg" and node.tag in ("text", "foreignobject"):
+            flow.inline(" ")
         gap = 0 if tag not in BLOCKS else 2 if tag in APART and not (tag in LISTS and lists[leaving:]) else 1
         if tag == "br":
             leaving or flow.line(keep=bool(flow.now))
@@ -284,6 +389,17 @@ def rendered(page: str | None) -> str:
     return flow.text()
 
 
+def _shown(node: Node) -> list:
+    if node.space == "svg" and node.tag == "switch":
+        free = (
+            c
+            for c in node.children
+            if isinstance(c, Node) and not c.attrs.keys() & {"requiredextensions", "systemlanguage"}
+        )
+        return [c for c in [next(free, None)] if c]
+    return node.children
+
+
 def _number(node: Node) -> int:
     start = node.attrs.get("start", "").strip()
     return int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1

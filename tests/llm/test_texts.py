@@ -58,6 +58,33 @@ def test_no_visible_word_is_lost(spark):
         assert words(own) == words(plain)
 
 
+HEADS_AND_DRAWINGS = [
+    ("<html><head><title>t</title><body><p>a</body></html>", "a"),
+    ("<head><meta charset=x><title>t</title>\n<p>a<p>b", "a\n\nb"),
+    ("<html><head>\n <style>x</style> words <b>b</b>", "words b"),
+    ("<head><noscript><p>no</noscript><template><p>no</template><div>a</div>", "a"),
+    ("<head><html lang=x><title>t</title></p></body>a", "a"),
+    ("<div>a<head><title>t</title>b</head>c</div>", "abc"),
+    ('<div>a<svg width="1" />b<math/>c</div>d', "abc\nd"),
+    ('<svg><path d="M0"/><g><circle r="1"/></g></svg>a', "a"),
+    ("<svg><path d=M0/>no</svg>a", "a"),
+    ("a<svg><title>no</title>no<defs><text>no</text></defs><text>x<tspan>y</tspan></text><text>z</text></svg>b",
+     "a xy z b"),
+    ("<svg><text><![CDATA[a<b]]></text><text display=none>no</text><style>no</style></svg>c", "a<b c"),
+    ("<svg><foreignObject><ul><li>a<li>b</ul></foreignObject></svg>c", "- a\n- b\n\nc"),
+    ("<svg><switch><foreignObject><p>a</p></foreignObject><text>no</text></switch></svg>", "a"),
+    ("<svg><g><p>a</p>b", "a\n\nb"),
+    ("<ul><li>a<svg><foreignObject><li>b</foreignObject></svg><li>c</ul>", "- a\n- b\n- c"),
+    ("<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>", "x=1 2"),
+    ("<div><svg><text>a</div>b", "a\nb"),
+]
+
+
+@pytest.mark.parametrize("page,text", HEADS_AND_DRAWINGS)
+def test_heads_and_drawings(page, text):
+    assert html_text.rendered(page) == text
+
+
 TALK = "conv_id long, turn long, role string, text string"
 
 
