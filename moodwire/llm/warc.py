@@ -10,6 +10,10 @@ Spark's text writer as raw bytes; an empty member, which holds no record, ends e
 Reading: a member or plain record counts only if its checksum, length, closing line ends and digests all
 hold. After a failed check the reader searches for the next member magic or version line from which a
 valid record can be read, goes on there, and logs the bytes between as a quarantined gap.
+Inside a member the same search runs over the version lines of what can be decompressed, up to damage or
+a cut; a gap there is logged by the offset of the member, where reading went on after it, and the
+range of decompressed bytes. Of a member that is damaged only records with a digest of their own
+that holds are reported (their heads are under no sum), and none if it is one record and its sum fails.
 
 Defined cases: a null payload is empty. A null id is written as ``none`` and read back as null; it is
 never the smallest unless all are null, and then all are responses. Repeated rows (same id and payload)
@@ -21,6 +25,7 @@ written here.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -122,23 +127,70 @@ class _Bad(Exception):
     pass
 
 
-def _inflated(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends; zlib checks sum and size."""
-    coder, parts = zlib.decompressobj(31), []
+CUT, HURT, SUM = "member is cut off", "member is damaged", "sum of the member does not hold"
+
+
+def _inflated(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at ``at``, where it ends, and why it is not whole; zlib checks sum and size."""
+    begin, coder, parts = at, zlib.decompressobj(31), []
     while not coder.eof:
         if at >= len(data):
-            raise _Bad("member is cut off")
+            return b"".join(parts), at, CUT
         piece = data[at : at + FEED]
         at += len(piece)
         try:
             parts.append(coder.decompress(piece))
         except zlib.error as e:
-            raise _Bad("member is damaged") from e
-    return b"".join(parts), at - len(coder.unused_data)
+            ended = "incorrect data check" in str(e) or "incorrect length check" in str(e)
+            return _prefix(data, begin), at, SUM if ended else HURT
+    return b"".join(parts), at - len(coder.unused_data), None
 
 
-def _parsed(data, at: int) -> tuple[tuple, int]:
-    """The record at ``at`` of plain bytes, checked, and where it ends."""
+def _fed(coder, piece) -> tuple:
+    """The decompressor after ``piece`` and its output, or None."""
+    after = coder.copy()
+    try:
+        return after, after.decompress(piece)
+    except zlib.error:
+        return after, None
+
+
+def _prefix(data: memoryview, at: int) -> bytes:
+    """What the damaged member at ``at`` holds before the first byte that cannot be decompressed."""
+    coder, parts, size = zlib.decompressobj(31), [], FEED
+    while size:
+        after, out = _fed(coder, data[at : at + size])
+        if out is None:
+            size //= 2
+        else:
+            coder, at = after, at + size
+            parts.append(out)
+    rest = data[at : at + 1]
+    while True:  # symbols that end inside that byte
+        try:
+            out = coder.decompress(rest, 1)
+        except zlib.error:
+            out = b""
+        if not out:
+            return b"".join(parts)
+        parts.append(out)
+        rest = coder.unconsumed_tail
+
+
+def _reach(data: memoryview, at: int, want: int) -> int:
+    """Where the compressed bytes end that make the first ``want`` bytes of the member at ``at``."""
+    coder, have, size = zlib.decompressobj(31), 0, FEED
+    while size:
+        after, out = _fed(coder, data[at : at + size])
+        if out is None or have + len(out) >= want:
+            size //= 2
+        else:
+            coder, have, at = after, have + len(out), at + size
+    return at + 1
+
+
+def _parsed(data, at: int, proven: bool = False) -> tuple[tuple, int]:
+    """The record at ``at`` of plain bytes, checked, and where it ends; ``proven``: some digest must hold."""
     text = bytes(data[at : at + len(VERSION)])
     if text != VERSION:
         raise _Bad("no version line")
@@ -168,7 +220,7 @@ def _parsed(data, at: int) -> tuple[tuple, int]:
     if bytes(data[stop : stop + 4]) != b"\r\n\r\n":
         raise _Bad("record does not close at its length")
     block = bytes(data[begin:stop])
-    _checked(fields.get("warc-block-digest"), block)
+    sure = _checked(fields.get("warc-block-digest"), block)
     kind = fields.get("warc-type")
     payload, http = block, {}
     if fields.get("content-type", "").startswith("application/http"):
@@ -183,59 +235,107 @@ def _parsed(data, at: int) -> tuple[tuple, int]:
         count = int(told) if told.isascii() and told.isdigit() else None
         payload = None
     else:
-        _checked(digest, payload)
+        sure |= _checked(digest, payload)
         count, digest = len(payload), f"sha256:{hashlib.sha256(payload).hexdigest()}"
+    if proven and not sure:
+        raise _Bad("no digest in a damaged member")
     bare = digest.partition(":")[2].lower() if digest else None
     names = (fields.get(k) for k in ("warc-record-id", "warc-target-uri"))
     refers = fields.get("warc-refers-to")
     return (kind, *names, count, bare, refers, payload), stop + 4
 
 
-def _checked(digest: str | None, data: bytes) -> None:
-    if digest and digest.lower().startswith("sha256:"):
-        if hashlib.sha256(data).hexdigest() != digest[7:].strip().lower():
-            raise _Bad("digest does not match")
+def _checked(digest: str | None, data: bytes) -> bool:
+    """Whether ``digest`` proves ``data``; SHA-256 must, other kinds may be of another form of it."""
+    kind, _, told = (digest or "").partition(":")
+    kind, told = kind.strip().lower(), told.strip()
+    if kind == "sha256" and hashlib.sha256(data).hexdigest() != told.lower():
+        raise _Bad("digest does not match")
+    if kind not in ("sha256", "sha1", "sha512", "md5"):
+        return False
+    own = hashlib.new(kind, data).digest()
+    return told.lower() == own.hex() or told.upper() == base64.b32encode(own).decode()
+
+
+def _inner(plain: bytes, proven: bool) -> tuple[list[tuple], list[tuple], int]:
+    """Records and gaps (reason, start, end) of a member's content, and where the last record ends."""
+    records, gaps, at, last, lost = [], [], 0, 0, None
+    while at < len(plain):
+        try:
+            found, end = _parsed(plain, at, proven)
+        except _Bad as e:
+            lost = lost or (str(e), at)
+            place = plain.find(VERSION, at + 1)
+            at = place if place >= 0 else len(plain)
+            continue
+        if lost:
+            gaps.append((*lost, at))
+            lost = None
+        records.append(found)
+        at = last = end
+    if lost:
+        gaps.append((*lost, len(plain)))
+    return records, gaps, last
 
 
-def _unit(data: memoryview, at: int) -> tuple[list[tuple], int]:
-    """All records of the member at ``at``, or the one plain record there."""
+def _unit(data: memoryview, at: int) -> tuple[list[tuple], int, list[tuple], bool]:
+    """Records of the member at ``at``, or the one plain record there; where to go on, gaps, whether it is whole."""
     if bytes(data[at : at + len(MEMBER)]) != MEMBER:
         found, end = _parsed(data, at)
-        return [found], end
-    plain, end = _inflated(data, at)
-    records, k = [], 0
-    while k < len(plain):
-        found, k = _parsed(plain, k)
-        records.append(found)
-    return records, end
+        return [found], end, [], True
+    plain, end, why = _inflated(data, at)
+    records, gaps, last = _inner(plain, why in (HURT, SUM))
+    if not records and (why or gaps):
+        raise _Bad(why or gaps[0][0])
+    if why is None:
+        return records, end, gaps, True
+    if why == SUM and len(records) == 1 and not gaps:
+        raise _Bad(why)
+    gaps = [g for g in gaps if g[1] < last] + [(why, last, len(plain))]
+    return records, _reach(data, at, last), gaps, False
 
 
 def salvage(content: bytes) -> tuple[list[tuple], list[tuple]]:
-    """Records (offset, ...) and gaps (start, end, reason) of one archive, in order."""
+    """Records (offset, ...) and gaps of one archive, in order.
+
+    A gap is (start, end, reason), or (member, end, reason, inner start, inner end) inside a member.
+    """
     data, records, gaps, at = memoryview(content), [], [], 0
-    lost = None  # where an open gap began, and why
+    lost = None  # where an open gap began, and its reason and inner range, or those of several
     ahead = {MEMBER: -1, VERSION: -1}  # the next place of each, as far as known
+
+    def onward(start: int) -> int:
+        for magic, place in ahead.items():
+            if place < start:
+                place = content.find(magic, start)
+                ahead[magic] = place if place >= 0 else len(content)
+        return min(ahead.values())
+
+    def close(end: int) -> None:
+        gaps.extend((lost[0], end, *why) for why in lost[1])
+
     while at < len(content):
         try:
-            found, end = _unit(data, at)
+            found, end, inner, whole = _unit(data, at)
         except _Bad as e:
-            lost = lost or (at, str(e))
-            for magic, place in ahead.items():
-                if place <= at:
-                    place = content.find(magic, at + 1)
-                    ahead[magic] = place if place >= 0 else len(content)
-            at = min(ahead.values())
+            lost = lost or (at, [(str(e),)])
+            at = onward(at + 1)
             continue
         if lost and not found:  # an empty member proves nothing
-            lost, at = lost, end
+            at = end
             continue
         if lost:
-            gaps.append((lost[0], at, lost[1]))
+            close(at)
             lost = None
         records += [(at, *r) for r in found]
-        at = end
+        if whole:
+            gaps += [(at, end, *why) for why in inner]
+            at = end
+        else:
+            lost = (at, inner)
+            at = onward(end)
     if lost:
-        gaps.append((lost[0], len(content), lost[1]))
+        close(len(content))
     return records, gaps
 
 
@@ -260,18 +360,19 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gaps(spark: SparkSession, path: str) -> DataFrame:
-    """The quarantined byte ranges (archive, start, end, reason) of the archives below ``path``."""
+    """The quarantined byte ranges of the archives below ``path``; inner ranges are null outside of members."""
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                gaps = [(name, *g) for g in salvage(content.as_py())[1]]
+                gaps = [(name, *g, None, None)[:6] for g in salvage(content.as_py())[1]]
                 if gaps:
-                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                     columns = [pa.array(c, kind) for c, kind in zip(zip(*gaps), kinds)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["archive", "start", "end", "reason"])
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = "archive string, start long, end long, reason string"
+    out = "archive string, start long, end long, reason string, inner_start long, inner_end long"
+    names = [f.split(" ")[0] for f in out.split(", ")]
     return _read(spark, path).select("path", "content").mapInArrow(run, out)
 
 

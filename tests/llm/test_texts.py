@@ -193,6 +193,53 @@ def test_salvage_steps_over_damage():
     assert warc.salvage(b"") == ([], [])
 
 
+def test_salvage_inside_members(spark, tmp_path):
+    rng = random.Random(5)
+    data = [bytes(rng.choices(b"abcdefgh <>", k=3000)) for _ in range(8)]
+    one = [warc.record(k, "u", d, hashlib.sha256(d).hexdigest(), None, "2000") for k, d in enumerate(data)]
+    ids = lambda content: [int(r[2][10:-1]) for r in warc.salvage(content)[0]]
+    starts = [sum(map(len, one[:k])) for k in range(9)]
+    for level in (0, 6):
+        # A record whose digest fails, between good ones of a whole member.
+        bad = one[:2] + [one[2].replace(data[2], data[2][::-1])] + one[3:5]
+        head, tail = warc.member(b"".join(bad), level), warc.member(b"".join(one[5:]), level)
+        found, gaps = warc.salvage(head + tail)
+        assert ids(head + tail) == [0, 1, 3, 4, 5, 6, 7] and [r[0] for r in found] == [0] * 4 + [len(head)] * 3
+        assert gaps == [(0, len(head), "digest does not match", starts[2], starts[3])]
+        # Cut at every length: the records before the cut, none twice, and one gap.
+        whole = warc.member(b"".join(one), level)
+        seen = set()
+        for end in range(0, len(whole), 97):
+            got, gaps = ids(whole[:end]), warc.salvage(whole[:end])[1]
+            assert got == list(range(len(got))) and len(gaps) == (end > 0)
+            if got:
+                assert gaps[0][:4] == (0, end, "member is cut off", starts[len(got)])
+            seen.add(len(got))
+        assert seen >= set(range(8))
+        # Damage: all before it, and the next member; the rest of a stream cannot be read once it is lost.
+        first = warc.member(b"".join(one[:5]), level)
+        for at in range(12, len(first), 61):
+            hurt = bytearray(first + tail)
+            hurt[at] ^= 255
+            got = ids(bytes(hurt))
+            assert got[-3:] == [5, 6, 7] and len(set(got)) == len(got)
+            at_least = at * 5 // len(first) - 1
+            assert got[: max(0, at_least)] == list(range(at_least))
+            assert warc.salvage(bytes(hurt))[1]
+    cut = warc.member(b"".join(one))[:-9]
+    (tmp_path / "x.warc.gz").write_bytes(cut)
+    gap = warc.read_gaps(spark, f"file://{tmp_path}").first()
+    assert warc.read_records(spark, f"file://{tmp_path}").count() >= 7
+    assert (gap.start, gap.end, gap.reason) == (0, len(cut), "member is cut off") and gap.inner_start >= starts[7]
+    # Without a digest a record of a damaged member is not known to be good; a lone record needs its sum.
+    bare = [re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]*\r\n", b"", r) for r in one]
+    for records, want in ((bare, []), (one, list(range(8))), (one[:1], [])):
+        off = bytearray(warc.member(b"".join(records)))
+        off[-6] ^= 1
+        assert ids(bytes(off)) == want
+    assert ids(warc.member(b"".join(bare))) == list(range(8))
+
+
 def test_licenses(spark):
     notices = license_scan.templates(spark)
     by_name = {}
