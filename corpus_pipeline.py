@@ -53,10 +53,10 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the values of found secrets replaced."""
+    """All documents, the values of found secrets replaced; widely copied ones are marked as examples."""
     prepare(spark)
     found = secret_scan.scan(docs)
-    text = secret_scan.redacted(F.col("text"), F.col("secrets"))
+    text = secret_scan.redacted(F.col("text"), F.col("secrets"), example="[EXAMPLE]")
     found = found.withColumn("text", text)
     length = F.when(F.size("secrets") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return found.withColumn("n_chars", F.coalesce(length, "n_chars")).select(*docs.columns)

@@ -143,7 +143,7 @@ from docs left join per using (doc_id)
 
 @register("op10_secrets", SECRETS_SQL)
 def op10(spark, table):
-    found = scan(table("documents"))
+    found = scan(table("documents"), owners=1, repositories=None)  # what its SQL counts as live
     found = found.select("doc_id", "secrets", base_of(F.col("secrets")).alias("base"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(

@@ -4,9 +4,10 @@ Base kinds, leftmost and non-overlapping in a whole text, offsets in code points
 ``assign`` (a named value of 8 characters or more; the span is the whole match), ``access`` and
 ``hex``. A fourth kind, ``token``, is a run of 24 or more letters, digits, _ and - with both cases
 and four digits, outside of all base spans. Values are hashed; distinct owners and repositories are
-counted per hash over the whole corpus. A value of at most ``owners`` owners is owner-specific and
-looks live; one that more owners hold is a widely copied example. Base spans are always reported, with
-that mark; tokens only where they look live.
+counted per hash over the whole corpus (a repository belongs to its owner). A value of at most ``owners``
+owners and at most ``repositories`` repositories is owner-specific and looks live; one that more of
+either hold is a widely copied example. Spans carry that mark and both counts. Base spans are always
+reported; tokens only where they look live.
 
 Everything is column expressions, aggregates and joins. Texts never shuffle: spans are found in the scan,
 rows are landed, and only spans (joined by hash) and rows that have some (joined by file and row
@@ -77,10 +78,12 @@ def scan(
     text: str = "text",
     owner: Column | None = None,
     repository: Column | None = None,
-    owners: int = 1,
+    owners: int = 2,
+    repositories: int | None = 100,
     into: str = "secrets",
 ) -> DataFrame:
-    """``docs`` with ``into``: array of (start, rank, end, kind, value_start, live), by start and kind."""
+    """``docs`` with ``into``: array of (start, rank, end, kind, value_start, live, owners, repositories),
+    by start and kind. ``owners``, ``repositories``: the most that a live value has; None: no limit."""
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -107,21 +110,27 @@ def scan(
     some = rows.where(F.size("found") > 0)
     spans = some.select("file", "number", "owner", "repository", F.explode("found").alias("span"))
     held = spans.groupBy(F.col("span.hash").alias("hash"), "owner", "repository").agg(F.count("*"))
-    spread = held.groupBy("hash").agg(F.count_distinct("owner").alias("n"))
-    judged = spans.withColumn("hash", F.col("span.hash")).join(spread, "hash")
-    live = F.col("n") <= owners
+    spread = held.groupBy("hash").agg(
+        F.count_distinct("owner").alias("owners"), F.count("*").alias("repositories")
+    )
+    judged = spans.select("file", "number", "span", F.col("span.hash").alias("hash")).join(spread, "hash")
+    live = F.col("owners") <= owners
+    if repositories is not None:
+        live &= F.col("repositories") <= repositories
     judged = judged.where((F.col("span.rank") < BASE) | live).groupBy("file", "number").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
                     *[F.col(f"span.{c}") for c in ("start", "rank", "end", "kind", "value_start")],
                     live.alias("live"),
+                    "owners",
+                    "repositories",
                 )
             )
         ).alias("spans")
     )
-    kind = "array<struct<start: int, rank: int, end: int, kind: string, value_start: int, live: boolean>>"
-    none = F.array().cast(kind)
+    kind = "start: int, rank: int, end: int, kind: string, value_start: int, live: boolean"
+    none = F.array().cast(f"array<struct<{kind}, owners: bigint, repositories: bigint>>")
     with_spans = some.select("row", "file", "number").join(judged, ["file", "number"], "left")
     without = rows.where(F.size("found") == 0).select("row.*", none.alias(into))
     return with_spans.select("row.*", F.coalesce("spans", none).alias(into)).unionByName(without)
@@ -141,27 +150,40 @@ def base_of(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["rank"] < BASE)
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with the value of every span replaced by ``mark``; overlapping values become one."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redacted(
+    text: Column, spans: Column, mark: str = "[SECRET]", example: str | None = None
+) -> Column:
+    """``text`` with the value of every span replaced by ``mark``; overlapping values become one.
+
+    ``example``: what stands for values of which none looks live, ``mark`` by default.
+    """
+    begin = F.struct(
+        F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(None).cast("boolean").alias("live")
+    )
     # By value, since a named value can begin inside or before another kind's span.
     values = F.sort_array(
-        F.transform(spans, lambda s: F.struct(s["value_start"].alias("a"), s["end"].alias("b")))
+        F.transform(
+            spans, lambda s: F.struct(s["value_start"].alias("a"), s["end"].alias("b"), s["live"].alias("live"))
+        )
     )
 
+    def marked(state: Column) -> Column:
+        other = F.when(state["live"].isNull(), "").otherwise(mark if example is None else example)
+        return F.concat(state["out"], F.when(state["live"], mark).otherwise(other))
+
     def step(state: Column, s: Column) -> Column:
-        gap = F.concat(
-            state["out"], F.substring(text, state["at"] + 1, s["a"] - state["at"]), F.lit(mark)
-        )
+        apart = s["a"] >= state["at"]
+        gap = F.concat(marked(state), F.substring(text, state["at"] + 1, s["a"] - state["at"]))
         return F.struct(
             F.greatest(state["at"], s["b"]).alias("at"),
-            F.when(s["a"] >= state["at"], gap).otherwise(state["out"]).alias("out"),
+            F.when(apart, gap).otherwise(state["out"]).alias("out"),
+            F.when(apart, s["live"]).otherwise(state["live"] | s["live"]).alias("live"),
         )
 
     rest = F.aggregate(
         values,
         begin,
         step,
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))),
+        lambda s: F.concat(marked(s), F.substring(text, s["at"] + 1, F.char_length(text))),
     )
     return F.when(F.size(spans) > 0, rest).otherwise(text)

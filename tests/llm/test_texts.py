@@ -276,6 +276,25 @@ KINDS = [
 ]
 
 
+def test_owners_and_repositories_of_secrets(spark):
+    mirrored, many, spread = "Zx9Kq2Lm8Wn4Rt7Yp1Vb6Uc3", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8", "Qw1Er2Ty3Ui4Op5As6Df7Gh8"
+    rows = [(k, f"key {mirrored}", f"s{k % 2}", lang) for k, lang in enumerate(["en", "de", "fr", "es"])]
+    rows += [(k, f"key {many}", "hot", f"l{k}") for k in range(10, 15)]
+    rows += [(k, f"key {spread} secret=copied-by-all", f"s{k}", "en") for k in (20, 21, 22)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    scanned = secret_scan.scan(frame, repositories=4)
+    clean = secret_scan.redacted(F.col("text"), F.col("secrets"), example="[EXAMPLE]")
+    got = {r.doc_id: r for r in scanned.withColumn("clean", clean).collect()}
+    for k in range(4):  # two owners, four repositories: still live
+        assert [tuple(s)[3:] for s in got[k].secrets] == [("token", 4, True, 2, 4)]
+        assert got[k].clean == "key [SECRET]"
+    assert all(got[k].secrets == [] for k in range(10, 15))  # one owner, five repositories
+    for k in (20, 21, 22):
+        assert [(s.kind, s.live, s.owners, s.repositories) for s in got[k].secrets] == [("assign", False, 3, 3)]
+        assert got[k].clean == f"key {spread} secret=[EXAMPLE]"
+    assert {r.doc_id for r in secret_scan.scan(frame).collect() if r.secrets} == {0, 1, 2, 3, *range(10, 15), 20, 21, 22}
+
+
 def plain_spans(text):
     found = []
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
