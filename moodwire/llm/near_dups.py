@@ -11,8 +11,8 @@ with probability 1 - (1 - 0.85^6)^32 = 1 - 3e-7.
 
 Skew: copies collapse in partial aggregates; a bucket of any size yields one edge per node to its
 smallest node, never pairs. Clusters above ``unit`` shingles are cut into blocks and each pair of
-blocks is a task of its own, so a task holds at most two blocks; it emits a spanning forest of the
-confirmed links and not the links.
+blocks is a task of its own, so a task holds at most two blocks; smaller clusters are packed by hash,
+``unit`` shingles or fewer to a pack on average. It emits a spanning forest of the confirmed links and not the links.
 
 Defined cases: null, empty or blank text has the empty set, is linked with nothing and is its own
 class (a null id: a null class, kept). Repeated rows and equal texts share a class. Rows with a null
@@ -34,6 +34,8 @@ from .common import components, landed
 COLUMNS = 4096
 #: Bytes of text that are hashed at once; one longer text is hashed alone.
 CHUNK = 1 << 18
+#: Packs of small clusters that there are at least.
+PACKS = 4096
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -233,6 +235,11 @@ def _forest(percent: int):
     return run
 
 
+def packs(shingles: int, unit: int) -> int:
+    """Packs over which whole clusters of so many shingles together are spread."""
+    return max(PACKS, -(-shingles // unit))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -256,6 +263,8 @@ def near_duplicates(
         ),
         "minmax",
     )
+    # Of all rows, which is no less than what the clusters hold, and read from one landed column.
+    n_packs = packs(features.agg(F.sum("n_shingles")).first()[0] or 0, unit)
     keyed = features.where("node is not null")
     rows = keyed.select("node", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
@@ -291,7 +300,7 @@ def near_duplicates(
         "block",
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
-        F.when(F.col("m") == 1, F.pmod(F.xxhash64("cluster"), F.lit(4096)).cast("string"))
+        F.when(F.col("m") == 1, F.pmod(F.xxhash64("cluster"), F.lit(n_packs).cast("long")).cast("string"))
         .otherwise(F.hex("cluster"))
         .alias("pack"),
         (F.col("m") == 1).alias("whole"),

@@ -132,6 +132,11 @@ def test_near_duplicates_equal_all_pairs(spark, unit):
     assert sorted(map(tuple, got), key=str) == sorted(plain_classes(docs), key=str)
 
 
+def test_packs_grow_with_the_shingles():
+    assert near_dups.packs(0, 250_000) == near_dups.PACKS
+    assert near_dups.packs(10**12, 250_000) == 4_000_000
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dups.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
