@@ -6,7 +6,8 @@ keep one document of each class, decontamination drops documents that hold a ben
 secret scan replaces values in the text (``n_chars`` follows), and the encoder turns texts into ids.
 
 Rows without an id pass all stages; of near duplicates among them each distinct text without a smaller
-id stays. Repeated rows (same id and text) become one in the near-duplicate stage.
+id stays. Repeated rows (same id and text) become one in the near-duplicate stage. Rows of one id with
+different texts are judged each by its text; of near duplicates among them one stays.
 """
 
 from __future__ import annotations
@@ -37,10 +38,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the smallest id."""
+    """One document of each class of near duplicates (similarity 0.8 or more), the one with the smallest id."""
     prepare(spark)
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("own")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+    found = near_duplicates(docs, percent=80, by_text=True).where("kept")
+    kept = found.select(F.col("doc_id").alias("own"), "text_key").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.xxhash64("text") == F.col("text_key"))
+    chosen = docs.join(kept, same, "left_semi")
     copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source")
     return chosen.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select(*docs.columns)
 

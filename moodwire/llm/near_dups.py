@@ -248,10 +248,12 @@ def near_duplicates(
     permutations: int = 96,
     bands: int = 32,
     unit: int = 250_000,
+    by_text: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    ``unit``: shingles of one block of a cluster, which bounds the memory of a task.
+    ``by_text``: also text_key (``xxhash64`` of the text), and of texts that share the smallest id of a class
+    only the one with the smallest key is kept. ``unit``: shingles of one block of a cluster, which bounds the memory of a task.
     """
     own = docs.select(
         "doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key")
@@ -318,15 +320,21 @@ def near_duplicates(
         found = found.unionByName(components(parts))
     classes = (
         nodes.join(found, "node", "left")
-        .select("node", F.coalesce("root", "node").alias("root"), F.col("at.doc_id").alias("least"))
+        .select("node", F.coalesce("root", "node").alias("root"), F.col("at").alias("least"))
     )
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = classes.join(smallest, "root").select("node", "component_id")
-    marked = features.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    smallest = classes.groupBy("root").agg(F.min("least").alias("first"))
+    ids = classes.join(smallest, "root").select(
+        "node", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_key")
+    )
+    marked = features.select("doc_id", "text_key", "n_shingles", "node").join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    if by_text:
+        kept &= F.col("node").isNull() | F.col("doc_id").isNull() | (F.col("text_key") == F.col("first_key"))
     return marked.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        kept.alias("kept"),
+        *(["text_key"] if by_text else []),
     )

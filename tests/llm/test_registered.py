@@ -22,6 +22,22 @@ def test_query(spark, name):
         assert df.count() > 0
 
 
+def test_near_copies_leave_by_id_and_text(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    a = words("a", 104)
+    at_82 = words("a", 94) + " " + words("b", 10)  # 90 of 110 shingles
+    e, g, c = words("e", 50), words("g", 104), words("c", 50)
+    rows = [(1, a), (2, at_82), (None, c), (None, a + " end"), (7, e), (7, a + " more"), (8, g), (8, g + " more"),
+            (8, g), (9, ""), (9, words("h", 20)), (None, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, frame, SF_DIR).collect()), key=str)
+    eight = [t for i, t in got if i == 8]
+    assert len(eight) == 1 and eight[0] in (g, g + " more")
+    want = [(1, a), (None, c), (7, e), (8, eight[0]), (9, ""), (9, words("h", 20)), (None, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_stages_do_what_they_say(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     odd = spark.createDataFrame(
