@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from moodwire.functions.binding import let
+
 from .byte_bpe import ByteBPE
 from .chat import formatted, linear, parsed, under_mask
 from .common import shared_path
 from .decontaminate import benchmark_overlap
+from .filter_audit import filter_audit
 from .html_text import extract
 from .license_scan import TEMPLATES, templates
 from .license_scan import scan as scan_licenses
 from .near_dups import near_duplicates
+from .periodic_runs import periodic_runs, strongest
 from .quality import fit, held_out, score
 from .queries import ORACLES, QUERIES, register  # noqa: F401
 from .secret_scan import BASE, KINDS, base_of, scan, spelled
+from .token_counts import TokenCounts
 from .top_k import top_k
 from .warc import page_of, read_records, write_archives
 
@@ -269,3 +275,89 @@ def op9(spark, table):
     return found.select(
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", names).alias("licenses")
     )
+
+
+@register("op11_token_counts")
+def op11(spark, table):
+    counts = TokenCounts(spark, public_tokenizers.path("word_bpe_49k.json"))
+    found = counts.counted(table("documents").select("doc_id", "text"), limit=2048)
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+FILTERS_SQL = r"""
+with recursive own as (
+  select doc_id, coalesce(lang, '') part, coalesce(text, '') t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+marks as (
+  select doc_id, bool_or(coalesce(quality, 0) = 1) good, bool_or(coalesce(toxic, 0) = 1) toxic from labels group by 1),
+judged as (
+  select part, coalesce(good, false) good, coalesce(toxic, false) toxic,
+    case when len(w) < 200 then 'A' else '' end
+    || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when coalesce(own.doc_id > min(own.doc_id) over (partition by t), false) then 'E' else '' end fails
+  from own left join marks on own.doc_id = marks.doc_id),
+counts as (
+  select part, fails, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from judged group by 1, 2),
+orders as (
+  select '' o union all
+  select o || f from orders, (values ('A'), ('B'), ('C'), ('D'), ('E')) x(f) where not contains(o, f)),
+steps as (select o, s::integer s, o[s:s] f from (select o, unnest(range(1, 6)) s from orders where length(o) = 5)),
+seen as (
+  select part, o, s, f, fails, n, good, toxic, contains(fails, f) fails_here,
+    exists (select 1 from (select unnest(range(1, s)) k) where contains(fails, o[k:k])) earlier
+  from counts, steps),
+summed as (
+  select part, o filter_order, s step, f,
+    sum(n) filter (not fails_here and not earlier)::bigint kept,
+    sum(n) filter (fails_here and not earlier)::bigint removed,
+    sum(n) filter (fails_here and earlier)::bigint redundant,
+    sum(n) filter (fails = f)::bigint unique_fails,
+    sum(good) filter (fails_here and not earlier)::bigint good_lost,
+    sum(toxic) filter (fails_here and not earlier)::bigint toxic_lost
+  from seen group by 1, 2, 3, 4)
+select part, filter_order, step, coalesce(kept, 0) kept, coalesce(removed, 0) removed,
+  coalesce(redundant, 0) redundant, coalesce(unique_fails, 0) unique_fails, coalesce(good_lost, 0) good_lost,
+  coalesce(toxic_lost, 0) toxic_lost, coalesce(sum(removed) over (partition by part, f), 0)::bigint shapley
+from summed
+"""
+
+
+@register("op12_filter_audit", FILTERS_SQL)
+def op12(spark, table):
+    return filter_audit(table("documents"), table("labels"))
+
+
+def planted() -> Column:
+    """The text of a document; with every tenth id hash, its end repeats a stretch of words."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    inner = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    words = F.split(inner, r"[\x20\x09-\x0D]+")
+
+    def ended(w):
+        n, g = F.size(w), F.floor(hashed / 10)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        copies = F.ceil((n - a) / p).cast("int")
+        end = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), copies)), F.lit(1), n - a)
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), end), " ")
+
+    return F.when((hashed % 10 == 0) & (inner != ""), let(words, ended)).otherwise(F.col("text"))
+
+
+@register("op13_periodic_runs")
+def op13(spark, table):
+    found = periodic_runs(table("documents").select("doc_id", planted().alias("text")))
+    best = F.col("best")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("best", strongest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
