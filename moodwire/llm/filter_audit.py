@@ -25,6 +25,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import landed
+
 FILTERS = "ABCDE"
 SPACE = r"\x20\x09-\x0D"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -172,5 +174,8 @@ def audit(counts: DataFrame) -> DataFrame:
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
-    """The audit of the five filters over ``docs`` (doc_id, text, the part's column) and ``labels``."""
-    return audit(mask_counts(docs, labels, part))
+    """The audit of the five filters over ``docs`` (doc_id, text, the part's column) and ``labels``. Runs a job.
+
+    The counts, at most 32 rows a part, are landed: both what is summed over ranks and the totals read them.
+    """
+    return audit(landed(mask_counts(docs, labels, part), "masks"))
