@@ -36,10 +36,10 @@ _MEASURES = ("removed", "redundant", "good_lost", "toxic_lost")
 def failures(text: Column) -> dict[str, Column]:
     """Failure of the filters that one text decides: too short, too repetitive, too many capitals, odd marks."""
     inner = F.btrim(text, F.lit(_BLANKS))
-    words = F.when(inner != "", F.split(inner, f"[{SPACE}]+"))
-    n = F.coalesce(F.size(words), F.lit(0))
-    n = F.when(n < 0, 0).otherwise(n)
-    distinct = F.when(n > 0, F.size(F.array_distinct(words))).otherwise(0)
+    words = F.split(inner, f"[{SPACE}]+")  # of an empty text: one empty string
+    none = (inner == "").cast("int")
+    # Nothing here depends on a condition, so that the words are cut once for all filters.
+    n, distinct = F.size(words) - none, F.size(F.array_distinct(words)) - none
     capitals = F.char_length(F.regexp_replace(text, "[^A-Z]+", ""))
     return {
         "A": n < 200,
