@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, on all rows of the smallest tables."""
+"""Every query on the engine's own operators against its SQL, on all rows of the smallest tables."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_point
+from workload.registry import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
 
 # At the smallest scale these rightly have no rows: too few requests for a failed chunk.
 MAY_BE_EMPTY = {"l5_failure_lists", "j4_tenant_by_key"}

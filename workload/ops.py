@@ -1,4 +1,4 @@
-"""Queries on security rules, call statistics, metrics, readiness and the streaming jobs."""
+"""Queries on security rules, call statistics, metrics and readiness."""
 
 from __future__ import annotations
 
@@ -7,15 +7,9 @@ from pyspark.sql import functions as F
 from moodwire.functions import calls as C
 from moodwire.functions import text as X
 from moodwire.operators import health, metrics, security
-from moodwire.operators.scoring import keyword_scorer
 from moodwire.params import ANSWER_PROVIDERS, FEED_NAMES
-from moodwire.session import new_scratch_path
-from moodwire.streaming import jobs
 from workload import adapters as D
-from workload import reuse as U
-from workload import requests as Q
-from workload.registry import ORACLES, Tables, query
-from workload.results import noted_documents
+from workload.registry import Tables, query
 
 # ------------------------------------------------------------------------------ security
 
@@ -272,9 +266,10 @@ def request_totals(t: Tables):
     )
 
 
-def lookups(t: Tables):
+def lookups(t: Tables, *keep):
     """Symbol lookups by event type: what kind of answer each got."""
     return t.events.select(
+        *keep,
         F.when(F.col("event_type") == "click", "memory")
         .when(F.col("event_type") == "view", "shared")
         .otherwise("miss")
@@ -335,8 +330,9 @@ def provider_error_rates(t: Tables):
     )
 
 
-def line_transitions(t: Tables):
+def line_transitions(t: Tables, *keep):
     return t.lineitem.select(
+        *keep,
         F.when(F.col("l_returnflag") == "A", "tier_2_news").otherwise("tier_3_llm").alias(
             "from_tier"
         ),
@@ -506,92 +502,3 @@ def metrics_lines(t: Tables):
         D.request_log(t), calls_and_notices(t), line_transitions(t), lookups(t)
     )
     return metrics.metrics_lines(samples).select("line")
-
-
-# ------------------------------------------------------------------------------ streams
-
-
-class StreamTables(Tables):
-    """The same tables, read as streams."""
-
-    def __getattr__(self, name: str):
-        schema = self.spark.read.parquet(self.path(name)).schema
-        only = {"pathGlobFilter": f"{name}.parquet"}
-        stream = self.spark.readStream.schema(schema).options(**only).parquet(self.sf_dir)
-        zoneless = [c for c, kind in stream.dtypes if kind == "timestamp_ntz"]
-        return stream.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
-
-
-def streams(t: Tables) -> StreamTables:
-    return StreamTables(t.spark, t.sf_dir)
-
-
-def drained(t: Tables, frame, name: str):
-    """Run the stream over what the table holds now and read back what it wrote."""
-    out = new_scratch_path(t.spark, name)
-    jobs.run_available(frame, out, new_scratch_path(t.spark, f"{name}-state"))
-    return t.spark.read.schema(frame.schema).parquet(out)
-
-
-@query("st1_stream_admit", ORACLES["t2_tenant_limit"])
-def stream_admit(t: Tables):
-    admitted = jobs.stream_admit(D.timed_requests(streams(t)), F.col("tenant"), Q.TENANT_LIMIT)
-    return drained(t, admitted, "admit").select(
-        "request_id", F.col("key").alias("tenant"), "admitted"
-    )
-
-
-@query("st2_stream_reuse", ORACLES["c3_replay_hits"])
-def stream_reuse(t: Tables):
-    found = jobs.stream_reuse(D.reuse_log(streams(t)), F.col("cache_key"), U.TTL_S)
-    return drained(t, found, "reuse").select(
-        F.col("request_id").cast("bigint").alias("event_id"), "hit"
-    )
-
-
-@query(
-    "st3_stream_metrics",
-    f"""
-with {D.REQUEST_LOG},
-windows as (
-  select epoch_us(ts) // 3600000000 * 3600000000 as window_us, count(*) as requests,
-    sum(duration_ms)::bigint as duration_sum_ms, count(*) filter (where exhausted) as exhausted_requests
-  from request_log group by 1)
-select * from windows
-where window_us + 3600000000 <= (select max(epoch_us(ts)) - 60000000 from events)""",
-)
-def stream_metrics(t: Tables):
-    """Hourly windows that the watermark has closed."""
-    windows = jobs.stream_metrics(D.request_log(streams(t)), width="1 hour")
-    return drained(t, windows, "metrics").select(
-        F.unix_micros("window_start").alias("window_us"),
-        "requests",
-        "duration_sum_ms",
-        "exhausted_requests",
-    )
-
-
-@query(
-    "st4_stream_scoring",
-    """
-with noted as (select doc_id, case when doc_id % 7 = 0 then 'Bear note ' else '' end || text as text
-               from documents)
-select doc_id as key, case when contains(lower(text), 'bear') then 'bearish' else 'neutral' end
-  as label from noted""",
-)
-def stream_scoring(t: Tables):
-    out = new_scratch_path(t.spark, "scored")
-    query_run = jobs.stream_pipeline(
-        noted_documents(streams(t)),
-        lambda batch: keyword_scorer(batch).select("key", "label"),
-        out,
-        new_scratch_path(t.spark, "scored-state"),
-    ).start()
-    query_run.awaitTermination()
-    return t.spark.read.parquet(out).select("key", "label")
-
-
-@query("st5_stream_redact", ORACLES["v10_redaction"])
-def stream_redact(t: Tables):
-    masked = jobs.stream_redact(D.log_lines(streams(t)), D.SECRETS)
-    return drained(t, masked, "redact").select("o_orderkey", "line")
