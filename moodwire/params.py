@@ -42,6 +42,7 @@ class Params:
     call_budget: int = 6
     news_only: bool = False
     ttl_seconds: int = 300
+    share_run: bool = True
     tenant_per_minute: int = 100
     global_per_minute: int = 1000
     auth_mode: str = "none"

@@ -15,6 +15,7 @@ from moodwire.operators.reuse import newest_per_key, reuse, with_cache_key
 from moodwire.operators.scoring import Scorer, keyword_scorer
 from moodwire.operators.validation import request_symbols, with_details
 from moodwire.params import Params
+from moodwire.plans.sharing import Outcome, share_run
 from moodwire.plans.waterfall import waterfall
 from moodwire.session import cut_lineage
 from moodwire.sources.sinks import to_responses
@@ -88,7 +89,8 @@ def analyze(
 ) -> Analysis:
     """Validate, admit, reuse, find news, score, ask, assemble. Runs jobs for the cuts.
 
-    ``prior`` has cache_key, computed_at and a struct ``result`` with the result columns.
+    ``prior`` has cache_key, computed_at and a struct ``result`` with the result columns. With
+    ``params.share_run`` a result computed in this run serves later requests of it, as stored ones do.
     """
     outcomes = cut_lineage(admit(requests, params, keys))
     decided = requests.join(outcomes.select("request_id", "tenant", "outcome_code"), "request_id")
@@ -97,11 +99,22 @@ def analyze(
     asked = symbols.select(
         "request_id", "ts", "idx", "ticker", "name", "max_articles", "cache_key"
     )
-    looked_up = cut_lineage(reuse(asked, prior, params.ttl_seconds))
-    misses = looked_up.filter(~F.col("hit"))
-    # Bodies of requests that are rejected, limited or served from reuse are never parsed.
-    wanted = payloads.join(misses.select("request_id").distinct(), "request_id", "left_semi")
-    routed, local, answered, failed = resolve_misses(misses, wanted, answers, params, scorer)
+    found = cut_lineage(reuse(asked, prior, params.ttl_seconds))
+
+    def compute(misses: DataFrame) -> Outcome:
+        # Bodies of requests that are rejected, limited or served from reuse are never parsed.
+        wanted = payloads.join(misses.select("request_id").distinct(), "request_id", "left_semi")
+        return Outcome(*resolve_misses(misses, wanted, answers, params, scorer))
+
+    open_still = found.filter(~F.col("hit"))
+    if params.share_run:
+        shared, outcome = share_run(open_still.drop("hit", "reused"), params.ttl_seconds, compute)
+        result = F.struct(*[F.col("reused")[f.name].cast(f.dataType).alias(f.name) for f in found.schema["reused"].dataType])
+        shared = shared.withColumn("reused", F.when(F.col("hit"), result))
+        looked_up = found.filter("hit").unionByName(shared)
+    else:
+        looked_up, outcome = found, compute(open_still)
+    routed, local, answered, failed = outcome.parts()
 
     merged = R.merge_results(
         reused_results(looked_up), local, answered, R.unavailable_results(routed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -195,3 +196,59 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert drain() == {
         "1": True, "2": False, "3": True, "4": False, "5": True, "7": False, "8": True,
     }
+
+
+def test_requests_of_a_run_share_results(spark):
+    run = analyze(
+        requests(spark, ("r1", ["AAPL"]), ("r2", ["aapl"])),
+        feed1(spark, r1=[("AAPL", "bear")], r2=[("aapl", "other"), ("aapl", "news")]),
+        no_answers(spark), no_prior(spark), Params(news_only=True),
+    )
+    got = {r["request_id"]: (r["symbol"], r["label"], r["article_count"]) for r in run.sentiment.collect()}
+    assert got == {"r1": ("AAPL", "bearish", 1), "r2": ("AAPL", "bearish", 1)}
+    assert {r["request_id"]: r["layer"] for r in run.lookups.collect()} == {"r1": "miss", "r2": "memory"}
+
+
+def one_after_another(rows, news, ttl):
+    """Plain service loop: reuse what is live, score what has news, stop at the first symbol without."""
+    store, sent, layers = {}, {}, {}
+    for i, (rid, tickers) in enumerate(rows):
+        live = {t for t in tickers if t in store and i - ttl < store[t][0] <= i}
+        layers |= {(rid, k): "memory" if t in live else "miss" for k, t in enumerate(tickers)}
+        results = {t: store[t][1] for t in live}
+        for t in tickers:
+            if t in live:
+                continue
+            if t not in news[rid]:
+                results = None  # nothing left to ask: the whole request is withheld
+                break
+            store[t] = (i, f"{rid}:{t}")
+            results[t] = store[t][1]
+        if results is not None:
+            sent |= {(rid, k): results[t] for k, t in enumerate(tickers)}
+    return sent, layers
+
+
+def test_sharing_equals_one_request_after_another(spark):
+    """Symbols without news end their request, store nothing, and leave the next request to compute."""
+    rng = random.Random(11)
+    rows, news = [], {}
+    for k in range(60):
+        tickers = rng.sample("ABCDE", rng.randint(1, 4))
+        rows.append((f"r{k:02d}", tickers))
+        news[f"r{k:02d}"] = {t for t in tickers if rng.random() < (0.5 if t in "AB" else 0.9)}
+    payload_rows = [
+        (rid, 1, None, 200, json.dumps([{"title": f"{rid} {t}", "tickers": [t]} for t in sorted(found)]))
+        for rid, found in news.items()
+    ]
+    payloads = spark.createDataFrame(
+        payload_rows, "request_id string, feed int, ticker string, http_status int, body string"
+    )
+    title = lambda df: df.withColumn("label", F.concat_ws(":", F.split("text", " ")[0], F.split("text", " ")[1]))
+    scorer = lambda df: title(df).withColumns({"sentiment_score": F.lit(0.5), "confidence": F.lit(0.5)})
+    params = Params(ttl_seconds=8, tenant_per_minute=600, feed2=False, feed3=False, feed4=False)
+    run = analyze(requests(spark, *rows), payloads, no_answers(spark), no_prior(spark), params, scorer=scorer)
+    sent, layers = one_after_another(rows, news, 8)
+    assert {(r["request_id"], r["idx"]): r["layer"] for r in run.lookups.collect()} == layers
+    assert {(r["request_id"], r["idx"]): r["label"] for r in run.sentiment.collect()} == sent
+    assert "memory" in layers.values() and len({rid for rid, _ in sent}) < len(rows)

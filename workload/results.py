@@ -634,6 +634,7 @@ ANALYZE_PARAMS = Params(
     answer_keys=frozenset(ANSWER_PROVIDERS),
     auth_mode="jwt",
     ttl_seconds=REUSE_DAYS * 86400,
+    share_run=False,  # the SQL knows stored results only
 )
 
 
@@ -760,3 +761,70 @@ def stored_after_analysis(t: Tables):
         F.unix_micros("computed_at").alias("computed_us"),
         F.col("result.source_tier").alias("source_tier"),
     )
+
+
+# ------------------------------------------------------------------------------ reuse inside a run
+
+RUN_TTL_S = 6 * 3600
+
+
+def user_requests(t: Tables):
+    """Every event asks for its user; an error event has no news to go with it."""
+    symbol = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("ticker"), F.lit("user").alias("name"))
+    return t.events.select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("request_id"),
+        "ts",
+        F.lit(None).cast("string").alias("api_key"),
+        F.lit(None).cast("struct<tid:string,sub:string>").alias("claims"),
+        F.array(symbol).alias("symbols"),
+        F.lit(24).alias("lookback_hours"),
+        F.lit(5).alias("max_articles"),
+        "event_type",
+    )
+
+
+def user_news(requests):
+    title = F.when(F.col("event_type") == "click", F.lit("bear note")).otherwise(F.lit("note"))
+    titles = F.array_repeat(
+        F.struct(title.alias("title"), F.transform("symbols", lambda s: s["ticker"]).alias("tickers")),
+        F.length("event_type"),
+    )
+    return requests.where("event_type <> 'error'").select(
+        "request_id",
+        F.lit(1).alias("feed"),
+        F.lit(None).cast("string").alias("ticker"),
+        F.lit(200).alias("http_status"),
+        F.to_json(titles).alias("body"),
+    )
+
+
+@query(
+    "c1_run_reuse",
+    f"""
+with recursive seq as materialized (
+  select event_id, 'u' || user_id as k, epoch_us(ts) as t, event_type,
+    row_number() over (partition by user_id order by ts, event_id) as rn from events),
+fold as (
+  select event_id, k, rn, false as hit, event_type as kind, event_type as shown,
+    case when event_type <> 'error' then t + {RUN_TTL_S} * 1000000 else 0 end as e from seq where rn = 1
+  union all
+  select s.event_id, s.k, s.rn, s.t < f.e,
+    case when s.t < f.e or s.event_type = 'error' then f.kind else s.event_type end,
+    case when s.t < f.e then f.kind else s.event_type end,
+    case when s.t < f.e or s.event_type = 'error' then f.e else s.t + {RUN_TTL_S} * 1000000 end
+  from fold f join seq s on s.k = f.k and s.rn = f.rn + 1)
+select event_id, k as symbol, case when hit then 'memory' else 'miss' end as layer,
+  case shown when 'error' then 'unavailable' when 'click' then 'bearish' else 'neutral' end as label,
+  case shown when 'error' then 0 else length(shown) end::int as article_count from fold""",
+)
+def run_reuse(t: Tables):
+    """One computation per key and TTL in a run without stored results; what has no news serves nobody."""
+    requests = cut_lineage(user_requests(t))
+    params = Params(news_only=True, ttl_seconds=RUN_TTL_S, tenant_per_minute=10**6, global_per_minute=10**6)
+    nothing = prior_results(t).limit(0)
+    run = P.analyze(
+        requests.drop("event_type"), user_news(requests), D.answer_bodies(requests).limit(0), nothing, params
+    )
+    return run.sentiment.join(run.lookups, ["request_id", "idx"]).select(
+        F.col("request_id").cast("bigint").alias("event_id"), "symbol", "layer", "label", "article_count"
+    )
