@@ -314,8 +314,9 @@ def miss_instants(ticks: DataFrame, ttl_us: int) -> DataFrame:
     return _misses(blocked, starts, ttl_us)
 
 
-def _replay(log: DataFrame, key: Column, ttl_us: int) -> DataFrame:
-    keyed = log.withColumn("_key", key.cast("string")).withColumn("_t", F.unix_micros("ts"))
+def replay(log: DataFrame, key: Column, ttl_us: int) -> DataFrame:
+    """Adds ``hit`` to a log of ts and request_id: false where a window of one TTL opens. Runs jobs."""
+    keyed = log.withColumns({"_key": key.cast("string"), "_t": F.unix_micros("ts")})
     ticks = keyed.select(F.col("_key").alias("key"), F.col("_t").alias("t")).distinct()
     misses = miss_instants(ticks, ttl_us).select(
         F.col("key").alias("_key"), F.col("t").alias("_t"), F.lit(True).alias("_miss")
@@ -330,7 +331,7 @@ def _replay(log: DataFrame, key: Column, ttl_us: int) -> DataFrame:
 
 def replay_reuse(log: DataFrame, ttl_s: int) -> DataFrame:
     """Adds ``hit`` to a log of (cache_key, ts, request_id). Runs jobs."""
-    return _replay(log, F.col("cache_key"), ttl_s * 1_000_000)
+    return replay(log, F.col("cache_key"), ttl_s * 1_000_000)
 
 
 def replay_layers(log: DataFrame, ttl_s: int) -> DataFrame:
@@ -341,9 +342,9 @@ def replay_layers(log: DataFrame, ttl_s: int) -> DataFrame:
     of the key over them.
     """
     ttl_us = ttl_s * 1_000_000
-    by_node = cut_lineage(_replay(log, F.to_json(F.struct("node", "cache_key")), ttl_us))
+    by_node = cut_lineage(replay(log, F.to_json(F.struct("node", "cache_key")), ttl_us))
     from_memory = by_node.filter("hit").drop("hit").withColumn("layer", F.lit("memory"))
-    passed_on = _replay(by_node.filter(~F.col("hit")).drop("hit"), F.col("cache_key"), ttl_us)
+    passed_on = replay(by_node.filter(~F.col("hit")).drop("hit"), F.col("cache_key"), ttl_us)
     below = passed_on.withColumn(
         "layer", F.when(F.col("hit"), F.lit("shared")).otherwise(F.lit("miss"))
     ).drop("hit")

@@ -43,6 +43,29 @@ def test_chunk_description_equals_loop_for_every_start(seed):
         assert bucket.apply(triples, start) == take_all(bucket, ticks, start)[1]
 
 
+@pytest.mark.parametrize("seed", range(200))
+def test_composed_chunks_equal_one_chunk_after_another(seed):
+    rng = random.Random(seed)
+    bucket = admission.Bucket(rng.choice([1, 2, 3, 5]))
+    bucket.token = rng.choice([3, 5, 10])
+    bucket.slack = (bucket.size - 1) * bucket.token
+    width, together, chunks = rng.choice([5, 20, 60]), [], []
+    for place in range(rng.randint(1, 12)):
+        ticks = Counter(rng.randrange(width) for _ in range(rng.choice([0, 1, 3, 20])))
+        if not ticks:
+            continue
+        chunks.append((place, sorted(ticks.items())))
+        at = place * width
+        moved = [(a, low + at, high + at) for a, low, high in bucket.describe(chunks[-1][1])]
+        together = bucket.composed(together, [(0, at, admission._OPEN), *moved])
+        together = [admission._small(bucket, *t) for t in together]
+    for start in range(bucket.size * bucket.token + 1):
+        x = start
+        for place, ticks in chunks:
+            x = take_all(bucket, [(place * width + t, n) for t, n in ticks], x)[1]
+        assert bucket.apply(together, start) == x
+
+
 def history(seed, keys, rows, span_s):
     rng = random.Random(seed)
     return [
@@ -56,7 +79,30 @@ def as_events(spark, rows, key):
     return df.select("request_id", key, F.timestamp_micros("us").alias("ts"))
 
 
-@pytest.mark.parametrize("per_minute, hot", [(7, 0.2), (60, 0.9)])
+def test_one_busy_key_is_cut_into_small_chunks(spark, monkeypatch):
+    """A key with a dense minute: chunks of some rows each, composed over several levels, in any mix of outcomes."""
+    monkeypatch.setattr(admission, "FAN_OUT", 4)
+    rows = history(5, ["one"], 1500, 90) + history(6, ["one"], 60, 86_400)
+    rows = [(f"{i:06d}", k, us) for i, (_, k, us) in enumerate(rows)]
+    events = as_events(spark, rows, "k").withColumn("odd", F.col("request_id").cast("int") % 5 == 1)
+    widths = []
+    real = admission._chunk_descriptions
+    monkeypatch.setattr(admission, "_chunk_descriptions", lambda t, b, w: widths.append((w, t)) or real(t, b, w))
+    found = admission.token_bucket(events, F.col("k"), 60, ~F.col("odd"), chunk_rows=50).collect()
+    width, ticks = widths[0]
+    assert width <= 60 * SECOND // 10
+    assert ticks.groupBy("chunk").count().agg(F.max("count")).first()[0] < 150
+    bucket, x, want = admission.Bucket(60), 0, {}
+    for rid, _, us in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[rid] = False
+        if int(rid) % 5 != 1:
+            n, x = bucket.take(x, us * bucket.scale, 1)
+            want[rid] = n == 1
+    assert {r["request_id"]: r["admitted"] for r in found} == want
+    assert found[0].asDict().keys() == {"request_id", "k", "ts", "odd", "admitted"}
+
+
+@pytest.mark.parametrize("per_minute, hot", [(7, 0.2), (60, 0.9), (1, 0.5), (2, 0.5)])
 def test_token_bucket_equals_loop(spark, per_minute, hot):
     keys = ["hot"] * int(hot * 10) + ["a", "b"]
     rows = history(per_minute, keys, 3000, 900)

@@ -806,12 +806,12 @@ with recursive seq as materialized (
     row_number() over (partition by user_id order by ts, event_id) as rn from events),
 fold as (
   select event_id, k, rn, false as hit, event_type as kind, event_type as shown,
-    case when event_type <> 'error' then t + {RUN_TTL_S} * 1000000 else 0 end as e from seq where rn = 1
+    case when event_type <> 'error' then t + {RUN_TTL_S * 1_000_000} else 0 end as e from seq where rn = 1
   union all
   select s.event_id, s.k, s.rn, s.t < f.e,
     case when s.t < f.e or s.event_type = 'error' then f.kind else s.event_type end,
     case when s.t < f.e then f.kind else s.event_type end,
-    case when s.t < f.e or s.event_type = 'error' then f.e else s.t + {RUN_TTL_S} * 1000000 end
+    case when s.t < f.e or s.event_type = 'error' then f.e else s.t + {RUN_TTL_S * 1_000_000} end
   from fold f join seq s on s.k = f.k and s.rn = f.rn + 1)
 select event_id, k as symbol, case when hit then 'memory' else 'miss' end as layer,
   case shown when 'error' then 'unavailable' when 'click' then 'bearish' else 'neutral' end as label,
