@@ -7,7 +7,8 @@ that is itself in the vocabulary is that id, any other is encoded by the model.
 strings of the ids. Texts are independent of each other: no shuffle, and what a worker remembers
 of encoded pre-tokens is bounded by ``REMEMBERED``.
 
-Defined cases: a null or empty text has no ids, and no ids decode to empty bytes. A null list of ids,
+Defined cases: a null or empty text has no ids, and no ids decode to empty bytes. Bytes that are not UTF-8
+are read as U+FFFD, so the decoded bytes are those of the text so read. A null list of ids,
 or one that holds a null or an id outside the vocabulary, decodes to null. Repeated rows
 are coded one by one, ties of merges go to the leftmost. Other columns stay; one named like the result
 is replaced.
@@ -170,7 +171,8 @@ class ByteBPE:
         def run(batches):
             coder = _coder(sent)
             for batch in batches:
-                coded = coder.encode(batch.column("value").to_pylist())
+                texts = [(v.as_py() or b"").decode("utf-8", "replace") for v in batch.column("value")]
+                coded = coder.encode(texts)
                 ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(
                     pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32))
@@ -182,7 +184,7 @@ class ByteBPE:
                 yield pa.RecordBatch.from_arrays(columns, names=["row", into, back][: len(columns)])
             coder.known.clear()  # the worker lives on, with other work to do
 
-        value = F.col(f"`{text}`").cast("string")
+        value = F.col(f"`{text}`").cast("binary")
         made = [(into, T.ArrayType(T.IntegerType()))] + ([(back, T.BinaryType())] if back else [])
         return _mapped(df, value, made, run)
 

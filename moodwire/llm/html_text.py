@@ -11,9 +11,10 @@ A head ends at its end tag or at the first tag or text that may not stand in it.
 ``/>`` ends an element and a tag of HTML ends the drawing or formula. Shown are all text of formulas save
 annotations and phantoms, and of drawings ``text`` and ``foreignObject``, not what is only defined there
 (``defs``, ``symbol``; a ``use`` of it is not followed) and of a ``switch`` the first child without conditions.
-Pages are independent of each other: no shuffle, and a page's tree is as large as the page.
+Pages are independent of each other: no shuffle, a page's tree is as large as the page, and the time it takes
+is linear in it: tags find what they end by depth, and indentation stops at ``DEEPEST`` characters.
 
-Defined cases: a null or empty page has the empty text. Unclosed comments, tags, quotes and raw elements
+Defined cases: a null or empty page has the empty text. Bytes that are not UTF-8 are read as U+FFFD. Unclosed comments, tags, quotes and raw elements
 run to the end of the page or, if that is no tag at all, are text. Repeated rows are each rendered.
 Other columns are kept; one named like the result is replaced. An empty table gives no rows.
 """
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ from pyspark.sql import types as T
 
 #: Characters of a cell from which on it no longer widens its column.
 WIDE = 40
+#: Characters of indentation from which on deeper lists are not moved further to the right.
+DEEPEST = 40
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -82,6 +86,7 @@ FOREIGN_UNSEEN = {
 SPACED = {"mfrac", "mroot", "mtable", "mtr"}
 #: No end tag or implied end reaches beyond these, save their own.
 WALLS = {"td", "th", "caption", "table", "template", "html"}
+OVER_WALLS = {"table", "tr", "tbody", "thead", "tfoot", "html", "body"}
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -120,32 +125,46 @@ class Builder:
     def __init__(self):
         self.root = Node("#page", {})
         self.open = [self.root]
-        self.count: Counter[str] = Counter()
+        # Depths of the open elements by tag, of drawings and formulas, and of what ends the search for a start tag,
+        # so that a tag finds what it ends without walking through all that is open.
+        self.depths: dict[str, list[int]] = defaultdict(list)
+        self.foreign, self.points, self.walls = [], [], []
+
+    def _enter(self, node: Node) -> None:
+        for depths in self._kinds(node):
+            depths.append(len(self.open))
+        self.open.append(node)
+
+    def _kinds(self, node: Node) -> list[list[int]]:
+        found = [self.depths[node.tag]]
+        if node.space:
+            found.append(self.foreign)
+            if node.holds_html():
+                found.append(self.points)
+        elif node.tag in WALLS:
+            found.append(self.walls)
+        return found
 
     def _pop(self, depth: int) -> None:
-        for node in self.open[depth:]:
-            self.count[node.tag] -= 1
-        del self.open[depth:]
+        while len(self.open) > depth:
+            for depths in self._kinds(self.open.pop()):
+                depths.pop()
 
     def _depth(self, tags: set[str], stop: set[str]) -> int:
         """Depth of the outermost open element of ``tags`` within ``stop``; 0 if there is none."""
-        found = 0
-        if any(self.count[t] for t in tags):
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k].space:
-                    break
-                if self.open[k].tag in tags:
-                    found = k
-                elif self.open[k].tag in stop:
-                    break
-        return found
+        deepest = lambda depths: depths[-1] if depths else 0
+        own = [d for t in tags if (d := self.depths.get(t))]
+        if not own:
+            return 0
+        bound = max([deepest(self.foreign), *[deepest(self.depths.get(t)) for t in stop - tags]])
+        within = [d[k] for d in own if (k := bisect_right(d, bound)) < len(d)]
+        return min(within, default=0)
 
     def _push(self, tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
-            self.count[tag] += 1
+            self._enter(node)
         return node
 
     def _foreign(self, tag: str, attrs: dict[str, str], space: str, closed: bool) -> None:
@@ -159,8 +178,7 @@ class Builder:
         node = Node(tag, attrs, space, shows)
         up.children.append(node)
         if not closed:
-            self.open.append(node)
-            self.count[tag] += 1
+            self._enter(node)
 
     def _break_out(self) -> None:
         """End open drawings and formulas up to an element that holds HTML."""
@@ -187,7 +205,7 @@ class Builder:
         if tag in ("svg", "math"):
             self._foreign(tag, attrs, tag, closed)
             return False
-        if tag == "html" and (self.count["html"] or self._in_head()):
+        if tag == "html" and (self.depths["html"] or self._in_head()):
             whole = next((n for n in self.open if n.tag == "html"), self.root)
             whole.attrs = attrs | whole.attrs
             return False
@@ -216,18 +234,16 @@ class Builder:
                 self._pop(len(self.open) - 1)
             elif tag != "head":
                 return None
-        if tag == "br" or tag == "p" and not self.count["p"]:
+        if tag == "br" or tag == "p" and not self.depths["p"]:
             self._push(tag, {})
             self.open[-1].tag == "p" and self._pop(len(self.open) - 1)
-        elif self.count[tag]:
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.open[k].tag == tag:
-                    return self._pop(k)
-                if self.open[k].space:
-                    if self.open[k].holds_html():
-                        return None
-                elif self.open[k].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                    return None
+        elif self.depths[tag]:
+            depth = self.depths[tag][-1]
+            if self.points and self.points[-1] > depth:
+                return None
+            if self.walls and self.walls[-1] > depth and tag not in OVER_WALLS:
+                return None
+            self._pop(depth)
         return None
 
     def feed(self, page: str) -> Node:
@@ -350,7 +366,7 @@ def rendered(page: str | None) -> str:
                 flow.indent, flow.marker = lists.pop()[1:]
             else:
                 lists.append([_number(node) if tag == "ol" else None, flow.indent, flow.marker])
-                flow.indent, flow.marker = flow.indent + " " * len(flow.marker), ""
+                flow.indent, flow.marker = (flow.indent + " " * len(flow.marker))[:DEEPEST], ""
         elif tag == "li":
             flow.block(gap)
             if not leaving:
@@ -436,11 +452,12 @@ def extract(pages: DataFrame, html_column: str = "html", into: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            texts = [rendered(p) for p in batch.column("page").to_pylist()]
+            pages = ((p.as_py() or b"").decode("utf-8", "replace") for p in batch.column("page"))
+            texts = [rendered(p) for p in pages]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(texts, pa.string())], names=["row", into]
             )
 
     out = T.StructType([T.StructField("row", T.StructType(kept)), T.StructField(into, T.StringType())])
-    page = F.col(f"`{html_column}`").cast("string").alias("page")
+    page = F.col(f"`{html_column}`").cast("binary").alias("page")
     return pages.select(row.alias("row"), page).mapInArrow(run, out).select("row.*", into)
