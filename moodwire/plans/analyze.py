@@ -19,6 +19,7 @@ from moodwire.plans.sharing import Outcome, share_run
 from moodwire.plans.waterfall import waterfall
 from moodwire.session import cut_lineage
 from moodwire.sources.sinks import to_responses
+from moodwire.sources.store import recent
 
 
 @dataclass
@@ -99,7 +100,8 @@ def analyze(
     asked = symbols.select(
         "request_id", "ts", "idx", "ticker", "name", "max_articles", "cache_key"
     )
-    found = cut_lineage(reuse(asked, prior, params.ttl_seconds))
+    useful = recent(prior, outcomes.filter(F.col("outcome_code").isNull()), params.ttl_seconds)
+    found = cut_lineage(reuse(asked, useful, params.ttl_seconds))
 
     def compute(misses: DataFrame) -> Outcome:
         # Bodies of requests that are rejected, limited or served from reuse are never parsed.

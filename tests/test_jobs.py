@@ -11,7 +11,7 @@ from moodwire import schemas
 from moodwire.operators import metrics, reuse, scoring
 from moodwire.params import Params
 from moodwire.plans.analyze import analyze
-from moodwire.sources import payloads, sinks
+from moodwire.sources import payloads, sinks, store
 from moodwire.streaming import jobs
 from workload.results import letter_model
 
@@ -252,3 +252,32 @@ def test_sharing_equals_one_request_after_another(spark):
     assert {(r["request_id"], r["idx"]): r["layer"] for r in run.lookups.collect()} == layers
     assert {(r["request_id"], r["idx"]): r["label"] for r in run.sentiment.collect()} == sent
     assert "memory" in layers.values() and len({rid for rid, _ in sent}) < len(rows)
+
+
+def test_store_is_compacted_and_pruned(spark, tmp_path):
+    path, kind, day = str(tmp_path / "store"), "struct<n:int>", 86_400
+
+    def add(*rows):
+        frame = spark.createDataFrame(rows, "cache_key string, s double, n int")
+        store.append_newest(
+            frame.select("cache_key", F.timestamp_seconds("s").alias("computed_at"), F.struct("n").alias("result")), path
+        )
+
+    def held(since=None):
+        return sorted((r.cache_key, r.result.n) for r in store.read(spark, path, kind, since).collect())
+
+    add(("A", 10.0, 1), ("B", 20.0, 2), ("C", day + 5.0, 3))
+    add(("A", day + 10.0, 4), ("D", 3.0 * day, 5))
+    assert len(held()) == 5
+    store.compact(spark, path, kind, int((3 * day + 1) * 1e6), 3 * day)
+    assert held() == [("A", 4), ("B", 2), ("C", 3), ("D", 5)]
+    store.compact(spark, path, kind, int((3 * day + 1) * 1e6), 2 * day)
+    store.compact(spark, path, kind, int((3 * day + 1) * 1e6), 2 * day)
+    assert held() == [("A", 4), ("C", 3), ("D", 5)]
+    assert held(int((day + 5) * 1e6)) == [("A", 4), ("D", 5)]
+    plan = store.read(spark, path, kind, int(2 * day * 1e6))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    asked = spark.createDataFrame([(3.0 * day,)], "s double").select(F.timestamp_seconds("s").alias("ts"))
+    prior = spark.read.parquet(path)
+    assert sorted(r.result.n for r in store.recent(prior, asked, day + 10).where("cache_key is not null").collect()) == [5]
+    assert store.recent(prior, asked.limit(0), 9).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moodwire.operators import reuse as U
+from moodwire.session import new_scratch_path
+from moodwire.sources import store
 from workload import adapters as D
 from workload.registry import Tables, query
 
@@ -64,12 +66,20 @@ select cache_key, max(computed_us) as computed_us,
 from results where tier <> 'unavailable' group by cache_key""",
 )
 def newest_per_key(t: Tables):
+    return U.newest_per_key(tiered_results(t)).select(
+        "cache_key",
+        F.unix_micros("computed_at").alias("computed_us"),
+        F.col("result.event_id").alias("event_id"),
+    )
+
+
+def tiered_results(t: Tables):
     tier = (
         F.when(F.col("event_type") == "click", "tier_1_local_onnx")
         .when(F.col("event_type") == "view", "tier_3_llm")
         .otherwise("unavailable")
     )
-    results = t.events.select(
+    return t.events.select(
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("cache_key"),
         F.col("ts").alias("computed_at"),
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("request_id"),
@@ -77,10 +87,33 @@ def newest_per_key(t: Tables):
         tier.alias("source_tier"),
         "event_id",
     )
-    return U.newest_per_key(results).select(
+
+
+@query(
+    "c2_store_compacted",
+    f"""
+with results as (
+  select 'U' || user_id as cache_key, event_id, epoch_us(ts) as t,
+    case event_type when 'click' then 'tier_1_local_onnx' when 'view' then 'tier_3_llm' end as tier from events),
+ends as (select max(t) as last from results)
+select cache_key, max(t) as computed_us, arg_max(event_id, row(t, event_id)) as event_id, count(*) over () as stored
+from results, ends where tier is not null and t > last - 20 * {TTL_US} group by cache_key""",
+)
+def store_compacted(t: Tables):
+    """Two runs store their results, the store is compacted twice, and only living days are read back."""
+    results = tiered_results(t)
+    first, last = results.agg(F.min(F.unix_micros("computed_at")), F.max(F.unix_micros("computed_at"))).first()
+    half = F.unix_micros("computed_at") < (first + last) // 2
+    path, kind = new_scratch_path(t.spark, "store"), "struct<request_id:string,idx:int,source_tier:string,event_id:bigint>"
+    for part in (results.where(half), results.where(~half)):
+        store.append(part, path)
+        store.compact(t.spark, path, kind, last, 20 * TTL_S)
+    found = store.read(t.spark, path, kind, last - 20 * TTL_US)
+    return found.select(
         "cache_key",
         F.unix_micros("computed_at").alias("computed_us"),
         F.col("result.event_id").alias("event_id"),
+        F.lit(store.read(t.spark, path, kind).count()).cast("bigint").alias("stored"),
     )
 
 
