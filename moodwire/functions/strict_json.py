@@ -2,12 +2,14 @@
 
 Leaves are decoded as variants, so that a number never silently becomes a string, and the body is
 parsed inside brackets, so that trailing text after the first value makes it bad as well. Single
-quotes, bare NaN and repeated keys are bad too: a variant refuses them anywhere in the body, also in
-fields that nothing reads. For feed 3 that means a body with a repeated key counts as unreadable.
+quotes and bare NaN are bad too. A repeated key is bad only where it is read: a variant refuses it anywhere, so a body
+that fails as a variant but is well formed goes by its keys, level by level, which a map keeps as they come.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,11 +19,46 @@ from moodwire.functions.binding import let
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def parse_typed(body: Column, ddl: str) -> Column:
-    """The one value in ``body`` as ``ddl``, else null."""
-    whole = F.concat(F.lit("["), body, F.lit("]"))
+def parse_typed(body: Column, ddl: str, repeats: Callable[[Column], Column]) -> Column:
+    """The one value in ``body`` as ``ddl``, else null; ``repeats(body)`` says whether a key that is read comes twice.
+
+    It is asked only for a body that some repeated key keeps from being a variant.
+    """
+    whole = in_brackets(body)
     typed = F.from_json(whole, f"array<{ddl}>", _STRICT)
-    return F.when(F.try_parse_json(whole).isNotNull(), _only(typed))
+    plain = F.try_parse_json(whole).isNotNull()
+    return F.when(plain | (well_formed(body) & ~repeats(body)), _only(typed))
+
+
+def in_brackets(body: Column) -> Column:
+    return F.concat(F.lit("["), body, F.lit("]"))
+
+
+def well_formed(body: Column) -> Column:
+    """Whether ``body`` is JSON, keys repeated or not."""
+    return F.from_json(in_brackets(body), "array<string>", _STRICT).isNotNull()
+
+
+def objects(text: Column) -> Column:
+    """Objects of the JSON array ``text`` as maps that keep repeated keys; null when it is no such array."""
+    return F.from_json(text, "array<map<string,string>>", _STRICT)
+
+
+def twice(keys: Column, names: list[str]) -> Column:
+    """Whether one of ``names`` is a repeated key of a map of ``objects``."""
+    return F.exists(
+        F.array(*[F.lit(n) for n in names]),
+        lambda name: F.size(F.filter(F.map_keys(keys), lambda k: k == name)) > 1,
+    )
+
+
+def any_of(items: Column, test: Callable[[Column], Column]) -> Column:
+    return F.coalesce(F.exists(items, test), F.lit(False))
+
+
+def read_as(text: Column, ddl: str) -> Column:
+    """``text`` as ``ddl``, the last of repeated keys counting; parts of another shape are null."""
+    return F.from_json(text, ddl, _STRICT)
 
 
 def parse_variant(body: Column) -> Column:

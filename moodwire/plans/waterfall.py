@@ -42,11 +42,11 @@ def _mention_pairs() -> Column:
 def mentions(payloads: DataFrame) -> DataFrame:
     """(request_id, feed_rank, pos, ticker, title) of all usable payloads, in one scan."""
     usable = successful(payloads).select("request_id", "feed", "ticker", "body")
-    root = F.when(F.col("feed") == 3, J.parse_variant(F.col("body")))
+    root = F.when(F.col("feed") == 3, feeds.feed3_root(F.col("body")))
     read = usable.withColumn("root", root)
     read = read.withColumn(
         "typed",
-        F.when(F.col("feed") == 3, F.coalesce(feeds.feed3_typed(F.col("root")), F.lit(False))),
+        F.when(F.col("feed") == 3, feeds.feed3_declared(F.col("body"), F.col("root"))),
     )
     read = read.withColumn(
         "notice",

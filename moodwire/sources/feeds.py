@@ -2,7 +2,8 @@
 
 Each decoder turns payload rows into mentions ``(request_id, pos, ticker, title)`` in feed order.
 Feeds 1, 2 and 4 reject a payload as a whole when any item has the wrong shape; feed 3 has a
-tolerant path that skips bad items. Matching mentions to the requested symbols is the job of
+tolerant path that skips bad items. A key that is read and comes twice makes the typed decode fail; elsewhere
+repeated keys do no harm, and on the tolerant path the last one counts. Matching mentions to the requested symbols is the job of
 ``operators.attribution``.
 """
 
@@ -55,7 +56,12 @@ def feed1_items(body: Column) -> Column:
             F.forall(item["tickers"], J.is_string), F.lit(False)
         )
 
-    return _whole(J.parse_typed(body, FEED1), good)
+    return _whole(J.parse_typed(body, FEED1, _in_items(["title", "tickers"])), good)
+
+
+def _in_items(names: list[str]):
+    """Whether an item of a body that is a list has one of ``names`` twice."""
+    return lambda body: J.any_of(J.objects(body), lambda item: J.twice(item, names))
 
 
 def _whole(items: Column, good) -> Column:
@@ -76,7 +82,18 @@ def feed2_items(body: Column) -> Column:
             F.forall(item["entities"], lambda e: J.is_string(e["symbol"])), F.lit(False)
         )
 
-    return _whole(J.parse_typed(body, FEED2)["data"], good)
+    def repeats(text: Column) -> Column:
+        return J.any_of(
+            J.objects(J.in_brackets(text)),
+            lambda root: J.twice(root, ["data"])
+            | J.any_of(
+                J.objects(root["data"]),
+                lambda item: J.twice(item, ["title", "entities"])
+                | J.any_of(J.objects(item["entities"]), lambda e: J.twice(e, ["symbol"])),
+            ),
+        )
+
+    return _whole(J.parse_typed(body, FEED2, repeats)["data"], good)
 
 
 def decode_feed2(payloads: DataFrame) -> DataFrame:
@@ -86,6 +103,50 @@ def decode_feed2(payloads: DataFrame) -> DataFrame:
     )
 
 
+def feed3_root(body: Column) -> Column:
+    """A feed 3 body as a variant, else null; of repeated keys the last one counts.
+
+    A body that is no variant because of repeated keys is written anew from the fields that are read.
+    """
+    notices = ",".join(f"`{k}`:variant" for k in NOTICE_KEYS)
+    read = J.read_as(J.in_brackets(body), f"array<struct<feed:array<string>,{notices}>>")
+
+    def item(text: Column) -> Column:
+        return let(
+            J.read_as(text, "struct<title:variant,ticker_sentiment:array<string>>"),
+            lambda i: F.struct(
+                i["title"].alias("title"),
+                F.transform(i["ticker_sentiment"], lambda n: J.read_as(n, "struct<ticker:variant>")).alias(
+                    "ticker_sentiment"
+                ),
+            ),
+        )
+
+    def anew(root: Column) -> Column:
+        notes = [root[k].alias(k) for k in NOTICE_KEYS]
+        return F.to_json(F.struct(F.transform(root["feed"], item).alias("feed"), *notes))
+
+    rebuilt = let(F.get(read, F.lit(0)), lambda root: F.when(root.isNotNull(), anew(root)))
+    return F.coalesce(
+        J.parse_variant(body), F.when(J.well_formed(body), J.parse_variant(rebuilt))
+    )
+
+
+def feed3_declared(body: Column, root: Column) -> Column:
+    """Whether a body, parsed as ``root``, has the declared shape and no key of it twice."""
+    repeats = J.any_of(
+        J.objects(J.in_brackets(body)),
+        lambda r: J.twice(r, ["feed", *NOTICE_KEYS])
+        | J.any_of(
+            J.objects(r["feed"]),
+            lambda item: J.twice(item, ["title", "ticker_sentiment"])
+            | J.any_of(J.objects(item["ticker_sentiment"]), lambda n: J.twice(n, ["ticker"])),
+        ),
+    )
+    once = J.parse_variant(body).isNotNull() | ~repeats
+    return F.coalesce(feed3_typed(root) & once, F.lit(False))
+
+
 def feed3_typed(root: Column) -> Column:
     """Whether a parsed feed 3 body has the declared shape throughout."""
 
@@ -126,8 +187,8 @@ def payload_notice(root: Column, typed: Column) -> Column:
 
 def read_feed3(payloads: DataFrame) -> DataFrame:
     """Payloads with ``root`` (parsed body or null), ``typed`` and ``notice``."""
-    parsed = payloads.withColumn("root", J.parse_variant(F.col("body")))
-    typed = parsed.withColumn("typed", F.coalesce(feed3_typed(F.col("root")), F.lit(False)))
+    parsed = payloads.withColumn("root", feed3_root(F.col("body")))
+    typed = parsed.withColumn("typed", feed3_declared(F.col("body"), F.col("root")))
     return typed.withColumn(
         "notice",
         F.col("root").isNotNull()
@@ -186,7 +247,8 @@ def feed3_notices(payloads: DataFrame) -> DataFrame:
 
 def feed4_items(body: Column) -> Column:
     """Items of a well-formed feed 4 body, else null."""
-    return _whole(J.parse_typed(body, FEED4), lambda item: J.is_string(item["headline"]))
+    items = J.parse_typed(body, FEED4, _in_items(["headline"]))
+    return _whole(items, lambda item: J.is_string(item["headline"]))
 
 
 def decode_feed4(payloads: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from moodwire.functions import calls, labels, strict_json, text
 from moodwire.operators import answers, attribution, envelope, scoring, security, tenancy
 from moodwire.operators import validation as V
 from moodwire.params import Params, failover_order
+from moodwire.plans import waterfall
 from moodwire.sources import feeds
 
 
@@ -362,3 +363,41 @@ def test_label_file(tmp_path):
 def test_trailing_text_is_not_json(spark):
     assert one(spark, strict_json.parse_variant(F.lit('{"a":1} x')).isNull())
     assert one(spark, strict_json.parse_variant(F.lit('{"a":1},{"b":2}')).isNull())
+
+
+REPEATS = [
+    ("1 unread", 1, '[{"title":"a","u":1,"u":{"v":1,"v":2},"tickers":["Q"]}]', ["a"]),
+    ("1 read", 1, '[{"title":"a","title":"b","tickers":["Q"]}]', []),
+    ("1 read in one item", 1, '[{"title":"a","tickers":["Q"]},{"title":"b","tickers":["Q"],"tickers":[]}]', []),
+    ("1 unread, but bad", 1, '[{"title":7,"u":1,"u":2,"tickers":["Q"]}]', []),
+    ("1 cut", 1, '[{"title":"a","u":1,"u":2,"tickers":["Q"]}', []),
+    ("2 unread", 2, '{"m":1,"m":2,"data":[{"title":"a","x":1,"x":1,"entities":[{"symbol":"Q","y":1,"y":2}]}]}', ["a"]),
+    ("2 root", 2, '{"data":[],"data":[{"title":"a","entities":[{"symbol":"Q"}]}]}', []),
+    ("2 entity", 2, '{"data":[{"title":"a","entities":[{"symbol":"Q","symbol":"Q"}]}]}', []),
+    ("3 unread", 3, '{"m":1,"m":2,"feed":[{"title":"a","z":1,"z":2,"ticker_sentiment":[{"ticker":"Q"}]}]}', ["a"]),
+    ("3 last title", 3, '{"feed":[{"title":"a","title":"b","ticker_sentiment":[{"ticker":"R","ticker":"Q"}]}]}', ["b"]),
+    ("3 last is bad", 3, '{"feed":[{"title":"a","title":4,"ticker_sentiment":[{"ticker":"Q"}]}]}', []),
+    ("3 last feed", 3, '{"feed":[],"feed":[{"title":"c","ticker_sentiment":[{"ticker":"Q"}]}]}', ["c"]),
+    ("3 notice", 3, '{"m":1,"m":1,"Note":"x","feed":[{"title":"a","ticker_sentiment":[{"ticker":"Q"}]}]}', []),
+    ("4 unread", 4, '[{"headline":"a","u":1,"u":2}]', ["a"]),
+    ("4 read", 4, '[{"headline":"a","headline":"a"}]', []),
+]
+
+
+def test_repeated_keys_count_where_they_are_read(spark):
+    """A typed decode refuses a repeated field of its own and ignores others; the tolerant one takes the last."""
+    rows = [(name, feed, "Q" if feed == 4 else None, 200, body) for name, feed, body, _ in REPEATS]
+    payloads = spark.createDataFrame(rows, "request_id string, feed int, ticker string, http_status int, body string")
+    decoders = {1: feeds.decode_feed1, 2: feeds.decode_feed2, 3: feeds.decode_feed3, 4: feeds.decode_feed4}
+    got = {}
+    for feed, decode in decoders.items():
+        for r in decode(payloads.where(F.col("feed") == feed)).where("ticker = 'Q'").collect():
+            got.setdefault(r.request_id, []).append(r.title)
+    assert got == {name: titles for name, _, _, titles in REPEATS if titles}
+    by_waterfall = {}
+    for r in waterfall.mentions(payloads).where("ticker = 'Q'").collect():
+        if r.title:
+            by_waterfall.setdefault(r.request_id, []).append(r.title)
+    assert by_waterfall == got
+    strict = feeds.decode_feed3(payloads.where("feed = 3"), tolerant=False).where("ticker = 'Q'").collect()
+    assert [r.request_id for r in strict] == ["3 unread"]
