@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodwire.functions.calls import is_success
@@ -66,3 +66,70 @@ def readiness(probes: DataFrame, configured: DataFrame, by: list[str]) -> DataFr
         status(F.col("answers")).alias("tier_3_status"),
         F.when(~F.col("answers"), F.lit(NO_ANSWERS)).alias("tier_3_reason"),
     )
+
+
+NEWS, ANSWERS, BREAKER = "tier_2_news", "tier_3_llm", "not_configured"
+
+
+def _known(probes: DataFrame, configured: DataFrame, by: list[str]) -> DataFrame:
+    """Per deployment: whether its primary feed answers, and which of the known providers it has; at most seven."""
+    primary = latest_probes(probes.filter(F.col("provider") == FEED_NAMES[1]), by)
+    known = [*FEED_NAMES.values(), *ANSWER_PROVIDERS]
+    none = F.lit(None).cast("string").alias("provider")
+    facts = (
+        primary.select(*by, "reachable", none)
+        .unionByName(configured.select(*by, F.lit(False).alias("reachable"), "provider"))
+        .unionByName(probes.select(*by, F.lit(False).alias("reachable"), none))
+    )
+    listed = F.when(F.col("provider").isin(known), F.col("provider"))
+    return facts.groupBy(*by).agg(
+        F.coalesce(F.bool_or("reachable"), F.lit(False)).alias("primary_up"), F.collect_set(listed).alias("listed")
+    )
+
+
+def _status_of(provider: str) -> Column:
+    """The primary feed is probed; of the others only their configuration is known."""
+    if provider == FEED_NAMES[1]:
+        return F.when(F.col("primary_up"), F.lit("operational")).otherwise(F.lit("degraded"))
+    return F.when(F.array_contains("listed", provider), F.lit("configured")).otherwise(F.lit("not_configured"))
+
+
+def provider_status(probes: DataFrame, configured: DataFrame, by: list[str]) -> DataFrame:
+    """One row per deployment and known provider: its tier, status and breaker state."""
+    rows = [
+        F.struct(F.lit(tier).alias("tier"), F.lit(p).alias("provider"), _status_of(p).alias("status"))
+        for tier, names in ((NEWS, FEED_NAMES.values()), (ANSWERS, ANSWER_PROVIDERS))
+        for p in names
+    ]
+    each = _known(probes, configured, by).select(*by, F.explode(F.array(*rows)).alias("p"))
+    return each.select(*by, "p.*", F.lit(BREAKER).alias("breaker_state"))
+
+
+def readiness_body(
+    probes: DataFrame, configured: DataFrame, by: list[str], answer_order: tuple = tuple(ANSWER_PROVIDERS)
+) -> DataFrame:
+    """One row per deployment with the readiness answer as JSON: tiers, their providers, and the answer order."""
+
+    def block(names) -> Column:
+        return F.struct(
+            *[F.struct(_status_of(p).alias("status"), F.lit(BREAKER).alias("breaker_state")).alias(p) for p in names]
+        )
+
+    def tier(k: int, *more: Column) -> Column:
+        reason = F.col(f"tier_{k}_reason") if k > 1 else F.lit(None).cast("string")
+        return F.struct(
+            F.col(f"tier_{k}_status").alias("status"),
+            reason.alias("degradation_reason"),
+            F.lit(BREAKER).alias("breaker_state"),
+            *more,
+        )
+
+    whole = readiness(probes, configured, by).join(_known(probes, configured, by), by)
+    order = F.array(*[F.lit(p) for p in answer_order]).alias("execution_order")
+    tiers = F.struct(
+        tier(1).alias("tier_1_local_onnx"),
+        tier(2, block(FEED_NAMES.values()).alias("providers")).alias(NEWS),
+        tier(3, block(ANSWER_PROVIDERS).alias("providers"), order).alias(ANSWERS),
+    )
+    body = F.to_json(F.struct(F.col("status"), tiers.alias("tiers")), {"ignoreNullFields": "false"})
+    return whole.select(*by, body.alias("body"))

@@ -420,9 +420,7 @@ def backoff_audit(t: Tables):
 PROVIDERS = [*FEED_NAMES.values(), *ANSWER_PROVIDERS]
 
 
-@query(
-    "m9_readiness",
-    f"""
+READINESS = f"""
 with probes as (
   select c_nationkey as deployment, {PROVIDERS!r}[(c_custkey // 3) % 7 + 1] as provider,
     [200, 429, 500][c_custkey % 3 + 1] as status, c_custkey as seen from customer),
@@ -440,19 +438,11 @@ facts as (
         union all select deployment, false, provider from configured
         union all select distinct deployment, false, null from probes)
   group by deployment)
-select deployment,
-  case when (up or coalesce(fallback, false)) and coalesce(answers, false) then 'operational'
-    else 'degraded' end as status,
-  'operational' as tier_1_status,
-  case when up or coalesce(fallback, false) then 'operational' else 'degraded' end as tier_2_status,
-  case when up then '' when fallback then
-    'primary_news_provider_unavailable_using_fallback_capacity'
-    else 'no_news_provider_available' end as tier_2_reason,
-  case when coalesce(answers, false) then 'operational' else 'degraded' end as tier_3_status,
-  case when coalesce(answers, false) then '' else 'no_llm_provider_configured' end as tier_3_reason
-from facts""",
-)
-def readiness(t: Tables):
+"""
+
+
+def deployments(t: Tables):
+    """Probes by customer, configured providers by supplier, deployments by nation."""
     names = F.array(*[F.lit(p) for p in PROVIDERS])
     key = F.col("c_custkey")
     probes = t.customer.select(
@@ -466,12 +456,85 @@ def readiness(t: Tables):
         F.col("s_nationkey").alias("deployment"),
         F.when(F.col("s_acctbal") > 3000, listed).otherwise(F.lit("unlisted")).alias("provider"),
     )
-    ready = health.readiness(probes, configured, ["deployment"])
+    return probes, configured
+
+
+@query(
+    "m9_readiness",
+    f"""
+{READINESS}
+select deployment,
+  case when (up or coalesce(fallback, false)) and coalesce(answers, false) then 'operational'
+    else 'degraded' end as status,
+  'operational' as tier_1_status,
+  case when up or coalesce(fallback, false) then 'operational' else 'degraded' end as tier_2_status,
+  case when up then '' when fallback then
+    'primary_news_provider_unavailable_using_fallback_capacity'
+    else 'no_news_provider_available' end as tier_2_reason,
+  case when coalesce(answers, false) then 'operational' else 'degraded' end as tier_3_status,
+  case when coalesce(answers, false) then '' else 'no_llm_provider_configured' end as tier_3_reason
+from facts""",
+)
+def readiness(t: Tables):
+    ready = health.readiness(*deployments(t), ["deployment"])
     return ready.withColumns(
         {c: F.coalesce(c, F.lit("")) for c in ("tier_2_reason", "tier_3_reason")}
     )
 
 
+@query(
+    "m9_provider_status",
+    f"""
+with {READINESS.strip().removeprefix("with ")},
+known as (select unnest({PROVIDERS!r}) as provider)
+select deployment, case when provider in ('grok', 'deepseek', 'openai') then 'tier_3_llm' else 'tier_2_news' end as tier,
+  provider, case when provider = 'tiingo' then case when coalesce(up, false) then 'operational' else 'degraded' end
+    when exists (select 1 from configured c where c.deployment = f.deployment and c.provider = k.provider) then 'configured'
+    else 'not_configured' end as status,
+  'not_configured' as breaker_state
+from facts f, known k""",
+)
+def provider_status(t: Tables):
+    return health.provider_status(*deployments(t), ["deployment"])
+
+
+def stated(names: list[str]) -> str:
+    """SQL for the JSON blocks of providers whose states stand in columns of their names."""
+    blocks = ["'\"" + p + '":{"status":"\' || ' + p + " || '" + '","breaker_state":"not_configured"}\'' for p in names]
+    return " || ',' || ".join(blocks)
+
+
+@query(
+    "m9_readiness_body",
+    f"""
+with {READINESS.strip().removeprefix("with ")},
+marks as (
+  select deployment, {", ".join(
+        f"case when bool_or(provider = '{p}') then 'configured' else 'not_configured' end as {p}" for p in PROVIDERS[1:])}
+  from (select deployment, provider from configured union all select distinct deployment, null from probes) group by 1),
+said as (
+  select *, case when coalesce(up, false) then 'operational' else 'degraded' end as tiingo,
+    case when up or coalesce(fallback, false) then 'operational' else 'degraded' end as two,
+    case when coalesce(answers, false) then 'operational' else 'degraded' end as three,
+    case when up then 'null' when fallback then '"primary_news_provider_unavailable_using_fallback_capacity"'
+      else '"no_news_provider_available"' end as two_why,
+    case when coalesce(answers, false) then 'null' else '"no_llm_provider_configured"' end as three_why
+  from facts join marks using (deployment))
+select deployment, '{{"status":"' || case when two = 'operational' then three else 'degraded' end
+  || '","tiers":{{"tier_1_local_onnx":{{"status":"operational","degradation_reason":null,"breaker_state":"not_configured"}},'
+  || '"tier_2_news":{{"status":"' || two || '","degradation_reason":' || two_why
+  || ',"breaker_state":"not_configured","providers":{{'
+  || {stated(PROVIDERS[:4])}
+  || '}}}},"tier_3_llm":{{"status":"' || three || '","degradation_reason":' || three_why
+  || ',"breaker_state":"not_configured","providers":{{'
+  || {stated(PROVIDERS[4:])}
+  || '}},"execution_order":["grok","deepseek","openai"]}}}}}}' as body
+from said""",
+)
+def readiness_body(t: Tables):
+    return health.readiness_body(*deployments(t), ["deployment"])
+
+
 def _lines_sql() -> str:
     heads = " union all ".join(
         f"select '# HELP {name} {about}' as line union all select '# TYPE {name} {kind}'"
