@@ -110,6 +110,29 @@ def message_content(body: Column) -> Column:
     )
 
 
+# Why an answer with a good status could not be used, from the outside in.
+BODY_UNREADABLE = "error decoding response body"
+NO_CONTENT = "Invalid LLM response structure"
+CONTENT_UNREADABLE = "LLM content must be valid JSON containing sentiment results"
+NO_RESULTS = "LLM content must contain a results array"
+BAD_RESULTS = "LLM results must be an array of sentiment objects"
+
+
+def parse_cause(body: Column, content: Column) -> Column:
+    """The first thing wrong with an answer without usable items; ``content`` is its message text, if it has one.
+
+    A list that is no list of items counts as content without results, for only an object can name them.
+    """
+    results = J.at(J.parse_variant(content), "$.results")
+    return (
+        F.when(~F.coalesce(J.well_formed(body), F.lit(False)), BODY_UNREADABLE)
+        .when(content.isNull(), NO_CONTENT)
+        .when(~J.well_formed(content), CONTENT_UNREADABLE)
+        .when(results.isNull() & J.parse_variant(content).isNotNull(), NO_RESULTS)
+        .otherwise(BAD_RESULTS)
+    )
+
+
 def decode_answers(answers: DataFrame) -> DataFrame:
     """Adds ``items`` (null when unusable) and ``failure`` (null when usable)."""
     provider = F.col("provider")
@@ -131,7 +154,12 @@ def decode_answers(answers: DataFrame) -> DataFrame:
                 preview(F.coalesce("body", F.lit(""))),
             ),
         )
-        .when(F.col("items").isNull(), F.concat(provider, F.lit(" response parse error")))
+        .when(
+            F.col("items").isNull(),
+            F.concat(
+                provider, F.lit(" response parse error: "), parse_cause(F.col("body"), F.col("_content"))
+            ),
+        )
     )
     return staged.withColumn("failure", failure).drop("_content")
 

@@ -401,3 +401,29 @@ def test_repeated_keys_count_where_they_are_read(spark):
     assert by_waterfall == got
     strict = feeds.decode_feed3(payloads.where("feed = 3"), tolerant=False).where("ticker = 'Q'").collect()
     assert [r.request_id for r in strict] == ["3 unread"]
+
+
+def test_causes_of_answers_that_cannot_be_used(spark):
+    message = lambda content: json.dumps({"choices": [{"message": {"content": content}}]})
+    item = {"symbol": "A", "sentiment_score": 1, "confidence": 0.5, "reasoning": "r", "label": "neutral"}
+    cases = [
+        ("{", answers.BODY_UNREADABLE),
+        (None, answers.BODY_UNREADABLE),
+        ("{}", answers.NO_CONTENT),
+        (message(7), answers.NO_CONTENT),
+        (message("no json"), answers.CONTENT_UNREADABLE),
+        (message("[] x"), answers.CONTENT_UNREADABLE),
+        (message("7"), answers.NO_RESULTS),
+        (message('{"items":[]}'), answers.NO_RESULTS),
+        (message('[{"symbol":"A"}]'), answers.NO_RESULTS),
+        (message('{"results":null}'), answers.BAD_RESULTS),
+        (message('{"results":[{"symbol":"A"}]}'), answers.BAD_RESULTS),
+        (message(json.dumps([item])), None),
+        (message(json.dumps({"results": [item]})), None),
+    ]
+    rows = [(f"r{k:02d}", 0, "grok", 200, body) for k, (body, _) in enumerate(cases)]
+    found = answers.decode_answers(
+        spark.createDataFrame(rows, "request_id string, chunk int, provider string, http_status int, body string")
+    )
+    got = [r.failure for r in found.orderBy("request_id").collect()]
+    assert got == [c and f"grok response parse error: {c}" for _, c in cases]

@@ -497,10 +497,10 @@ def first_success(t: Tables):
 with {D.ANSWERS}
 select request_id, chunk, 'All configured LLM providers failed: '
   || case when okey % 3 = 0 then 'grok non-success status: 429 Too Many Requests body='
-     else 'grok response parse error' end || ' | '
+     else 'grok response parse error: LLM results must be an array of sentiment objects' end || ' | '
   || 'deepseek non-success status: 500 Internal Server Error body=' || ' | '
   || case when okey % 6 = 0 then 'openai non-success status: 502 Bad Gateway body='
-     else 'openai response parse error' end as error
+     else 'openai response parse error: Invalid LLM response structure' end as error
 from failed""",
 )
 def failure_lists(t: Tables):
