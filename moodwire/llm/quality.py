@@ -18,6 +18,7 @@ results are replaced.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -161,10 +162,20 @@ def fit(
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = texts.mapInArrow(run, f"doc_id {kind}, mark double, terms binary")
-    found = found.orderBy(F.xxhash64("doc_id", "terms")).limit(4 * per_class).collect()
-    rows = np.array([np.frombuffer(zlib.decompress(r["terms"]), np.float32) for r in found], np.float32)
-    marks = np.array([r["mark"] for r in found])
-    return Neighbours(rows.reshape(-1, TERMS), marks, rank, k)
+
+    def learn(batches):
+        """All of these rows are one task's, 4 * per_class at most; only the model goes to the driver."""
+        rows, own = [np.zeros((0, TERMS), np.float32)], []
+        for batch in batches:
+            packed = batch.column("terms").to_pylist()
+            rows.append(np.array([np.frombuffer(zlib.decompress(r), np.float32) for r in packed]).reshape(-1, TERMS))
+            own += batch.column("mark").to_pylist()
+        model = Neighbours(np.concatenate(rows), np.array(own, np.float64), rank, k)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    sample = found.orderBy(F.xxhash64("doc_id", "terms")).limit(4 * per_class)
+    made = sample.coalesce(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(made["model"]) if made else Neighbours(np.zeros((0, TERMS), np.float32), np.zeros(0), rank, k)
 
 
 def held_out(doc_id: str = "doc_id"):
