@@ -249,8 +249,9 @@ with request_log as (
 select * from quantiles""",
 )
 def window_quantiles(t: Tables):
-    daily = jobs.window_quantiles(D.request_log(t), "1 day")
-    return daily.withColumn("window_us", F.unix_micros("window_start")).drop("window_start")
+    day_us = 86_400_000_000
+    at = F.unix_micros("ts")
+    return metrics.duration_quantiles(D.request_log(t).withColumn("window_us", at - F.pmod(at, F.lit(day_us))), ["window_us"])
 
 
 @query(
