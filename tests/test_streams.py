@@ -13,6 +13,8 @@ from moodwire.params import Params
 from moodwire.sources.sinks import read_upserted, upsert_batch
 from moodwire.streaming import jobs
 from moodwire.streaming.ordered import Arrivals, end_marker, in_event_order, observed
+from workload import streams  # noqa: F401
+from workload.registry import QUERIES
 
 START_S = 1_700_000_000
 
@@ -208,3 +210,14 @@ def test_upsert_keeps_the_newest_row_of_a_key(spark, tmp_path):
     write([("r", 0, "other stream"), ("s", 0, "x")], "b", 0)
     got = sorted(tuple(r) for r in read_upserted(spark, str(tmp_path / "t"), schema).collect())
     assert got == [("r", 0, "new"), ("r", 1, "kept"), ("s", 0, "x")]
+
+
+def test_table_streams_read_files_and_folders_of_files(spark, tmp_path):
+    """A large table is a folder of parts, a small one a file; both are read whole."""
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a bear").alias("text"))
+    rows.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    for kind in ("parts", "file"):
+        assert QUERIES["st4_stream_scoring"](spark, str(tmp_path / kind)).distinct().count() == 40

@@ -358,8 +358,8 @@ class StreamTables(Tables):
 
     def __getattr__(self, name: str):
         schema = self.spark.read.parquet(self.path(name)).schema
-        only = {"pathGlobFilter": f"{name}.parquet"}
-        stream = self.spark.readStream.schema(schema).options(**only).parquet(self.sf_dir)
+        # As a pattern the path may be one file or a folder of parts; a plain path must be a folder.
+        stream = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{{{name}.parquet}}")
         zoneless = [c for c, kind in stream.dtypes if kind == "timestamp_ntz"]
         return stream.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
