@@ -37,9 +37,14 @@ def _in_time_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class _Keyed(StatefulProcessor):
-    """One value per key that means nothing any more after some instant, when a timer drops it."""
+    """One value per key that means nothing any more after some instant, when a timer drops it.
+
+    Rows come a stretch late: when the watermark stands inside a stretch, its rows are still held. So the timer waits
+    one stretch longer than the value counts.
+    """
 
     schema = ""
+    stretch_ms = STRETCH_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -49,7 +54,7 @@ class _Keyed(StatefulProcessor):
         self.state.update(value)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(until_ms)
+        self.handle.registerTimer(until_ms + self.stretch_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
@@ -64,8 +69,8 @@ class _Limit(_Keyed):
 
     schema = "full_at long"
 
-    def __init__(self, per_minute: int, code: str, names: list[str]):
-        self.bucket, self.code, self.names = Bucket(per_minute), code, names
+    def __init__(self, per_minute: int, code: str, names: list[str], stretch_ms: int):
+        self.bucket, self.code, self.names, self.stretch_ms = Bucket(per_minute), code, names, stretch_ms
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if not key[0]:
@@ -84,7 +89,7 @@ class _Limit(_Keyed):
         yield pdf.assign(outcome_code=pdf["outcome_code"].where(denied, self.code))[self.names]
 
 
-def _limited(ordered: DataFrame, key: Column, per_minute: int, code: str) -> DataFrame:
+def _limited(ordered: DataFrame, key: Column, per_minute: int, code: str, stretch_ms: int) -> DataFrame:
     """Rows without an outcome go through the bucket of their key, the others past all buckets."""
     still_open = F.col("outcome_code").isNull()
     aside = F.concat(F.lit("aside-"), F.pmod(F.xxhash64("request_id"), F.lit(SHARDS)).cast("string"))
@@ -92,7 +97,7 @@ def _limited(ordered: DataFrame, key: Column, per_minute: int, code: str) -> Dat
         {"is_open": still_open, "by_key": F.when(still_open, key.cast("string")).otherwise(aside)}
     )
     return keyed.groupBy("is_open", "by_key").transformWithStateInPandas(
-        _Limit(per_minute, code, ordered.columns),
+        _Limit(per_minute, code, ordered.columns, stretch_ms),
         ordered.schema,
         "Append",
         "EventTime",
@@ -107,7 +112,8 @@ def stream_limit(
     asked = stream.select(
         "request_id", "ts", key.cast("string").alias("key"), F.lit(None).cast("string").alias("outcome_code")
     )
-    decided = _limited(in_event_order(asked, delay, stretch_ms=stretch_ms), F.col("key"), per_minute, "DENIED")
+    ordered = in_event_order(asked, delay, stretch_ms=stretch_ms)
+    decided = _limited(ordered, F.col("key"), per_minute, "DENIED", stretch_ms)
     return decided.select(
         "request_id", "key", F.timestamp_micros("t").alias("ts"), F.col("outcome_code").isNull().alias("admitted")
     )
@@ -134,8 +140,10 @@ def stream_admit(
         F.when(invalid, F.lit("INVALID_REQUEST")).otherwise(F.col("outcome_code")).alias("outcome_code"),
     )
     ordered = in_event_order(decided, delay, stretch_ms=stretch_ms)
-    after_global = _limited(ordered, F.lit("all"), params.global_per_minute, "GLOBAL_RATE_LIMITED")
-    after_tenant = _limited(after_global, F.col("tenant"), params.tenant_per_minute, "TENANT_RATE_LIMITED")
+    after_global = _limited(ordered, F.lit("all"), params.global_per_minute, "GLOBAL_RATE_LIMITED", stretch_ms)
+    after_tenant = _limited(
+        after_global, F.col("tenant"), params.tenant_per_minute, "TENANT_RATE_LIMITED", stretch_ms
+    )
     return after_tenant.select("request_id", F.timestamp_micros("t").alias("ts"), "tenant", "outcome_code")
 
 
@@ -144,8 +152,8 @@ class _Windows(_Keyed):
 
     schema = "live_until long, computed_by string"
 
-    def __init__(self, ttl_us: int, names: list[str]):
-        self.ttl_us, self.names = ttl_us, names
+    def __init__(self, ttl_us: int, names: list[str], stretch_ms: int):
+        self.ttl_us, self.names, self.stretch_ms = ttl_us, names, stretch_ms
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_time_order(rows)
@@ -163,8 +171,8 @@ class _Windows(_Keyed):
 class _Results(_Keyed):
     """The result of the last computing row of a key, handed to the rows that reuse it."""
 
-    def __init__(self, ttl_us: int, results: T.StructType, names: list[str]):
-        self.ttl_us, self.names, self.schema = ttl_us, names, results
+    def __init__(self, ttl_us: int, results: T.StructType, names: list[str], stretch_ms: int):
+        self.ttl_us, self.names, self.schema, self.stretch_ms = ttl_us, names, results, stretch_ms
         self.fields = results.fieldNames()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -199,7 +207,7 @@ def stream_reuse(
     ttl_us = ttl_s * 1_000_000
     ordered = in_event_order(stream.withColumn("by_key", key.cast("string")), delay, stretch_ms=stretch_ms)
     decided = ordered.groupBy("by_key").transformWithStateInPandas(
-        _Windows(ttl_us, ordered.columns),
+        _Windows(ttl_us, ordered.columns, stretch_ms),
         T.StructType(list(ordered.schema.fields)).add("hit", "boolean").add("computed_by", "string"),
         "Append",
         "EventTime",
@@ -216,7 +224,11 @@ def stream_reuse(
         *base, *[F.col("_result")[f.name].alias(f"result_{i}") for i, f in enumerate(fields)]
     )
     attached = asked.groupBy("by_key").transformWithStateInPandas(
-        _Results(ttl_us, flat, asked.columns), asked.schema, "Append", "EventTime", eventTimeColumnName="released"
+        _Results(ttl_us, flat, asked.columns, stretch_ms),
+        asked.schema,
+        "Append",
+        "EventTime",
+        eventTimeColumnName="released",
     )
     again = F.struct(*[F.col(f"result_{i}").alias(f.name) for i, f in enumerate(fields)])
     return attached.select(*named, again.alias("result"))

@@ -120,6 +120,38 @@ def test_reused_results_come_from_the_computing_row(spark, tmp_path):
     assert got == want
 
 
+MINUTE_S = START_S - START_S % 60
+
+
+def test_state_outlives_a_watermark_inside_a_stretch(spark, tmp_path):
+    """Rows of a stretch the watermark has only entered are still held, so what decides them must be kept."""
+    first = [("a1", MINUTE_S + 30.5, "A"), ("b1", MINUTE_S + 170.0, "B")]  # the watermark comes to second 110
+    second = [("a2", MINUTE_S + 65.0, "A"), ("a3", MINUTE_S + 119.0, "A")]
+    late = [("b2", MINUTE_S + 119.5, "B")]
+    schema = "request_id string, ts timestamp, tenant string"
+    cases = {
+        "limit": (lambda s: jobs.stream_limit(s, F.col("tenant"), 1), "admitted", {"a1": True, "a2": False, "a3": True}),
+        "reuse": (lambda s: jobs.stream_reuse(s, F.col("tenant"), 60), "hit", {"a1": False, "a2": True, "a3": False}),
+    }
+    for name, (job, column, want) in cases.items():
+        source = Source(spark, tmp_path / name, schema)
+        source.put([*first, second[0]])
+        source.run(job)
+        source.put([second[1], *late], end=True)
+        got = {r.request_id: r[column] for r in source.run(job)}
+        assert {k: got[k] for k in want} == want and len(got) == 5
+
+
+def test_a_watermark_at_the_very_end_of_a_stretch_loses_nothing(spark, tmp_path):
+    rows = [("a1", MINUTE_S + 30.0, "A"), ("b1", MINUTE_S + 120.0, "B")]  # the watermark comes to second 60
+    source = Source(spark, tmp_path, "request_id string, ts timestamp, tenant string")
+    job = lambda s: jobs.stream_limit(s, F.col("tenant"), 1)
+    source.put(rows)
+    source.run(job)
+    source.put([("a2", MINUTE_S + 61.0, "A")], end=True)
+    assert {r.request_id: r.admitted for r in source.run(job)} == {"a1": True, "a2": False, "b1": True}
+
+
 def test_late_and_repeated_rows_are_counted(spark, tmp_path):
     source = Source(spark, tmp_path, "request_id string, ts timestamp")
     counts = Arrivals()
