@@ -128,8 +128,12 @@ def _triples(flat) -> list[tuple[int, int, int]]:
 
 
 def _grouped(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows of a group in one partition, next to each other and in order."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    """Rows of a group in one partition, next to each other and in order.
+
+    Dealt by a hash of the keys: behind a join on the keys themselves the optimizer drops the shuffle as one too many, and
+    when that join turns out small enough to be broadcast its own shuffle is read map by map, groups torn apart.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
 def _chunk_descriptions(ticks: DataFrame, bucket: Bucket, chunk_us: int) -> DataFrame:

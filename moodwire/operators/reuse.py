@@ -165,7 +165,8 @@ def _per_run(df: DataFrame, keys: list[str], order: list[str], work, schema: str
     """``work(key values, arrays)`` for each group, many groups per Python batch.
 
     Groups are formed by one hash shuffle and a spilling sort; ``work`` gives the output columns
-    as a dict of equal-length lists or arrays.
+    as a dict of equal-length lists or arrays. Rows are dealt by a hash of the keys, since a shuffle on the keys
+    themselves is dropped behind a join on them, and that of the join may be read map by map.
     """
     columns = [part.split()[0] for part in schema.split(", ")]
 
@@ -181,7 +182,8 @@ def _per_run(df: DataFrame, keys: list[str], order: list[str], work, schema: str
         if ready:
             yield _stacked(ready, columns)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
+    dealt = df.repartition(F.xxhash64(*keys))
+    return dealt.sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
 
 
 def _stacked(parts: list[dict], columns: list[str]) -> pd.DataFrame:

@@ -301,3 +301,15 @@ def test_waterfall_flags_equal_loop(spark, budget, feeds):
         for r in request_flags(states).collect()
     }
     assert got == want
+
+
+
+def test_groups_are_dealt_anew_behind_a_join_on_their_keys(spark):
+    """A shuffle on the keys of the join would be dropped, and the join's own may be read map by map."""
+    rows = spark.range(10).select(F.col("id").cast("string").alias("key"), F.col("id").alias("parent"), "id")
+    joined = rows.hint("merge").join(rows.drop("id"), ["key", "parent"])
+    keys = ["key", "parent"]
+    once = {"key": "key string", "parent": "parent long"}
+    runs = reuse._per_run(joined, keys, ["id"], lambda name, arrays: {"key": [], "parent": []}, ", ".join(once.values()))
+    for grouped in (admission._grouped(joined, keys, ["id"]), runs):
+        assert "REPARTITION_BY_COL" in grouped._jdf.queryExecution().executedPlan().toString()
