@@ -253,3 +253,18 @@ def test_table_streams_read_files_and_folders_of_files(spark, tmp_path):
     next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
     for kind in ("parts", "file"):
         assert QUERIES["st4_stream_scoring"](spark, str(tmp_path / kind)).distinct().count() == 40
+
+
+def test_ingest_never_broadcasts_what_a_timer_lets_go(spark):
+    """To the planner a released batch is as small as the empty input that came with it."""
+    one = spark.range(1).select(
+        F.lit("r").alias("request_id"),
+        F.expr("array(named_struct('ticker', 'T', 'name', 'n'))").alias("symbols"),
+        F.lit(5).alias("max_articles"),
+        F.expr("array(named_struct('request_id', 'r', 'feed', 1, 'ticker', null, 'http_status', 200, 'body',"
+               " '[{\"title\":\"bear\",\"tickers\":[\"T\"]}]'))").alias("payloads"),
+    )
+    scored = jobs.score_requests(one, Params())
+    assert [r.label for r in scored.collect()] == ["bearish"]
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "Range" not in plan
