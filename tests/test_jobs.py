@@ -13,6 +13,9 @@ from moodwire.params import Params
 from moodwire.plans.analyze import analyze
 from moodwire.sources import payloads, sinks, store
 from moodwire.streaming import jobs
+from workload.adapters import answer_bodies
+from workload.news import landed_requests
+from workload.registry import Tables
 from workload.results import letter_model
 
 REQUEST = schemas.REQUESTS
@@ -281,3 +284,11 @@ def test_store_is_compacted_and_pruned(spark, tmp_path):
     prior = spark.read.parquet(path)
     assert sorted(r.result.n for r in store.recent(prior, asked, day + 10).where("cache_key is not null").collect()) == [5]
     assert store.recent(prior, asked.limit(0), 9).count() == 0
+
+
+def test_requests_are_landed_once_for_a_query(spark):
+    """Symbols, payloads and answers of a query start from the same files; only asked answers are made."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert landed_requests(t) is landed_requests(t)
+    asked = landed_requests(t).limit(1).select("request_id", F.lit(0).alias("chunk"))
+    assert answer_bodies(landed_requests(t), asked).count() == 3

@@ -322,8 +322,8 @@ NEWS = f"{ORDER_SYMBOLS}, {STEPS}"
 # Answers for the chunks that are asked: three providers with rule-made failures.
 
 
-def answer_bodies(requests: DataFrame) -> DataFrame:
-    """Chat-completion bodies of all providers for every chunk a request may ask.
+def answer_bodies(requests: DataFrame, asked_chunks: DataFrame | None = None) -> DataFrame:
+    """Chat-completion bodies of all providers for every chunk a request may ask, or for ``asked_chunks`` only.
 
     Each answer names all symbols of the request, so it also holds some that were not asked.
     """
@@ -331,6 +331,8 @@ def answer_bodies(requests: DataFrame) -> DataFrame:
         F.lit(0), F.floor((F.size("symbols") - 1) / F.lit(ANSWER_CHUNK)).cast("int")
     )
     listed = unrolled(requests, ["request_id", F.col("symbols").alias("asked")], chunks, "_at", "chunk")
+    if asked_chunks is not None:
+        listed = listed.join(asked_chunks.select("request_id", "chunk").distinct(), ["request_id", "chunk"], "left_semi")
     okey = order_of(F.col("request_id"))
 
     def item(symbol: Column, score: Column, pk: Column) -> Column:

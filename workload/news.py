@@ -357,8 +357,11 @@ def newest_first_feed3(t: Tables):
 
 
 def landed_requests(t: Tables):
-    """All valid order requests, written once as a service would have landed them."""
-    return cut_lineage(D.valid_order_requests(t))
+    """All valid order requests, written once for a query as a service would have landed them."""
+    kept = vars(t)
+    if "_landed" not in kept:
+        kept["_landed"] = cut_lineage(D.valid_order_requests(t))
+    return kept["_landed"]
 
 
 def order_news(t: Tables):

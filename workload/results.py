@@ -463,11 +463,8 @@ def answer_decode(t: Tables):
 
 
 def answer_bodies(t: Tables, chunks):
-    """Answers to the chunks that are really asked."""
-    asked = chunks.select("request_id", "chunk").distinct()
-    return D.answer_bodies(D.valid_order_requests(t)).join(
-        asked, ["request_id", "chunk"], "left_semi"
-    )
+    """Answers to the chunks that are really asked; no other body is made or shuffled."""
+    return D.answer_bodies(N.landed_requests(t), chunks)
 
 
 def answer_calls(t: Tables, chunks):
