@@ -273,12 +273,15 @@ def routed(t: Tables, mode: str):
 
 
 def _all_modes(t: Tables):
-    states = N.order_news(t).withColumn("scored", F.col("article_count") > 0)
-    merged = None
-    for mode, params in MODES.items():
-        part = R.route(states, params).withColumn("mode", F.lit(mode))
-        merged = part if merged is None else merged.unionByName(part)
-    return merged
+    scored = F.col("article_count") > 0
+    routes = [
+        F.struct(
+            F.lit(mode).alias("mode"),
+            R.route_of(scored, F.col("all_attempted"), F.col("budget_exhausted"), params).alias("route"),
+        )
+        for mode, params in MODES.items()
+    ]
+    return N.order_news(t).select("request_id", "idx", F.inline(F.array(*routes)))
 
 
 @query(
