@@ -321,7 +321,7 @@ select request_id, idx::int as idx, ticker as symbol,
 from titled""",
 )
 def unavailable_fill(t: Tables):
-    states = routed(t, "news_only")
+    states = cut_lineage(routed(t, "news_only"))  # read by the results and by the search for gaps
     local = R.local_results(S.keyword_scorer(states.filter("scored")))
     filled = R.fill_unavailable(states, local)
     return filled.select(
@@ -578,7 +578,7 @@ from titled left join stops using (okey)
 where article_count > 0 and (stop is null or idx < stop)""",
 )
 def exhausted_storable(t: Tables):
-    states = routed(t, "no_answers")
+    states = cut_lineage(routed(t, "no_answers"))  # read by the results and by the search for stops
     local = R.local_results(S.keyword_scorer(states.filter("scored")))
     nothing = local.withColumn("chunk", F.lit(0)).filter(F.lit(False))
     failed = nothing.select("request_id", "chunk")
