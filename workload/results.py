@@ -617,7 +617,7 @@ def transition_steps(t: Tables):
     routed_symbols, _, _, failed = resolved(t)
     with_answers = R.transitions(routed_symbols, failed).withColumn("mode", F.lit("answers"))
     without = R.transitions(
-        routed(t, "no_answers"), failed.filter(F.lit(False))
+        R.route(routed_symbols, MODES["no_answers"]), failed.filter(F.lit(False))
     ).withColumn("mode", F.lit("no_answers"))
     return (
         with_answers.unionByName(without)
