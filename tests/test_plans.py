@@ -8,6 +8,7 @@ from moodwire.functions import strict_json
 from moodwire.operators import validation
 from moodwire.params import Params
 from moodwire.plans.waterfall import waterfall
+from workload.registry import QUERIES
 
 SYMBOLS = "request_id string, idx int, ticker string, name string, max_articles int"
 PAYLOADS = "request_id string, feed int, ticker string, http_status int, body string"
@@ -38,6 +39,10 @@ def test_waterfall_keeps_each_asked_casing_and_takes_nothing_from_strangers(spar
     assert got == {("r", 0): [], ("r", 1): ["one"], ("r", 2): [], ("q", 0): []}
 
 
+def test_all_findings_take_one_pass(spark):
+    assert plan_of(QUERIES["v7_split_all_findings"](spark, "/root/testdata/sf0.001")).count("FileScan parquet") == 1
+
+
 def test_object_test_does_not_spell_out_the_type(spark):
     values = ["{}", '{"a":{"b":1}}', "[]", "[{}]", '"{}"', "1", "null", None]
     rows = spark.createDataFrame([(v,) for v in values], "v string")
