@@ -8,6 +8,7 @@ from moodwire.functions import strict_json
 from moodwire.operators import validation
 from moodwire.params import Params
 from moodwire.plans.waterfall import waterfall
+from workload import requests  # noqa: F401
 from workload.registry import QUERIES
 
 SYMBOLS = "request_id string, idx int, ticker string, name string, max_articles int"
