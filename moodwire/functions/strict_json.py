@@ -29,6 +29,20 @@ def parse_typed(body: Column, ddl: str, repeats: Callable[[Column], Column]) ->
     return let(F.try_parse_json(whole), lambda v: F.when(v.isNotNull(), _sole(v, ddl)).otherwise(by_key))
 
 
+def plain_decode(body: Column, ddl: str) -> Column:
+    """``body`` as ``ddl``, whose leaves are all texts; to be trusted only where ``is_plain`` holds."""
+    return F.from_json(body, ddl, _STRICT)
+
+
+def is_plain(body: Column, decoded: Column) -> Column:
+    """Whether ``body`` is just what its plain decode is written as, without a null.
+
+    Then no key is repeated, left out or unknown, no leaf is other than a text and nothing trails, so the strict decode
+    has the same parts. Bodies written in another way may be good as well, but only the strict decode can tell.
+    """
+    return (F.to_json(decoded, {"ignoreNullFields": "false"}) == body) & ~F.contains(body, F.lit("null"))
+
+
 def in_brackets(body: Column) -> Column:
     return F.concat(F.lit("["), body, F.lit("]"))
 

@@ -25,6 +25,11 @@ FEED3_ITEMS = "array<struct<title:variant,ticker_sentiment:array<struct<ticker:v
 _NOTES = ",".join(f"`{k}`:variant" for k in NOTICE_KEYS)
 NOTICES = f"struct<{_NOTES}>"
 FEED3 = f"struct<feed:{FEED3_ITEMS},{_NOTES}>"
+# The same shapes with nothing but texts in them.
+PLAIN1 = "array<struct<title:string,tickers:array<string>>>"
+PLAIN2 = "struct<data:array<struct<title:string,entities:array<struct<symbol:string>>>>>"
+PLAIN3 = "struct<feed:array<struct<title:string,ticker_sentiment:array<struct<ticker:string>>>>>"
+PLAIN4 = "array<struct<headline:string>>"
 
 
 def _mentions(payloads: DataFrame, pairs: Column, feed_rank: int) -> DataFrame:
@@ -52,6 +57,18 @@ def title_pairs(items: Column, names: str, title: str = "title", name_of=lambda
     )
 
 
+def plain_pairs(items: Column, names: str, name_of=lambda n: n) -> Column:
+    """``title_pairs`` of items that hold texts."""
+    return F.flatten(
+        F.transform(
+            items,
+            lambda item: F.transform(
+                item[names], lambda n: F.struct(item["title"].alias("title"), name_of(n).alias("ticker"))
+            ),
+        )
+    )
+
+
 def feed1_items(body: Column) -> Column:
     """Items of a well-formed feed 1 body, else null."""
 
@@ -250,6 +267,15 @@ def feed3_pairs(root: Column) -> Column:
     )
 
 
+def plain_feed3_pairs(items: Column) -> Column:
+    """``feed3_pairs`` of items that hold texts."""
+    trimmed = F.transform(
+        items,
+        lambda i: F.struct(utrim(i["title"]).alias("title"), i["ticker_sentiment"].alias("names")),
+    )
+    return plain_pairs(F.filter(trimmed, lambda i: i["title"] != ""), "names", name_of=lambda n: n["ticker"])
+
+
 def decode_feed3(payloads: DataFrame, tolerant: bool = True) -> DataFrame:
     """Feed 3 mentions; ``tolerant=False`` keeps only bodies of the declared shape."""
     wanted = ~F.col("notice") if tolerant else ~F.col("notice") & F.col("typed")

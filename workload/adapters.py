@@ -170,27 +170,16 @@ def news_payloads(requests: DataFrame) -> DataFrame:
     def cut_last(body: Column) -> Column:
         return body.substr(F.lit(1), F.length(body) - 1)
 
-    items1 = F.flatten(
-        F.transform(
-            own(0),
-            lambda s: F.concat(
-                F.array(
-                    F.struct(
-                        F.concat(s["name"], F.lit(" up")).alias("title"),
-                        F.array(s["ticker"], F.lit("ZZ")).alias("tickers"),
-                    )
-                ),
-                F.when(
-                    s["pk"] % 8 == 0,
-                    F.array(
-                        F.struct(
-                            F.concat(F.lit("Bear note "), s["name"]).alias("title"),
-                            F.array(s["ticker"]).alias("tickers"),
-                        )
-                    ),
-                ).otherwise(F.array()),
-            ),
+    def up(s):
+        return F.struct(
+            F.concat(s["name"], F.lit(" up")).alias("title"), F.array(s["ticker"], F.lit("ZZ")).alias("tickers")
         )
+
+    def bear(s):
+        return F.struct(F.concat(F.lit("Bear note "), s["name"]).alias("title"), F.array(s["ticker"]).alias("tickers"))
+
+    items1 = F.flatten(
+        F.transform(own(0), lambda s: F.when(s["pk"] % 8 == 0, F.array(up(s), bear(s))).otherwise(F.array(up(s))))
     )
     body1 = F.to_json(items1)
     body1 = (
@@ -208,21 +197,13 @@ def news_payloads(requests: DataFrame) -> DataFrame:
     body2 = F.when(okey % 9 == 0, F.lit('{"data":{}}')).otherwise(
         F.to_json(F.struct(items2.alias("data")))
     )
-    items3 = F.flatten(
-        F.transform(
-            own(2),
-            lambda s: F.transform(
-                F.sequence(F.lit(0), F.lit(2)),
-                lambda j: F.struct(
-                    F.concat(F.lit("  "), s["name"], F.lit(" flat "), j.cast("string"), F.lit(" "))
-                    .alias("title"),
-                    F.array(F.struct(F.lower(s["ticker"]).alias("ticker"))).alias(
-                        "ticker_sentiment"
-                    ),
-                ),
-            ),
+    def flat(s, j: int):
+        return F.struct(
+            F.concat(F.lit("  "), s["name"], F.lit(f" flat {j} ")).alias("title"),
+            F.array(F.struct(F.lower(s["ticker"]).alias("ticker"))).alias("ticker_sentiment"),
         )
-    )
+
+    items3 = F.flatten(F.transform(own(2), lambda s: F.array(*[flat(s, j) for j in range(3)])))
     list3 = F.to_json(items3)
     bad3 = F.when(F.size(items3) > 0, F.lit(",")).otherwise(F.lit(""))
     body3 = (
@@ -235,41 +216,37 @@ def news_payloads(requests: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit('{"feed":'), list3, F.lit("}")))
     )
 
-    def payload(feed: int, ticker: Column, status: Column, body: Column) -> Column:
+    def payload(feed: int, status: Column, body: Column) -> Column:
         return F.struct(
             F.lit(feed).alias("feed"),
-            ticker.alias("ticker"),
+            F.lit(None).cast("string").alias("ticker"),
             status.alias("http_status"),
             body.alias("body"),
+            F.lit(None).cast("string").alias("name"),
         )
 
-    no_ticker = F.lit(None).cast("string")
     batched = F.array(
-        payload(1, no_ticker, F.when(okey % 7 == 0, 503).otherwise(200), body1),
-        payload(2, no_ticker, F.when(okey % 8 == 0, 429).otherwise(200), body2),
-        payload(3, no_ticker, F.lit(200), body3),
+        payload(1, F.when(okey % 7 == 0, 503).otherwise(200), body1),
+        payload(2, F.when(okey % 8 == 0, 429).otherwise(200), body2),
+        payload(3, F.lit(200), body3),
     )
+    # Bodies of feed 4 are made behind the explode, where expressions without lambdas are compiled.
     single = F.transform(
         own(3),
-        lambda s: payload(
-            4,
-            s["ticker"],
-            F.lit(200),
-            F.when(s["pk"] % 8 == 7, F.lit("[]")).otherwise(
-                F.to_json(
-                    F.transform(
-                        F.sequence(F.lit(0), F.lit(2)),
-                        lambda j: F.struct(
-                            F.concat(s["name"], F.lit(" h"), j.cast("string")).alias("headline")
-                        ),
-                    )
-                )
-            ),
+        lambda s: F.struct(
+            F.lit(4).alias("feed"),
+            s["ticker"].alias("ticker"),
+            F.lit(200).alias("http_status"),
+            F.lit(None).cast("string").alias("body"),
+            s["name"].alias("name"),
         ),
     )
-    return unrolled(staged, ["request_id"], F.concat(batched, single), "_at", "p").select(
-        "request_id", "p.*"
-    )
+    listed = staged.select("request_id", F.concat(batched, single).alias("payloads"))
+    rows = unrolled(listed, ["request_id"], F.col("payloads"), "_at", "p").select("request_id", "p.*")
+    headlines = F.array(*[F.struct(F.concat(F.col("name"), F.lit(f" h{j}")).alias("headline")) for j in range(3)])
+    body4 = F.when(part_of(F.col("ticker")) % 8 == 7, F.lit("[]")).otherwise(F.to_json(headlines))
+    body = F.when(F.col("feed") == 4, body4).otherwise(F.col("body"))
+    return rows.select("request_id", "feed", "ticker", "http_status", body.alias("body"))
 
 
 NEWS_BUDGET = 4
