@@ -53,6 +53,25 @@ def duration_quantiles(log: DataFrame, by: list[str] | None = None) -> DataFrame
     return listed.select(*(by or []), n.alias("samples"), *picks)
 
 
+def whole_quantiles(log: DataFrame, by: list[str]) -> DataFrame:
+    """Nearest-rank quantiles of all durations of each group, 0 when it has none.
+
+    Durations are counted first, so a busy group is one row per value that differs; its running count is read in the
+    order of a sort that spills, and no list of a group is built.
+    """
+    counted = log.groupBy(*by, "duration_ms").agg(F.count("duration_ms").alias("_n"))
+    group = Window.partitionBy(*by)
+    up_to = group.orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumns({"_up_to": F.sum("_n").over(up_to), "_samples": F.sum("_n").over(group)})
+    picks = [
+        F.coalesce(F.min(F.when(F.col("_up_to") > rank_index(F.col("_samples"), q), F.col("duration_ms"))), F.lit(0))
+        .cast("double")
+        .alias(f"p{name[2:]}")
+        for name, q in QUANTILES
+    ]
+    return placed.groupBy(*by).agg(F.max("_samples").cast("int").alias("samples"), *picks)
+
+
 def request_totals(log: DataFrame) -> DataFrame:
     """Sum and count of durations and the exhaustion rate, over all requests, rejected included."""
     return log.agg(

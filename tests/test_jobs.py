@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from moodwire.params import Params
 from moodwire.plans.analyze import analyze
 from moodwire.sources import payloads, sinks, store
 from moodwire.streaming import jobs
+from workload import ops
 from workload.adapters import answer_bodies
 from workload.news import landed_requests
 from workload.registry import Tables
@@ -174,6 +176,18 @@ def test_metrics_without_rows_are_zero(spark):
     assert (quantiles["samples"], quantiles["p50"], quantiles["p99"]) == (0, 0.0, 0.0)
 
 
+def test_window_quantiles_cover_every_row_of_a_window(spark, tmp_path):
+    """A day of 6,000 rows, more than the newest 4,096, and a day without durations."""
+    n = 6000
+    rows = [(k, k * 10, 1, "click", (k * 7919 % n) / 10.0) for k in range(n)] + [(n, 86400, 1, "click", None)]
+    frame = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double")
+    frame.withColumn("ts", F.timestamp_seconds("s")).drop("s").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.window_us: tuple(r)[1:] for r in ops.window_quantiles(Tables(spark, str(tmp_path))).collect()}
+    ms = sorted(math.floor(row[4] * 10) for row in rows[:n])
+    want = [float(ms[int((n - 1) * q + 0.5)]) for q in (0.5, 0.95, 0.99)]
+    assert got == {0: (n, *want), 86_400_000_000: (0, 0.0, 0.0, 0.0)}
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     def land(name, rows):
         df = spark.createDataFrame(rows, "request_id string, k string, s int")

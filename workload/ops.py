@@ -179,18 +179,21 @@ def request_ids(t: Tables):
 # ------------------------------------------------------------------------------ metrics
 
 
+def _picks_sql() -> str:
+    return ", ".join(
+        f"list_sort(list(duration_ms))[round((count(*) - 1) * {q}::double)::int + 1]::double as p{n[2:]}"
+        for n, q in metrics.QUANTILES
+    )
+
+
 def _quantiles_sql(by: str) -> str:
     part = f"partition by {by}" if by else ""
     lead = f"{by}, " if by else ""
     group = f"group by {by}" if by else ""
-    picks = ", ".join(
-        f"list_sort(list(duration_ms))[round((count(*) - 1) * {q}::double)::int + 1]::double as p{n[2:]}"
-        for n, q in metrics.QUANTILES
-    )
     return f"""
 newest as (select *, row_number() over ({part} order by ts desc, request_id desc) as rn
            from request_log),
-quantiles as (select {lead}count(*)::int as samples, {picks} from newest where rn <= 4096 {group})
+quantiles as (select {lead}count(*)::int as samples, {_picks_sql()} from newest where rn <= 4096 {group})
 """
 
 
@@ -245,13 +248,14 @@ totals as (
 with request_log as (
   select epoch_us(ts) // 86400000000 * 86400000000 as window_us, ts,
     lpad(event_id::varchar, 12, '0') as request_id, floor(value * 10)::bigint as duration_ms
-  from events), {_quantiles_sql('window_us')}
-select * from quantiles""",
+  from events)
+select window_us, count(*)::int as samples, {_picks_sql()} from request_log group by window_us""",
 )
 def window_quantiles(t: Tables):
+    """Over all durations of a day, however many they are."""
     day_us = 86_400_000_000
     at = F.unix_micros("ts")
-    return metrics.duration_quantiles(D.request_log(t).withColumn("window_us", at - F.pmod(at, F.lit(day_us))), ["window_us"])
+    return metrics.whole_quantiles(D.request_log(t).withColumn("window_us", at - F.pmod(at, F.lit(day_us))), ["window_us"])
 
 
 @query(
