@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodwire.functions.binding import let
 from moodwire.params import DEFAULT_HOSTS
 
 # What a masked value becomes and which names mark a secret value.
@@ -14,6 +17,7 @@ MARKER = "[REDACTED]"
 SECRET_NAMES = ["token", "api_token", "api_key", "apikey", "key", "authorization", "x-api-key"]
 VALUE_END = "& '\"\\n"
 BEARER_END = " '\"\\n"
+COMPILED_SECRETS = 100
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 # After the scheme any number of slashes or backslashes; names before the last @ are not the host.
@@ -53,25 +57,48 @@ def secrets_column(secrets: Iterable[str]) -> Column:
     return F.array(*[F.lit(s) for s in secrets]).cast("array<string>")
 
 
-def redact(text: Column, secrets: Column) -> Column:
-    """Mask known secrets, then values of secret-named parameters, then bearer tokens."""
-    known = F.aggregate(
-        secrets,
-        text,
-        lambda acc, s: F.when(s == "", acc).otherwise(F.replace(acc, s, F.lit(MARKER))),
-    )
-    names = "|".join(SECRET_NAMES)
+def _told_apart(names: list[str]) -> list[str]:
+    """Names that no other one ends: what stands before a value ends with a name exactly if it ends with one of these."""
+    return [n for n in names if not any(n != other and n.endswith(other) for other in names)]
+
+
+def redact(text: Column, secrets: Column | Iterable[str]) -> Column:
+    """Mask known secrets, then values of secret-named parameters, then bearer tokens.
+
+    Secrets given as texts are masked one behind the other in compiled code, a column of them in a lambda.
+    """
+    if isinstance(secrets, Column):
+        known = F.aggregate(
+            secrets,
+            text,
+            lambda acc, s: F.when(s == "", acc).otherwise(F.replace(acc, s, F.lit(MARKER))),
+        )
+    else:
+        known = text
+        for s in secrets:
+            known = known if s == "" else F.replace(known, F.lit(s).cast("string"), F.lit(MARKER))
+    names = "|".join(_told_apart(SECRET_NAMES))
     named = F.regexp_replace(known, f"({names})=[^{VALUE_END}]*", f"$1={MARKER}")
     return F.regexp_replace(named, f"Bearer [^{BEARER_END}]*", f"Bearer {MARKER}")
 
 
+def _given(secrets: Iterable[str]) -> Column | list[str]:
+    """A short list as it is; a long one as a column, since each text in it is an expression of its own."""
+    listed = list(secrets)
+    return listed if len(listed) <= COMPILED_SECRETS else secrets_column(listed)
+
+
 def redact_lines(lines: DataFrame, secrets: Iterable[str], column: str = "line") -> DataFrame:
-    return lines.withColumn(column, redact(F.col(column), secrets_column(secrets)))
+    return lines.withColumn(column, redact(F.col(column), _given(secrets)))
 
 
 def leak_audit(lines: DataFrame, secrets: Iterable[str], by: str = "source") -> DataFrame:
     """Lines and lines still holding a known secret, by source; the second must be 0."""
-    held = F.exists(secrets_column(secrets), lambda s: (s != "") & F.contains(F.col("line"), s))
+    given, line = _given(secrets), F.col("line")
+    if isinstance(given, Column):  # bound, or a line that is still to be made is made for every secret
+        held = let(line, lambda x: F.exists(given, lambda s: (s != "") & F.contains(x, s)))
+    else:
+        held = reduce(or_, [F.contains(line, F.lit(s)) for s in given if s], F.lit(False))
     return lines.groupBy(by).agg(
         F.count("*").alias("lines"), F.count_if(held).alias("leaking_lines")
     )

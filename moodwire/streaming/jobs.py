@@ -20,7 +20,7 @@ from moodwire.operators.admission import Bucket
 from moodwire.operators.metrics import QUANTILES
 from moodwire.operators.resolve import local_results
 from moodwire.operators.scoring import Scorer, keyword_scorer
-from moodwire.operators.security import redact, secrets_column
+from moodwire.operators.security import redact_lines
 from moodwire.operators.tenancy import resolve_tenant
 from moodwire.operators.validation import request_symbols, with_details
 from moodwire.params import Params
@@ -327,7 +327,7 @@ def stream_transitions(
 
 def stream_redact(lines: DataFrame, secrets: Iterable[str]) -> DataFrame:
     """Stateless: the batch rule on every line."""
-    return lines.withColumn("line", redact(F.col("line"), secrets_column(secrets)))
+    return redact_lines(lines, secrets)
 
 
 def requests_with_payloads(
