@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodwire.functions.text import cache_key
-from moodwire.session import cut_lineage
+from moodwire.session import cut_lineage, shuffles_dropped
 
 BLOCK_TTLS = 4
 FAN_OUT = 16
 SLICE_US = 300_000_000
+SLICE_ROWS = 100_000
 _CLOSED = -(2**62)
 
 
@@ -30,10 +31,10 @@ def reuse(request_symbols: DataFrame, prior: DataFrame, ttl_s: int) -> DataFrame
     """Adds ``hit`` and ``reused``: the newest result of the key not older than the TTL.
 
     ``request_symbols`` has cache_key and ts; ``prior`` has cache_key, computed_at and a struct
-    ``result``. A key's rows are spread over slices of time. Inside a slice a window finds the
+    ``result``. Where a key has more than ``SLICE_ROWS`` rows, rows are spread over slices of time. Inside a slice a window finds the
     newest result so far; the newest result of all slices before comes from one row per slice, so
     a busy key is never sorted in one task. Of results of one instant the one with the largest hash
-    counts, inside a slice and across slices alike.
+    counts, inside a slice and across slices alike. Runs a job.
     """
     at = F.unix_micros("ts")
     asks = request_symbols.withColumns({"_at": at, "_side": F.lit(1)})
@@ -44,9 +45,40 @@ def reuse(request_symbols: DataFrame, prior: DataFrame, ttl_s: int) -> DataFrame
         F.xxhash64("result").alias("_tie"),
         F.struct(F.unix_micros("computed_at").alias("at"), F.col("result")).alias("_offer"),
     )
-    both = asks.unionByName(offers, allowMissingColumns=True).withColumn(
-        "_slice", F.expr(f"_at div {SLICE_US}L")
+    both = asks.unionByName(offers, allowMissingColumns=True).dropna(subset=["cache_key", "_at"])
+    if _busiest(request_symbols, prior) > SLICE_ROWS:
+        seen = _newest_over_slices(both)
+    else:
+        seen = both.withColumn("_seen", F.last("_offer", ignorenulls=True).over(_so_far("cache_key"))).filter(
+            F.col("_side") == 1
+        )
+    oldest = F.col("_at") - F.lit(ttl_s * 1_000_000)
+    hit = F.coalesce(F.col("_seen.at") > oldest, F.lit(False))
+    return (
+        seen.withColumn("hit", hit)
+        .withColumn("reused", F.when(hit, F.col("_seen.result")))
+        .select(*request_symbols.columns, "hit", "reused")
+    )
+
+
+def _busiest(asks: DataFrame, offers: DataFrame) -> int:
+    """Most rows of both that any key has. Runs a job."""
+    keys = asks.select("cache_key").union(offers.select("cache_key"))
+    with shuffles_dropped(asks.sparkSession):
+        return keys.groupBy("cache_key").count().agg(F.max("count")).first()[0] or 0
+
+
+def _so_far(*keys: str):
+    return (
+        Window.partitionBy(*keys)
+        .orderBy("_at", "_side", "_tie")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+
+
+def _newest_over_slices(both: DataFrame) -> DataFrame:
+    """Rows that ask, with ``_seen``, the newest offer before them in their slice or in one before."""
+    both = both.withColumn("_slice", F.expr(f"_at div {SLICE_US}L"))
     before = Window.partitionBy("cache_key").orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -59,24 +91,13 @@ def reuse(request_symbols: DataFrame, prior: DataFrame, ttl_s: int) -> DataFrame
             F.last("_newest", ignorenulls=True).over(before).alias("_carried"),
         )
     )
-    so_far = (
-        Window.partitionBy("cache_key", "_slice")
-        .orderBy("_at", "_side", "_tie")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    seen = (
-        both.withColumn("_here", F.last("_offer", ignorenulls=True).over(so_far))
+    here = F.last("_offer", ignorenulls=True).over(_so_far("cache_key", "_slice"))
+    return (
+        both.withColumn("_here", here)
         .filter(F.col("_side") == 1)
         .join(carried, ["cache_key", "_slice"])
         .withColumn("_seen", F.coalesce("_here", "_carried"))
     )
-    oldest = F.col("_at") - F.lit(ttl_s * 1_000_000)
-    hit = F.coalesce(F.col("_seen.at") > oldest, F.lit(False))
-    return (
-        seen.withColumn("hit", hit)
-        .withColumn("reused", F.when(hit, F.col("_seen.result")))
-        .select(*request_symbols.columns, "hit", "reused")
-    )
 
 
 def with_cache_key(symbols: DataFrame, news_only: bool = False) -> DataFrame:

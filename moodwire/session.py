@@ -6,10 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -56,13 +59,32 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries begun inside go when their query ends, not when the driver collects its garbage.
+
+    Each write plans its own shuffles, so nothing else reads them. Spark before 4.1 keeps to garbage collection.
+    """
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: columnar, and pruned where it is read.
 
-    Runs a job. The files stay until the scratch folder is cleared, since results read them.
+    Runs a job. The files stay until the scratch folder is cleared, since results read them; what the job shuffled
+    goes when it is written.
     """
     path = new_scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from moodwire import schemas
 from moodwire.operators import metrics, reuse, scoring
 from moodwire.params import Params
 from moodwire.plans.analyze import analyze
+from moodwire.session import cut_lineage
 from moodwire.sources import payloads, sinks, store
 from moodwire.streaming import jobs
 from workload import ops
@@ -121,6 +123,21 @@ def test_limits_and_rejects(spark):
     assert [r["outcome_code"] for r in run.rejects.collect()] == ["GLOBAL_RATE_LIMITED"]
 
 
+def test_a_cut_leaves_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    cut = cut_lineage(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and cut.count() == 7
+
+
 def test_store_and_sinks(spark, tmp_path):
     results = spark.createDataFrame(
         [("r1", 0, "K", "a", 0.5, "x", 0.5, "tier_1_local_onnx", "batch_news", 1, None, 5),

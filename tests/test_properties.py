@@ -194,6 +194,27 @@ def test_reuse_reaches_over_slices(spark):
     }
 
 
+def test_reuse_with_and_without_slices(spark, monkeypatch):
+    """A busy key is spread over slices, others are one shuffle; both say what a plain loop says, for nulls too."""
+    rng = random.Random(11)
+    prior = [(rng.choice("AB"), rng.randrange(4000), f"r{k}") for k in range(60)] + [(None, 5, "x"), ("A", None, "y")]
+    asks = [(k, rng.choice("ABC"), rng.randrange(4000)) for k in range(60)] + [(60, None, 9), (61, "A", None)]
+    offered = spark.createDataFrame(prior, "cache_key string, s int, r string").select(
+        "cache_key", F.timestamp_seconds("s").alias("computed_at"), F.struct("r").alias("result")
+    )
+    asked = spark.createDataFrame(asks, "n int, cache_key string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    hashes = {r.r: r.h for r in offered.select("result.r", F.xxhash64("result").alias("h")).collect()}
+    want = {}
+    for n, key, s in asks[:60]:
+        seen = [(at, hashes[r], r) for k, at, r in prior if k == key and at is not None and at <= s]
+        want[n] = max(seen)[2] if seen and max(seen)[0] > s - 900 else None
+    for rows, joined in ((10**6, False), (0, True)):
+        monkeypatch.setattr(reuse, "SLICE_ROWS", rows)
+        found = reuse.reuse(asked, offered, 900)
+        assert {r.n: r.reused.r if r.hit else None for r in found.collect()} == want
+        assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == joined
+
+
 def test_lookback_counts_across_hours(spark):
     rng = random.Random(5)
     articles = [(i, rng.choice("xy"), rng.randrange(400_000)) for i in range(400)]
