@@ -11,6 +11,7 @@ from moodwire.functions.calls import is_success, status_text
 from moodwire.functions.labels import answer_label
 from moodwire.functions.text import preview
 from moodwire.params import ANSWER_CHUNK, Params
+from moodwire.session import cut_lineage
 
 # Prompt text around the list of symbols.
 PROMPT_HEAD = "Analyze market sentiment for the following symbols: "
@@ -164,11 +165,14 @@ def decode_answers(answers: DataFrame) -> DataFrame:
     return staged.withColumn("failure", failure).drop("_content")
 
 
-def first_success(decoded: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
+def first_success(
+    decoded: DataFrame, order: DataFrame, land: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(answered chunks with items, failed chunks with the joined failure list).
 
     A chunk is asked at most once per provider, so a group holds a handful of answers. ``order``
-    comes from ``order_table`` and is small by construction.
+    comes from ``order_table`` and is small by construction. Where both are read, or one more than once, ``land`` them, or
+    answers are parsed again each time; that runs a job.
     """
     ranked = decoded.join(F.broadcast(order), "provider")
     usable = F.col("items").isNotNull()
@@ -180,6 +184,8 @@ def first_success(decoded: DataFrame, order: DataFrame) -> tuple[DataFrame, Data
             F.collect_list(F.when(F.col("failure").isNotNull(), F.struct("ord", "failure")))
         ).alias("failures"),
     )
+    if land:
+        best = cut_lineage(best)
     ok = best.filter(F.col("best").isNotNull()).select("request_id", "chunk", "best.*")
     failed = best.filter(F.col("best").isNull()).select(
         "request_id",

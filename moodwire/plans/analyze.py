@@ -56,8 +56,8 @@ def resolve_misses(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(routed symbols, local results, answered results, failed chunks). Runs a job.
 
-    The routed symbols and the local results have several consumers each and are cut once, so
-    that neither the feeds are decoded nor the texts are scored again.
+    The routed symbols, the local results and the answers that count have several consumers each and are cut once, so
+    that neither feeds nor answers are decoded nor texts scored again.
     """
     states = waterfall(misses, payloads, params)
     news = states.withColumn("scored", F.col("article_count") > 0).drop("titles")
@@ -67,7 +67,7 @@ def resolve_misses(
     order = A.order_table(misses.sparkSession, params)
     asked = chunks.select("request_id", "chunk").distinct()
     usable = answers.join(asked, ["request_id", "chunk"], "left_semi")
-    ok, errors = A.first_success(A.decode_answers(usable), order)
+    ok, errors = A.first_success(A.decode_answers(usable), order, land=True)
     # A chunk that no provider was asked for fails with a text of its own.
     unasked = F.lit(A.NO_PROVIDER + ",".join(params.answer_order))
     failed = (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from moodwire import schemas
 from moodwire.operators import metrics, reuse, scoring
 from moodwire.params import Params
-from moodwire.plans.analyze import analyze
+from moodwire.plans.analyze import analyze, resolve_misses
 from moodwire.session import cut_lineage
 from moodwire.sources import payloads, sinks, store
 from moodwire.streaming import jobs
@@ -123,6 +123,22 @@ def test_limits_and_rejects(spark):
     assert [r["outcome_code"] for r in run.rejects.collect()] == ["GLOBAL_RATE_LIMITED"]
 
 
+def test_answers_are_parsed_once(spark):
+    """What failed and what was answered read the same landed answers."""
+    item = {"symbol": "A", "sentiment_score": 0.5, "confidence": 1, "reasoning": "w", "label": "Positive"}
+    body = json.dumps({"choices": [{"message": {"content": json.dumps([item])}}]})
+    rows = [("r1", 0, "grok", 200, body), ("r2", 0, "grok", 500, "down")]
+    asked = requests(spark, ("r1", ["A"]), ("r2", ["A"])).select(
+        "request_id", F.lit(0).alias("idx"), F.lit("A").alias("ticker"), F.lit("A").alias("name"), "max_articles"
+    )
+    empty = feed1(spark, r1=[("B", "x")], r2=[("B", "x")])
+    params = Params(answer_keys=frozenset({"grok"}), answer_order=("grok",))
+    _, _, answered, failed = resolve_misses(asked, empty, spark.createDataFrame(rows, schemas.ANSWERS), params)
+    assert [r.request_id for r in answered.collect()] == ["r1"] and [r.request_id for r in failed.collect()] == ["r2"]
+    for part in (answered, failed):
+        assert "min_by" not in part._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_cut_leaves_no_shuffle_files(spark):
     manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
