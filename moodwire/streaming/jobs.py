@@ -148,47 +148,81 @@ def stream_admit(
     return after_tenant.select("request_id", F.timestamp_micros("t").alias("ts"), "tenant", "outcome_code")
 
 
-class _Windows(_Keyed):
-    """Which rows of a key compute and which reuse: a miss opens a window of one TTL."""
+class _Sharded(_Keyed):
+    """One value per reuse key until some instant, all keys of a shard together: a list of keys, of instants, and one of
+    each field of the value. A call, its state and its timer are per shard and micro-batch, not per key.
+    """
+
+    def __init__(self, fields: list[T.StructField], stretch_ms: int):
+        self.fields, self.stretch_ms = fields, stretch_ms
+        named = [T.StructField("by_key", T.StringType()), T.StructField("live_until", T.LongType()), *fields]
+        self.schema = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in named])
 
-    schema = "live_until long, computed_by string"
+    def held(self) -> dict:
+        if not self.state.exists():
+            return {}
+        keys, until, *values = self.state.get()
+        return {k: (u, v) for k, u, v in zip(keys, until, zip(*values))}
+
+    def hold(self, held: dict, timerValues) -> None:
+        """Keep what still counts; the timer is for the last of it, since rows that come earlier drop the rest."""
+        spare = timerValues.getCurrentWatermarkInMs() - self.stretch_ms
+        alive = [(k, u, *v) for k, (u, v) in held.items() if u // 1000 + 1 > spare]
+        if alive:
+            self.keep(tuple(map(list, zip(*alive))), max(row[1] for row in alive) // 1000 + 1)
+        else:
+            self.state.clear()
+
+
+class _Windows(_Sharded):
+    """Which rows of a key compute and which reuse: a miss opens a window of one TTL."""
 
     def __init__(self, ttl_us: int, names: list[str], stretch_ms: int):
-        self.ttl_us, self.names, self.stretch_ms = ttl_us, names, stretch_ms
+        super().__init__([T.StructField("computed_by", T.StringType())], stretch_ms)
+        self.ttl_us, self.names = ttl_us, names
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_time_order(rows)
-        until, by = self.state.get() if self.state.exists() else (-1, None)
+        held = self.held()
         hits, sources = [], []
-        for t, request in zip(pdf["t"].tolist(), pdf["request_id"].tolist()):
+        for k, t, request in zip(_keys(pdf), pdf["t"].tolist(), pdf["request_id"].tolist()):
+            until, by = held.get(k, (-1, (None,)))
             hits.append(t < until)
             if t >= until:
-                until, by = t + self.ttl_us, request
-            sources.append(by)
-        self.keep((until, by), until // 1000 + 1)
+                by = (request,)
+                held[k] = (t + self.ttl_us, by)
+            sources.append(by[0])
+        self.hold(held, timerValues)
         yield pdf.assign(hit=hits, computed_by=sources)[[*self.names, "hit", "computed_by"]]
 
 
-class _Results(_Keyed):
+class _Results(_Sharded):
     """The result of the last computing row of a key, handed to the rows that reuse it."""
 
     def __init__(self, ttl_us: int, results: T.StructType, names: list[str], stretch_ms: int):
-        self.ttl_us, self.names, self.schema, self.stretch_ms = ttl_us, names, results, stretch_ms
-        self.fields = results.fieldNames()
+        super().__init__(list(results.fields), stretch_ms)
+        self.ttl_us, self.names = ttl_us, names
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_time_order(rows)
-        held = self.state.get() if self.state.exists() else (None,) * len(self.fields)
-        until, out = None, []
-        values = zip(*[plain_values(pdf[f.name], f.dataType) for f in self.schema])
-        for hit, t, own in zip(pdf["hit"].tolist(), pdf["t"].tolist(), values):
+        held, none, out = self.held(), (None, (None,) * len(self.fields)), []
+        values = zip(*[plain_values(pdf[f.name], f.dataType) for f in self.fields])
+        for k, hit, t, own in zip(_keys(pdf), pdf["hit"].tolist(), pdf["t"].tolist(), values):
             if not hit:
-                held, until = own, t + self.ttl_us
-            out.append(tuple(held))
-        if until is not None:
-            self.keep(tuple(held), until // 1000 + 1)
-        made = pd.DataFrame(out, columns=self.fields, index=pdf.index, dtype=object)
-        yield pdf.drop(columns=self.fields).join(made)[self.names]
+                held[k] = (t + self.ttl_us, own)
+            out.append(held.get(k, none)[1])
+        self.hold(held, timerValues)
+        fields = [f.name for f in self.fields]
+        made = pd.DataFrame(out, columns=fields, index=pdf.index, dtype=object)
+        yield pdf.drop(columns=fields).join(made)[self.names]
+
+
+def _keys(pdf: pd.DataFrame) -> list:
+    return plain_values(pdf["by_key"], T.StringType())
+
+
+def _by_shard(ordered: DataFrame):
+    return ordered.withColumn("reuse_shard", F.pmod(F.xxhash64("by_key"), F.lit(SHARDS))).groupBy("reuse_shard")
 
 
 def stream_reuse(
@@ -202,12 +236,13 @@ def stream_reuse(
     """(request_id, key, ts, hit, computed_by, and ``result``) of a stream with request_id and ts.
 
     ``result``, a struct of plain columns over the columns of ``stream``, is evaluated for misses only; it is kept
-    with its key until its TTL is over and comes back unchanged with the rows that reuse it. Both
-    states go by event-time timers. Columns of ``stream`` are held until they are released, so keep it narrow.
+    with its key until its TTL is over and comes back unchanged with the rows that reuse it. Keys are worked through by
+    shard, a shard's rows of a micro-batch at once; what is over goes with the next rows of its shard or by an event-time
+    timer. Columns of ``stream`` are held until they are released, so keep it narrow.
     """
     ttl_us = ttl_s * 1_000_000
     ordered = in_event_order(stream.withColumn("by_key", key.cast("string")), delay, stretch_ms=stretch_ms)
-    decided = ordered.groupBy("by_key").transformWithStateInPandas(
+    decided = _by_shard(ordered).transformWithStateInPandas(
         _Windows(ttl_us, ordered.columns, stretch_ms),
         T.StructType(list(ordered.schema.fields)).add("hit", "boolean").add("computed_by", "string"),
         "Append",
@@ -224,7 +259,7 @@ def stream_reuse(
     asked = computed.select(
         *base, *[F.col("_result")[f.name].alias(f"result_{i}") for i, f in enumerate(fields)]
     )
-    attached = asked.groupBy("by_key").transformWithStateInPandas(
+    attached = _by_shard(asked).transformWithStateInPandas(
         _Results(ttl_us, flat, asked.columns, stretch_ms),
         asked.schema,
         "Append",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,41 @@ def test_late_and_repeated_rows_are_counted(spark, tmp_path):
     assert (counts.arrived, counts.repeated, counts.late) == (7, 2, 1)
 
 
+class FakeState:
+    """One value with timers, and a watermark, as a processor sees them."""
+
+    def __init__(self):
+        self.value, self.timers, self.watermark = None, set(), 0
+        self.getValueState = lambda name, schema: self
+        self.listTimers = lambda: iter(set(self.timers))
+        self.deleteTimer, self.registerTimer = self.timers.discard, self.timers.add
+        self.exists, self.get, self.clear = lambda: self.value is not None, lambda: self.value, lambda: self.update(None)
+        self.getCurrentWatermarkInMs = lambda: self.watermark
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_shard_of_reuse_keys_is_one_call():
+    """Several keys, a null one among them, are told apart in one call; what is over is dropped with the next rows."""
+    state, minute = FakeState(), 60_000_000
+    windows = jobs._Windows(10 * minute, ["request_id", "by_key", "t"], 60_000)
+    windows.init(state)
+
+    def run(*rows):
+        made = pd.concat(windows.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["request_id", "by_key", "t"])]), state))
+        return {r.request_id: (r.hit, r.computed_by) for r in made.itertuples()}
+
+    first = run(("b1", "B", 2 * minute), ("a2", "A", 3 * minute), ("a1", "A", minute), ("n1", None, 0), ("n2", None, 5))
+    assert first == {
+        "a1": (False, "a1"), "a2": (True, "a1"), "b1": (False, "b1"), "n1": (False, "n1"), "n2": (True, "n1"),
+    }
+    assert sorted(state.value[0], key=str) == ["A", "B", None] and state.timers == {13 * 60_000 + 1}
+    state.watermark = 12 * 60_000 + 1
+    assert run(("b2", "B", 12 * minute - 1), ("a3", "A", 30 * minute)) == {"b2": (True, "b1"), "a3": (False, "a3")}
+    assert sorted(state.value[0]) == ["A", "B"] and state.timers == {41 * 60_000 + 1}
+
+
 def test_quantiles_of_closed_windows(spark, tmp_path):
     rng = random.Random(9)
     rows = [(f"r{k}", START_S // 60 * 60 + rng.uniform(0, 180), rng.choice([None, *range(9)])) for k in range(200)]
